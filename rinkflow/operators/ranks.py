@@ -23,9 +23,9 @@ def _sliced(df: DataFrame, value: str) -> tuple[DataFrame, list[float]]:
     heavy = {float(c) for i, c in enumerate(cuts) if i and c == cuts[i - 1]}
     points = sorted({float(c) for c in cuts} | {math.nextafter(h, math.inf) for h in heavy})
     splits = [-math.inf, *points, math.inf]
-    cast = df.withColumn("__v", F.col(value).cast("double"))
-    sliced = Bucketizer(splits=splits, inputCol="__v", outputCol=SLICE, handleInvalid="keep").transform(cast)
-    return sliced.drop("__v"), sorted(heavy)
+    cast = df.withColumn("__slice_value", F.col(value).cast("double"))
+    sliced = Bucketizer(splits=splits, inputCol="__slice_value", outputCol=SLICE, handleInvalid="keep").transform(cast)
+    return sliced.drop("__slice_value"), sorted(heavy)
 
 
 def value_counts(df: DataFrame, value: str, sums: Mapping[str, str] | None = None) -> DataFrame:

@@ -23,21 +23,24 @@ def neighbours(
     order: str,
     cols: Mapping[str, tuple[str, int]],
     groups: Groups | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Add values of nearby rows: ``{new: (column, k)}`` is ``k`` rows back for k > 0 and ``-k`` rows ahead for k < 0.
 
-    ``order`` must be unique within a group when groups have to be split.
+    ``order``, or ``order`` and ``tie`` together, must be unique within a group when groups have to be split.
     """
     groups = groups or measure_groups(df, keys, order)
+    sort = [order] if tie is None else [order, tie]
+    by = [F.asc_nulls_last(c) for c in sort]
 
     def shifted(w):
         return {new: F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w) for new, (c, k) in cols.items()}
 
     if not groups.hot:
-        return df.withColumns(shifted(W.partitionBy(*keys).orderBy(F.asc_nulls_last(order))))
+        return df.withColumns(shifted(W.partitionBy(*keys).orderBy(*by)))
 
     reach = max(abs(k) for _, k in cols.values())
-    inner = W.partitionBy(*keys, SEGMENT).orderBy(F.asc_nulls_last(order))
+    inner = W.partitionBy(*keys, SEGMENT).orderBy(*by)
     local = groups.segmented(df).withColumns(
         {
             **shifted(inner),
@@ -46,16 +49,16 @@ def neighbours(
         }
     )
     # The first and last rows of every segment of a hot group are contiguous around each border.
-    sources = sorted({c for c, _ in cols.values()} - {*keys, order})
-    border = local.filter(F.col(HOT) & (F.col("__head") | F.col("__tail"))).select(*keys, order, *sources, "__head", "__tail")
-    whole = W.partitionBy(*keys).orderBy(F.asc_nulls_last(order))
+    sources = sorted({c for c, _ in cols.values()} - {*keys, *sort})
+    border = local.filter(F.col(HOT) & (F.col("__head") | F.col("__tail"))).select(*keys, *sort, *sources)
+    whole = W.partitionBy(*keys).orderBy(*by)
     moved = shifted(whole)
     patch = border.select(
         *keys,
-        order,
+        *sort,
         F.struct(*[moved[new].alias(new) for new in cols]).alias("__fix"),
     )
-    fixed = join_dim(local, settle(patch), [*keys, order])
+    fixed = join_dim(local, settle(patch), [*keys, *sort])
     picked = {}
     for new, (_, k) in cols.items():
         edge = F.col("__head") if k > 0 else F.col("__tail")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,85 +10,57 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def _clock(seconds: Column, pad: bool) -> Column:
-    minutes = F.floor(seconds / 60).cast("string")
+def _clock(seconds: str, pad: bool) -> str:
+    minutes = f"cast(({seconds}) div 60 as string)"
     if pad:
-        minutes = F.lpad(minutes, 4, "0")
-    return F.concat(minutes, F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
+        minutes = f"lpad({minutes}, 4, '0')"
+    return f"{minutes} || ':' || lpad(cast(({seconds}) % 60 as string), 2, '0')"
 
 
 def pbp(spark: SparkSession, path: str, pad: bool = True) -> DataFrame:
     """``events`` as play-by-play: users are games, days are periods."""
-    events = table(spark, path, "events")
-    eid, user = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("double")
-    home_owns = eid % 2 == 0
-    day = F.day("ts").cast("bigint")
-    base = events.select(
-        user.alias("game_id"),
-        (F.lit(20212022) + 10001 * F.floor((day - 1) / 10.0)).cast("bigint").alias("season"),
-        F.lit(2).cast("bigint").alias("game_type"),
-        F.when(eid % 53 == 0, "").otherwise(F.concat(F.lit("arena_"), (user % 12).cast("string"))).alias("venue"),
-        (1 + user % 8).alias("home_team_id"),
-        (11 + user % 8).alias("away_team_id"),
-        eid.alias("event_id"),
-        day.alias("period"),
-        F.lit("REG").alias("period_type"),
-        (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))).cast("bigint").alias("time_seconds"),
-        F.create_map(
-            *[F.lit(x) for p in EVENT_TYPES.items() for x in p]
-        )[F.col("event_type")].alias("event_type"),
-        F.when(eid % 37 != 0, (k - 50.0) * 2).alias("x_coord"),
-        F.when(eid % 37 != 0, F.col("value") % 85 - 42.5).alias("y_coord"),
-        F.when(home_owns, 1 + user % 8).otherwise(11 + user % 8).alias("event_owner_team_id"),
-        F.when(eid % 41 != 0, 8470000 + F.when(home_owns, 11 + user % 8).otherwise(1 + user % 8) * 10 + user % 3).alias(
-            "goalie_in_net_id"
-        ),
-        F.when(eid % 3 == 0, None)
-        .when(eid % 4 == 0, "wrist")
-        .when(eid % 4 == 1, "snap")
-        .otherwise("slap")
-        .alias("shot_type"),
+    base = table(spark, path, "events").selectExpr(
+        "user_id AS game_id",
+        "cast(20212022 + 10001 * floor((day(ts) - 1) / 10.0) as bigint) AS season",
+        "2L AS game_type",
+        "if(event_id % 53 = 0, '', 'arena_' || (user_id % 12)) AS venue",
+        "1 + user_id % 8 AS home_team_id",
+        "11 + user_id % 8 AS away_team_id",
+        "event_id",
+        "cast(day(ts) as bigint) AS period",
+        "'REG' AS period_type",
+        "cast(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) as bigint) AS time_seconds",
+        # Event names of the test table and their roles.
+        "CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'click' THEN 'shot-on-goal' WHEN 'view' THEN 'missed-shot' "
+        "WHEN 'signup' THEN 'faceoff' WHEN 'error' THEN 'hit' END AS event_type",
+        "if(event_id % 37 != 0, (cast(get_json_object(props, '$.k') as double) - 50.0D) * 2, null) AS x_coord",
+        "if(event_id % 37 != 0, value % 85 - 42.5D, null) AS y_coord",
+        "if(event_id % 2 = 0, 1, 11) + user_id % 8 AS event_owner_team_id",
+        "if(event_id % 41 != 0, 8470000 + (if(event_id % 2 = 0, 11, 1) + user_id % 8) * 10 + user_id % 3, null) "
+        "AS goalie_in_net_id",
+        "CASE WHEN event_id % 3 = 0 THEN null WHEN event_id % 4 = 0 THEN 'wrist' WHEN event_id % 4 = 1 THEN 'snap' "
+        "ELSE 'slap' END AS shot_type",
     )
-    goalie = F.coalesce(F.col("goalie_in_net_id"), F.lit(0)).cast("string")
-    e5 = F.col("event_id") % 5
-    return base.withColumns(
-        {
-            "home_team_abbrev": F.concat(F.lit("T"), F.col("home_team_id").cast("string")),
-            "away_team_abbrev": F.concat(F.lit("T"), F.col("away_team_id").cast("string")),
-            "time_in_period": _clock(F.col("time_seconds"), pad),
-            "details_json": F.when(e5 == 0, "{}")
-            .when(e5 == 1, '{"goalieInNetId":null}')
-            .when(e5 == 2, "bad{")
-            .otherwise(F.concat(F.lit('{"goalieInNetId":'), goalie, F.lit(',"shotType":"tip"}'))),
-        }
+    return base.selectExpr(
+        "*",
+        "'T' || home_team_id AS home_team_abbrev",
+        "'T' || away_team_id AS away_team_abbrev",
+        f"{_clock('time_seconds', pad)} AS time_in_period",
+        "CASE event_id % 5 WHEN 0 THEN '{}' WHEN 1 THEN '{\"goalieInNetId\":null}' WHEN 2 THEN 'bad{' "
+        "ELSE '{\"goalieInNetId\":' || coalesce(goalie_in_net_id, 0) || ',\"shotType\":\"tip\"}' END AS details_json",
     )
 
 
-# Event names of the test table and their roles.
-EVENT_TYPES = {
-    "purchase": "goal",
-    "click": "shot-on-goal",
-    "view": "missed-shot",
-    "signup": "faceoff",
-    "error": "hit",
-}
-
-
 def shifts(spark: SparkSession, path: str) -> DataFrame:
     """``events`` as shifts of 10 to 29 minutes; every sixth one belongs to a goalie."""
-    p = pbp(spark, path)
-    eid = F.col("event_id")
-    return p.select(
+    return pbp(spark, path).selectExpr(
         "game_id",
         "period",
-        F.col("event_owner_team_id").alias("team_id"),
-        F.when(eid % 6 == 0, 8470000 + F.col("event_owner_team_id") * 10 + F.col("game_id") % 3)
-        .otherwise(eid % 25)
-        .alias("player_id"),
-        _clock(F.col("time_seconds"), True).alias("start_time"),
-        _clock(F.col("time_seconds") + 600 + 60 * (eid % 20), True).alias("end_time"),
-        F.lit(517).cast("bigint").alias("type_code"),
+        "event_owner_team_id AS team_id",
+        "if(event_id % 6 = 0, 8470000 + event_owner_team_id * 10 + game_id % 3, event_id % 25) AS player_id",
+        f"{_clock('time_seconds', True)} AS start_time",
+        f"{_clock('time_seconds + 600 + 60 * (event_id % 20)', True)} AS end_time",
+        "517L AS type_code",
     )
 
 
