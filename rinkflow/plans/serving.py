@@ -2,7 +2,4 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 def shot_points(df):
     return df.filter(F.col("adjusted_x").isNotNull() & F.col("adjusted_y").isNotNull()).withColumn("kind", F.when(F.col("is_goal") == 1, "goal").otherwise("save"))
-def top_n(df, by, tie, n, ascending=False):
-    from pyspark.sql import Window as W
-    order = [F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by), F.asc(tie)]
-    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
+from rinkflow.operators.topk import top_n

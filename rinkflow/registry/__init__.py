@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("features", "quality", "scoring", "metrics")
+_MODULES = ("features", "quality", "scoring", "metrics", "aging")
 
 
 def _load() -> None:
