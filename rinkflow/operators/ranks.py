@@ -25,7 +25,9 @@ def _sliced(df: DataFrame, value: str) -> tuple[DataFrame, list[float]]:
     splits = [-math.inf, *points, math.inf]
     cast = df.withColumn("__slice_value", F.col(value).cast("double"))
     sliced = Bucketizer(splits=splits, inputCol="__slice_value", outputCol=SLICE, handleInvalid="keep").transform(cast)
-    return sliced.drop("__slice_value"), sorted(heavy)
+    # Rows without a value come last, in a slice of their own.
+    placed = sliced.withColumn(SLICE, F.coalesce(F.col(SLICE), F.lit(float("inf"))))
+    return placed.drop("__slice_value"), sorted(heavy)
 
 
 def value_counts(df: DataFrame, value: str, sums: Mapping[str, str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("features", "quality", "scoring", "metrics", "aging")
+_MODULES = ("features", "quality", "scoring", "metrics", "aging", "serving")
 
 
 def _load() -> None:

@@ -12,6 +12,7 @@ from rinkflow.registry.core import register
 from rinkflow.registry.sql import using
 from rinkflow.schemas import ON_GOAL_TYPES, SHOT_TYPES
 from rinkflow.sources import roles
+from rinkflow.sources.datasets import rewrite_dataset
 
 # The test events are sparse, so frames are an hour and two hours wide.
 FRAMES = {"shot_frame": (-3600, -1), "traffic_frame": (-7200, -1)}
@@ -35,6 +36,19 @@ def scored(spark, path, with_shifts=False):
     )
 
 
+# What the metrics and front-end tables read from the scored shots.
+SHOT_COLUMNS = (
+    "game_id, season, period, event_id, event_type, time_seconds, home_team_id, away_team_id, home_team_abbrev, "
+    "away_team_abbrev, event_owner_team_id, goalie_in_net_id, adjusted_x, adjusted_y, shot_distance, shot_angle, shot_type, "
+    "time_since_last_event, delta_angle, puck_speed, traffic_density, is_empty_net, is_goal, xg_prob"
+).split(", ")
+
+
+def stored(spark, path):
+    """Scored shots as a table in the shared folder, for queries that read them several times."""
+    return rewrite_dataset(scored(spark, path).select(*SHOT_COLUMNS), "scored_shots")
+
+
 @register("filter_in_list", using("pbp") + "SELECT game_id, event_id, event_type FROM pbp WHERE event_type IN ('shot-on-goal', 'goal', 'missed-shot')")
 def filter_in_list(spark, path):
     return roles.pbp(spark, path).filter(F.col("event_type").isin(*SHOT_TYPES)).select("game_id", "event_id", "event_type")

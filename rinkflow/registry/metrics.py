@@ -60,8 +60,8 @@ _DOUBLES = (
 )
 
 
-def base(spark, path, compat="fixed"):
-    return M.goalie_season_metrics(scored(spark, path), MIN_SHOTS, compat, **REBOUND)
+def base(shots, compat="fixed"):
+    return M.goalie_season_metrics(shots, MIN_SHOTS, compat, **REBOUND)
 
 
 @register("rebounds", using("rebounds") + "SELECT event_id, generated_rebound, generated_rebound_xg FROM rebounds", "generated_rebound_xg")
@@ -71,27 +71,27 @@ def rebounds(spark, path):
 
 @register("rebound_rates", using("base") + "SELECT goalie_in_net_id, season, rebound_rate, rebound_danger FROM base", "rebound_rate rebound_danger")
 def rebound_rates(spark, path):
-    return base(spark, path).select(M.GOALIE, "season", "rebound_rate", "rebound_danger")
+    return base(scored(spark, path)).select(M.GOALIE, "season", "rebound_rate", "rebound_danger")
 
 
 @register("rci", using("base") + "SELECT goalie_in_net_id, season, rr_x_rd, rci FROM base", "rr_x_rd rci")
 def rci(spark, path):
-    return base(spark, path).select(M.GOALIE, "season", "rr_x_rd", "rci")
+    return base(scored(spark, path)).select(M.GOALIE, "season", "rr_x_rd", "rci")
 
 
 @register("mda", using("base") + "SELECT goalie_in_net_id, season, avg_mda_saves, avg_mda_goals, mda FROM base", "avg_mda_saves avg_mda_goals mda")
 def mda(spark, path):
-    return base(spark, path).select(M.GOALIE, "season", "avg_mda_saves", "avg_mda_goals", "mda")
+    return base(scored(spark, path)).select(M.GOALIE, "season", "avg_mda_saves", "avg_mda_goals", "mda")
 
 
 @register("goalie_season_metrics", using("base") + "SELECT * FROM base", _DOUBLES)
 def goalie_season_metrics(spark, path):
-    return base(spark, path).orderBy(F.desc_nulls_last("gsax_cumulative"))
+    return base(scored(spark, path)).orderBy(F.desc_nulls_last("gsax_cumulative"))
 
 
 @register("goalie_season_metrics_ref", using("base_ref") + "SELECT * FROM base_ref", _DOUBLES)
 def goalie_season_metrics_ref(spark, path):
-    return base(spark, path, "reference")
+    return base(scored(spark, path), "reference")
 
 
 part("teamed", ("scored",), """
