@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("features", "quality", "scoring", "metrics", "aging", "serving")
+_MODULES = ("ingest", "features", "quality", "scoring", "metrics", "aging", "serving", "models")
 
 
 def _load() -> None:
