@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinkflow.functions.numeric import Z_95, interval
-from rinkflow.operators.sizing import Settled, join_dim, settle
+from rinkflow.operators.sizing import Settled, join_dim, one_row, settle
 from rinkflow.plans.metrics import goalie_game_obs, semi_min_rows, zscore
 
 # Keys of the three effects.
@@ -57,82 +57,80 @@ def cell_table(obs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Effects:
-    """Cells with the three effects and their deviations, and the global parameters."""
+    """One table per factor (keys, effect, deviation) and the global parameters."""
 
-    cells: DataFrame
+    tables: dict[str, DataFrame]
     parameters: dict[str, float]
 
     def goalies(self) -> DataFrame:
         """Talent per goalie with its 95 % interval, best first."""
-        one = self.cells.groupBy("goalie_id").agg(F.max("g").alias("m"), F.max("g_sd").alias("sd"))
-        low, high = interval(F.col("m"), F.col("sd"), Z_95)
-        return one.select(
-            "goalie_id",
-            F.col("m").alias("dsis_true_talent_gsax_per_shot"),
-            F.col("sd").alias("dsis_std_dev"),
-            low.alias("dsis_hdi_lower"),
-            high.alias("dsis_hdi_upper"),
-        ).orderBy(F.desc_nulls_last("dsis_true_talent_gsax_per_shot"))
+        low, high = interval(F.col("effect"), F.col("sd"), Z_95)
+        return (
+            self.tables["g"]
+            .select(
+                "goalie_id",
+                F.col("effect").alias("dsis_true_talent_gsax_per_shot"),
+                F.col("sd").alias("dsis_std_dev"),
+                low.alias("dsis_hdi_lower"),
+                high.alias("dsis_hdi_upper"),
+            )
+            .orderBy(F.desc_nulls_last("dsis_true_talent_gsax_per_shot"))
+        )
 
     def teams(self) -> DataFrame:
         """Effect per team and season. It is the number subtracted from a goalie's talent."""
-        return self.cells.groupBy("team_id", "season").agg(
-            F.max("t").alias("dsis_team_defense_impact_per_shot"), F.max("t_sd").alias("dsis_team_std")
+        return self.tables["t"].select(
+            "team_id", "season", F.col("effect").alias("dsis_team_defense_impact_per_shot"), F.col("sd").alias("dsis_team_std")
         )
 
 
-def _fixed_part(a: float, b1: float, b2: float) -> Column:
-    """Weighted sum of the fixed effects of a cell."""
-    return a * F.col("w") + b1 * F.col("wt") + b2 * F.col("ws")
+def _with_effects(cells: DataFrame, tables: dict[str, Settled], factors: Sequence[str]) -> DataFrame:
+    """Cells with the effects of some factors as columns, 0 where not fitted yet."""
+    x = cells
+    for f in factors:
+        if f in tables:
+            side = Settled(tables[f].df.select(*FACTORS[f], F.col("effect").alias(f), F.col("sd").alias(f"{f}_sd")), tables[f].small)
+            x = join_dim(x, side, FACTORS[f])
+        else:
+            x = x.withColumns({f: F.lit(0.0), f"{f}_sd": F.lit(0.0)})
+    return x
 
 
 def fit_effects(cells: DataFrame, sweeps: int = 40, tolerance: float = 1e-8) -> Effects:
     """Alternate between the effects, the three fixed coefficients and the variances until nothing moves.
 
-    Each sweep is one aggregation chain over the cells and is computed once (checked small result or checkpoint).
-    The coefficients come from a 3 by 3 system, the variances from expected squares.
+    The cells are computed once. Every step sums what the other effects leave and computes one effect table (checked
+    small result or checkpoint), so plans do not grow. The coefficients come from a 3 by 3 system, the variances from
+    expected squares.
     """
-    x = settle(cells).df
-    for f, keys in FACTORS.items():
-        # Share of a cell in its key, so that means over keys are sums over cells.
-        x = join_dim(x, x.groupBy(*keys).agg((1.0 / F.count(F.lit(1))).alias(f"{f}_share")), keys)
-    state = settle(x.withColumns({c: F.lit(0.0) for f in FACTORS for c in (f, f"{f}_sd")}))
-    p = {"alpha": 0.0, "beta_traffic": 0.0, "beta_speed": 0.0, "sigma2": 1.0, "g": 1.0, "t": 1.0, "s": 1.0}
-    first = state.df.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("wyy").alias("yy"), F.sum("wy").alias("y")).first()
+    kept = settle(cells).df
+    first = kept.agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy", "wyy")]).first()
+    p = {"alpha": 0.0, "beta_traffic": 0.0, "beta_speed": 0.0}
     if not first["n"]:
-        return Effects(state.df, p)
-    spread = max((first["yy"] - first["y"] ** 2 / first["w"]) / first["n"], 1e-12)
-    p["sigma2"] = spread
+        empty = {f: kept.select(*k, F.lit(0.0).alias("effect"), F.lit(0.0).alias("sd")) for f, k in FACTORS.items()}
+        return Effects(empty, p)
+    p["sigma2"] = max((first["wyy"] - first["wy"] ** 2 / first["w"]) / first["n"], 1e-12)
     for f in FACTORS:
-        p[f] = max(spread * first["n"] / first["w"], 1e-12)
+        p[f] = max(p["sigma2"] * first["n"] / first["w"], 1e-12)
+    tables: dict[str, Settled] = {}
     for sweep in range(sweeps):
-        x = state.df
-        x = x.withColumns({f"__{f}": F.col(f) for f in FACTORS})
-        fixed = _fixed_part(p["alpha"], p["beta_traffic"], p["beta_speed"])
+        fixed = p["alpha"] * F.col("w") + p["beta_traffic"] * F.col("wt") + p["beta_speed"] * F.col("ws")
         for f, keys in FACTORS.items():
-            others = sum((F.col(o) for o in FACTORS if o != f), F.lit(0.0))
-            ridge = p["sigma2"] / p[f]
-            sums = x.groupBy(*keys).agg(
-                F.sum(F.col("wy") - fixed - F.col("w") * others).alias("__r"), F.sum("w").alias("__w")
+            others = [o for o in FACTORS if o != f]
+            left = F.col("wy") - fixed - F.col("w") * (F.col(others[0]) + F.col(others[1]))
+            ridge = F.col("__w") + p["sigma2"] / p[f]
+            sums = _with_effects(kept, tables, others).groupBy(*keys).agg(F.sum(left).alias("__r"), F.sum("w").alias("__w"))
+            tables[f] = settle(
+                sums.select(*keys, "__w", (F.col("__r") / ridge).alias("effect"), F.sqrt(p["sigma2"] / ridge).alias("sd"))
             )
-            new = sums.select(
-                *keys,
-                (F.col("__r") / (F.col("__w") + ridge)).alias(f"__new_{f}"),
-                F.sqrt(p["sigma2"] / (F.col("__w") + ridge)).alias(f"__sd_{f}"),
-            )
-            # No more keys than cells: a small cell table has small effect tables.
-            x = join_dim(x, Settled(new, True) if state.small else new, keys).withColumns({f: F.col(f"__new_{f}"), f"{f}_sd": F.col(f"__sd_{f}")})
-            x = x.drop(f"__new_{f}", f"__sd_{f}")
-        state = settle(x)
-        moved, p = _parameters(state.df, p)
-        state = Settled(state.df.drop(*[f"__{f}" for f in FACTORS]), state.small)
-        if moved < tolerance and sweep > 2:
+        old, p = p, _parameters(kept, tables, p)
+        if max(abs(p[k] - old[k]) / (abs(old[k]) + 1e-12) for k in p) < tolerance and sweep > 2:
             break
-    return Effects(state.df, p)
+    return Effects({f: t.df.drop("__w") for f, t in tables.items()}, p)
 
 
-def _parameters(x: DataFrame, p: dict[str, float]) -> tuple[float, dict[str, float]]:
-    """Coefficients and variances from sums over the cells; also the largest change of an effect."""
+def _parameters(cells: DataFrame, tables: dict[str, Settled], p: dict[str, float]) -> dict[str, float]:
+    """Coefficients and variances from sums over the cells and over each effect table."""
     e = F.col("g") + F.col("t") + F.col("s")
     aggs = {c: F.sum(c) for c in ("n", "w", "wt", "ws", "wtt", "wss", "wts")}
     aggs |= {
@@ -140,19 +138,19 @@ def _parameters(x: DataFrame, p: dict[str, float]) -> tuple[float, dict[str, flo
         "y1": F.sum(F.col("wty") - F.col("wt") * e),
         "y2": F.sum(F.col("wsy") - F.col("ws") * e),
         "yy": F.sum(F.col("wyy") - 2 * e * F.col("wy") + e * e * F.col("w")),
-        "moved": F.max(F.greatest(*[F.abs(F.col(f) - F.col(f"__{f}")) for f in FACTORS])),
     }
+    sums = _with_effects(cells, tables, list(FACTORS)).agg(F.struct(*[c.alias(k) for k, c in aggs.items()]).alias("cells"))
     for f in FACTORS:
-        variance = F.pow(f"{f}_sd", F.lit(2.0))
-        aggs[f"spread_{f}"] = F.sum(F.col("w") * variance)
-        aggs[f"square_{f}"] = F.sum(F.col(f"{f}_share") * (F.pow(f, F.lit(2.0)) + variance)) / F.sum(f"{f}_share")
-    row = x.agg(*[c.alias(k) for k, c in aggs.items()]).first()
-    system = np.array([[row["w"], row["wt"], row["ws"]], [row["wt"], row["wtt"], row["wts"]], [row["ws"], row["wts"], row["wss"]]])
-    right = np.array([row["y0"], row["y1"], row["y2"]])
+        variance = F.col("sd") * F.col("sd")
+        spread = one_row(tables[f].df, spread=F.sum(F.col("__w") * variance), square=F.avg(F.col("effect") * F.col("effect") + variance))
+        sums = sums.withColumn(f, spread)
+    row = sums.first()
+    c = row["cells"]
+    system = np.array([[c["w"], c["wt"], c["ws"]], [c["wt"], c["wtt"], c["wts"]], [c["ws"], c["wts"], c["wss"]]])
+    right = np.array([c["y0"], c["y1"], c["y2"]])
     beta = np.linalg.solve(system + p["sigma2"] * np.eye(3), right)
-    rss = row["yy"] - 2 * beta @ right + beta @ system @ beta
+    rss = c["yy"] - 2 * beta @ right + beta @ system @ beta
     new = dict(zip(("alpha", "beta_traffic", "beta_speed"), map(float, beta), strict=True))
-    new["sigma2"] = max(float(rss + sum(row[f"spread_{f}"] for f in FACTORS)) / row["n"], 1e-12)
-    for f in FACTORS:
-        new[f] = max(row[f"square_{f}"], 1e-12)
-    return row["moved"], new
+    new["sigma2"] = max(float(rss + sum(row[f]["spread"] for f in FACTORS)) / c["n"], 1e-12)
+    new |= {f: max(row[f]["square"], 1e-12) for f in FACTORS}
+    return new

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rinkflow.plans import effects as E
 from rinkflow.plans import models as L
 from rinkflow.plans import scoring as S
+from rinkflow.plans.quality import union_scoped
 from rinkflow.registry.core import register
 from rinkflow.registry.features import features
 from rinkflow.registry.sql import part, using
@@ -56,8 +57,9 @@ def _fitted(spark, path):
 
 @register("dsis_effects")
 def dsis_effects(spark, path):
-    fit = _fitted(spark, path)
-    return fit.cells.select("goalie_id", "team_id", "season", "g", "t", "s")
+    tables = _fitted(spark, path).tables
+    kinds = {"g": ("goalie", ["goalie_id"]), "t": ("team_season", ["team_id", "season"]), "s": ("season", ["season"])}
+    return union_scoped({name: tables[f].select(*keys, "effect", "sd") for f, (name, keys) in kinds.items()})
 
 
 @register("dsis_goalies")

@@ -7,7 +7,7 @@ from functools import reduce
 
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,22 +136,28 @@ def table_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
 def rewrite_dataset(df: DataFrame, name: str, checks: Sequence[str] = ()) -> DataFrame:
     """Write a new version of a dataset, compare row count and column sums, and return the new version.
 
-    The old version stays readable until the caller points its view at the new one.
+    The sums of the old rows are observed while they are written, so nothing is computed twice. The old version stays
+    readable until the caller points its view at the new one.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    totals = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in checks]]
+    seen = Observation()
+    (df.observe(seen, *totals) if checks else df).write.parquet(path)
     new = spark.read.parquet(path)
     if checks:
-        def totals(t: DataFrame):
-            return t.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in checks]).first()
-
-        before, after = totals(df), totals(new)
-        if before["n"] != after["n"] or any(abs((before[c] or 0) - (after[c] or 0)) > 1e-6 * max(1.0, abs(before[c] or 0)) for c in checks):
-            raise ValueError(f"rewritten dataset differs: {before} / {after}")
+        compare_sums(seen.get, new.agg(*totals).first().asDict())
     return new
 
 
+def compare_sums(before: Mapping[str, float], after: Mapping[str, float]) -> None:
+    """Raise when counts or sums of two versions differ."""
+    for c in before:
+        old, new = before[c] or 0, after[c] or 0
+        if abs(old - new) > 1e-6 * max(1.0, abs(old)):
+            raise ValueError(f"rewritten dataset differs in {c}: {old} / {new}")
+
+
 def to_json_records(df: DataFrame) -> DataFrame:
     """One JSON record per row; NaN is written as null and null keys are kept."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

@@ -16,15 +16,8 @@ def _text(c: str) -> Column:
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document per file, parsed with a fixed schema; broken ones keep their text in the corrupt column."""
-    full = f"{schema}, {CORRUPT} STRING"
-    return (
-        spark.read.schema(full)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+    raw = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_path"))
+    return parse_documents(raw, "value", schema)
 
 
 def parse_documents(raw: DataFrame, text: str, schema: str) -> DataFrame:

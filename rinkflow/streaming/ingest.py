@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.sources.datasets import write_dataset
-from rinkflow.sources.documents import CORRUPT, flatten_pbp, split_bad
+from rinkflow.sources.documents import flatten_pbp, parse_documents, split_bad
 
 
 def pending(ids: DataFrame, status: DataFrame, key: str = "game_id", max_n: int | None = None) -> DataFrame:
@@ -40,15 +40,8 @@ def status_counts(status: DataFrame, by: tuple[str, ...] = ("data_type",)) -> Da
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """Landed documents as a stream; files already taken are skipped by the query's checkpoint."""
-    return (
-        spark.readStream.schema(f"{schema}, {CORRUPT} STRING")
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
+    return parse_documents(raw.withColumn("source_file", F.col("_metadata.file_path")), "value", schema)
 
 
 def ingest_available(spark: SparkSession, landed: str, target: str, schema: str, checkpoint: str, files_per_batch: int = 1000) -> None:
