@@ -29,13 +29,13 @@ def _cells(spark, path):
     )
 
 
-@register("shrinkage_one_way", using("one_way") + "SELECT goalie_id, a AS effect FROM one_way", "effect")
+@register("shrinkage_one_way", using("one_way") + "SELECT goalie_id, a AS effect FROM one_way", "effect", 5)
 def shrinkage_one_way(spark, path):
     return E.shrinkage_one_way(_cells(spark, path), ["goalie_id"], F.col("y"), F.col("w"), 25.0).select("goalie_id", "effect")
 
 
 @register("shrinkage_sweep2", using("one_way") + """
-SELECT team_id, season, sum(w * (y - a)) / (sum(w) + 40.0::DOUBLE) AS b FROM li_cells JOIN one_way USING (goalie_id) GROUP BY 1, 2""", "b")
+SELECT team_id, season, sum(w * (y - a)) / (sum(w) + 40.0::DOUBLE) AS b FROM li_cells JOIN one_way USING (goalie_id) GROUP BY 1, 2""", "b", 5)
 def shrinkage_sweep2(spark, path):
     return E.shrinkage_sweep2(_cells(spark, path), ["goalie_id"], ["team_id", "season"], "y", "w", (25.0, 40.0))[1]
 

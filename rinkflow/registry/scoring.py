@@ -72,7 +72,7 @@ def eval_auc(spark, path):
 
 @register("eval_report", using("scored") + f"""
 SELECT avg(-(is_goal * ln(xg_prob) + (1 - is_goal) * ln(1 - xg_prob))) AS log_loss,
-  avg((xg_prob - is_goal) * (xg_prob - is_goal)) AS brier_score, ({_AUC.format("scored")}) AS auc FROM scored""", "log_loss brier_score auc")
+  avg((xg_prob - is_goal) * (xg_prob - is_goal)) AS brier_score, ({_AUC.format("scored")}) AS auc FROM scored""", "log_loss brier_score auc", 4)
 def eval_report(spark, path):
     return S.evaluate(scored(spark, path), "is_goal", "xg_prob")
 
