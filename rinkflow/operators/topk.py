@@ -17,9 +17,22 @@ def top_n(df: DataFrame, by: str, tie: str, n: int, ascending: bool = False) ->
     return head.withColumn("rank", number.cast("bigint"))
 
 
+# Above this many rows per key Spark does not cut heads before the exchange by itself.
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def recent_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The last ``n`` rows of every key; heads are cut per task before the exchange."""
-    w = W.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
+    """The last ``n`` rows of every key.
+
+    Heads are cut per task before the exchange. For a large ``n`` every key is first cut to ``n`` rows in each of
+    several hashed parts, so that no task takes a whole hot key.
+    """
+    by = [F.desc_nulls_last(c) for c in order]
+    if n > GROUP_LIMIT:
+        part = W.partitionBy(*keys, F.pmod(F.xxhash64(*order), F.lit(SALTS))).orderBy(*by)
+        df = df.withColumn("__part", F.row_number().over(part)).filter(F.col("__part") <= n).drop("__part")
+    w = W.partitionBy(*keys).orderBy(*by)
     return df.withColumn("recency", F.row_number().over(w).cast("bigint")).filter(F.col("recency") <= n)
 
 

@@ -40,7 +40,8 @@ def shrinkage_sweep2(
 
 def observations(scored: DataFrame, min_shots: int = 5, min_games: int = 20) -> DataFrame:
     """Goalie-game rows of goalies with enough games, with standardised covariates."""
-    obs = semi_min_rows(goalie_game_obs(scored, min_shots), "goalie_id", min_games)
+    games = settle(goalie_game_obs(scored, min_shots)).df
+    obs = semi_min_rows(games, "goalie_id", min_games)
     return zscore(obs, {"traffic_std": "avg_traffic", "speed_std": "avg_speed"})
 
 

@@ -10,12 +10,15 @@ from rinkflow.operators.interpolation import interpolate_linear
 from rinkflow.operators.sequences import neighbours
 from rinkflow.operators.sizing import Settled, join_dim, settle
 from rinkflow.operators.skew import HOT, SEGMENT, measure_groups
+from rinkflow.session import max_group_rows
 
 # Yearly process noise, noise of a full season, first mean and variance.
 PROCESS_NOISE = 0.00001
 BASE_NOISE = 0.00004
 FIRST_MEAN = 0.0
 FIRST_VARIANCE = 0.001
+# Longest array folded in one row; longer series are cut.
+MAX_STEPS = 500
 
 _OUT = "array<struct<step:bigint,mean:double,var:double>>"
 
@@ -129,13 +132,14 @@ def kalman_filter(
 ) -> DataFrame:
     """Filtered mean and variance of every step: ``key, order, kalman_talent, variance``.
 
-    A series is folded as one ordered array. Series above the group limit are cut into segments: each segment's
+    A series is folded as one ordered array. Series of more than ``MAX_STEPS`` steps are cut into segments: each segment's
     effect on variance and mean is composed, which gives the state at its start, and the segments are folded apart.
     """
     heads = step_rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__min"))
     rows = step_rows.join(heads.filter(F.col("__n") >= min_steps), key)
     rows = rows.withColumn("__first", F.col(order) == F.col("__min")).drop("__min", "__n")
-    groups = measure_groups(rows.select(key, order), [key], order)
+    limit = min(MAX_STEPS, max_group_rows(rows.sparkSession))
+    groups = measure_groups(rows.select(key, order), [key], order, limit)
     if not groups.hot:
         packed = rows.groupBy(key).agg(_pack(order, z).alias("__s"))
         out = packed.select(key, F.inline(_fold(F.col("__s"), F.lit(FIRST_MEAN), F.lit(FIRST_VARIANCE), q)))

@@ -53,7 +53,7 @@ def effects(shots):
 
 def flagship_board(spark, path):
     """Calibrated shots to goalie leaderboard."""
-    shots = calibrate(scored(spark, path))
+    shots = calibrate(stored(spark, path))
     return V.leaderboard(shots, roles.names(spark, path), dsis(shots), None, min_shots=3)
 
 

@@ -80,18 +80,15 @@ def _hive_keys_as_long(df: DataFrame) -> DataFrame:
     return df
 
 
-def write_dataset(df: DataFrame, path: str, by: Sequence[str] = ("season",), files_per_key: int = 8) -> bool:
+def write_dataset(df: DataFrame, path: str, by: Sequence[str] = ("season",)) -> bool:
     """Write hive-partitioned Parquet, replacing only the partitions present in ``df``; False when it is empty.
 
-    Rows of one key are spread over ``files_per_key`` tasks, so a large key is not written by one task.
+    Rows are rebalanced by key: small keys share a task and a large key is split over many by its measured size.
     """
     if df.limit(1).count() == 0:
         return False
-    spread = F.pmod(F.hash(*[c for c in df.columns if c not in by]), F.lit(files_per_key))
     (
-        df.withColumn("__spread", spread)
-        .repartition(*by, "__spread")
-        .drop("__spread")
+        df.hint("rebalance", *by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")

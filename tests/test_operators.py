@@ -238,3 +238,5 @@ def test_heads(spark):
     assert {r["k"]: r["id"] for r in topk.dedup_first(df, "k", "id").collect()} == {"x": 1, "y": 2}
     assert {r["k"]: r["v"] for r in topk.latest_per_key(df, "k", "id", ["v"]).collect()} == {"x": 9.0, "y": 5.0}
     assert topk.recent_rows(df, ["k"], ["id"], 1).count() == 2
+    many = spark.range(5000).withColumn("k", F.lit(1))
+    assert topk.recent_rows(many, ["k"], ["id"], 1500).agg(F.min("id"), F.count("*")).first() == (3500, 1500)
