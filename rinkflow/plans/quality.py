@@ -15,6 +15,16 @@ from rinkflow.operators.sizing import one_row, settle
 from rinkflow.schemas import SHOT_TYPES
 
 
+# Names and summary texts of the checks.
+BOUNDS, BOUNDS_TEXT = "Coordinate Bounds", "%,d out-of-bounds coordinates found (%.3f%% of %,d shots with coordinates)"
+BIAS, BIAS_TEXT = "Arena Bias Detection", "%d arena(s) flagged for bias (>{sigma} sigma from league mean) out of %d total arenas"
+SEQUENCE, SEQUENCE_TEXT = "Event Sequence Validation", "%d temporal anomalies found, %d games with >{limit} anomalies"
+NO_EVENTS_TEXT = "No PBP data to validate"
+MISSING = "Missing Data Audit"
+MISSING_TEXT = "Max null-coordinate rate by season: %.1f%%. %d season/arena combinations exceed {limit}%% threshold."
+PASSED_TEXT, FAILED_TEXT = "ALL CHECKS PASSED", "SOME CHECKS FAILED"
+
+
 @dataclass(frozen=True)
 class Check:
     """One row (check, passed, summary) and the rows behind it."""
@@ -45,12 +55,10 @@ def check_bounds(pbp: DataFrame, x_limit: float = X_LIMIT, y_limit: float = Y_LI
     shots = _located(pbp)
     totals = shots.agg(F.count_if(outside).alias("bad"), F.count(F.lit(1)).alias("n"))
     pct = F.coalesce(F.try_divide(F.col("bad") * 100.0, F.col("n")), F.lit(0.0))
-    summary = F.format_string(
-        "%,d out-of-bounds coordinates found (%.3f%% of %,d shots with coordinates)", F.col("bad"), pct, F.col("n")
-    )
+    summary = F.format_string(BOUNDS_TEXT, F.col("bad"), pct, F.col("n"))
     details = shots.filter(outside).select("game_id", "event_id", "x_coord", "y_coord", "event_type", "venue")
     return Check(
-        _result(totals, "Coordinate Bounds", F.col("bad") == 0, summary), details.orderBy("game_id", "event_id")
+        _result(totals, BOUNDS, F.col("bad") == 0, summary), details.orderBy("game_id", "event_id")
     )
 
 
@@ -91,11 +99,9 @@ def check_venue_bias(pbp: DataFrame, min_n: int = 100, sigma: float = 2.0) -> Ch
     totals = _named(_shots(pbp)).agg(F.count_distinct("venue").alias("n")).withColumn(
         "bad", one_row(flagged, n=F.count(F.lit(1))).getField("n")
     )
-    summary = F.format_string(
-        f"%d arena(s) flagged for bias (>{sigma} sigma from league mean) out of %d total arenas", F.col("bad"), F.col("n")
-    )
+    summary = F.format_string(BIAS_TEXT.format(sigma=sigma), F.col("bad"), F.col("n"))
     return Check(
-        _result(totals, "Arena Bias Detection", F.col("bad") == 0, summary),
+        _result(totals, BIAS, F.col("bad") == 0, summary),
         flagged.orderBy(F.desc_nulls_last("x_zscore"), "venue"),
     )
 
@@ -152,12 +158,10 @@ def check_sequences(pbp: DataFrame, min_gap: float = 2.0, max_per_group: int = 5
         "bad", one_row(flagged, n=F.count_distinct("game_id")).getField("n")
     )
     if pbp.limit(1).count() == 0:
-        summary = F.lit("No PBP data to validate")
+        summary = F.lit(NO_EVENTS_TEXT)
     else:
-        summary = F.format_string(
-            f"%d temporal anomalies found, %d games with >{max_per_group} anomalies", F.col("n"), F.col("bad")
-        )
-    return Check(_result(totals, "Event Sequence Validation", F.col("bad") == 0, summary), anomalies)
+        summary = F.format_string(SEQUENCE_TEXT.format(limit=max_per_group), F.col("n"), F.col("bad"))
+    return Check(_result(totals, SEQUENCE, F.col("bad") == 0, summary), anomalies)
 
 
 def missing_rates(pbp: DataFrame, by: list[str], max_pct: float | None = None) -> DataFrame:
@@ -183,13 +187,9 @@ def check_missing(pbp: DataFrame, max_pct: float = 10.0) -> Check:
     totals = seasons.agg(F.coalesce(F.max("null_pct"), F.lit(0.0)).alias("worst")).withColumn(
         "bad", one_row(venues, n=F.count(F.lit(1))).getField("n")
     )
-    summary = F.format_string(
-        f"Max null-coordinate rate by season: %.1f%%. %d season/arena combinations exceed {float(max_pct)}%% threshold.",
-        F.col("worst"),
-        F.col("bad"),
-    )
+    summary = F.format_string(MISSING_TEXT.format(limit=float(max_pct)), F.col("worst"), F.col("bad"))
     return Check(
-        _result(totals, "Missing Data Audit", (F.col("bad") == 0) & (F.col("worst") <= max_pct), summary),
+        _result(totals, MISSING, (F.col("bad") == 0) & (F.col("worst") <= max_pct), summary),
         union_scoped({"season": seasons, "season_arena": venues}),
     )
 
@@ -209,7 +209,7 @@ def run_checks(pbp: DataFrame | None, min_n: int = 100, min_gap: float = 2.0, ma
     overall = report.agg(F.bool_and("passed").alias("passed")).select(
         F.lit("Result").alias("check"),
         "passed",
-        F.when(F.col("passed"), "ALL CHECKS PASSED").otherwise("SOME CHECKS FAILED").alias("summary"),
+        F.when(F.col("passed"), PASSED_TEXT).otherwise(FAILED_TEXT).alias("summary"),
         F.lit(len(checks) + 1).alias("position"),
     )
     return report.unionByName(overall)

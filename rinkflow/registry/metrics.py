@@ -17,34 +17,29 @@ MIN_SHOTS = 10
 
 
 def _rebounds(keys: str, soon: str) -> str:
-    hit = f"""is_goal = 0 AND next_event_type IN ('shot-on-goal', 'goal') AND next_team_id = event_owner_team_id
-    AND {soon} AND next_distance <= 120"""
     return f"""
-SELECT *, CASE WHEN {hit} THEN 1 ELSE 0 END AS generated_rebound,
-  CASE WHEN {hit} THEN next_xg ELSE 0 END AS generated_rebound_xg,
+SELECT *, CAST(hit AS INT) AS generated_rebound, if(hit, nxt.xg, 0) AS generated_rebound_xg,
   delta_angle / (time_since_last_event + 0.1::DOUBLE) AS movement_demand
-FROM (SELECT *, lead(time_seconds) OVER w AS next_time, lead(event_type) OVER w AS next_event_type,
-    lead(shot_distance) OVER w AS next_distance, lead(xg_prob) OVER w AS next_xg,
-    lead(event_owner_team_id) OVER w AS next_team_id
-  FROM scored WINDOW w AS (PARTITION BY {keys}, goalie_in_net_id ORDER BY event_id))"""
+FROM (
+  SELECT *, ifnull(is_goal = 0 AND nxt.team = event_owner_team_id AND nxt.distance <= 120 AND {soon}, false) AS hit
+  FROM (SELECT *, lead({{'t': time_seconds, 'distance': shot_distance, 'xg': xg_prob, 'team': event_owner_team_id}}) OVER (
+    PARTITION BY {keys}, goalie_in_net_id ORDER BY event_id) AS nxt FROM scored))"""
 
 
-part("rebounds", ("scored",), _rebounds("game_id, period", "next_time - time_seconds BETWEEN 0 AND 7200"))
-part("rebounds_ref", ("scored",), _rebounds("game_id", "next_time - time_seconds <= 7200"))
+part("rebounds", ("scored",), _rebounds("game_id, period", "nxt.t - time_seconds BETWEEN 0 AND 7200"))
+part("rebounds_ref", ("scored",), _rebounds("game_id", "nxt.t - time_seconds <= 7200"))
 
 
 def _base(source: str, rate: str) -> str:
     return f"""
 SELECT *, {rate} AS rebound_rate, total_rebound_xg_danger / nullif(rebounds_generated, 0) AS rebound_danger,
-  coalesce(avg_mda_saves, 0) - coalesce(avg_mda_goals, 0) AS mda
+  ifnull(avg_mda_saves, 0) - ifnull(avg_mda_goals, 0) AS mda
 FROM (
-  SELECT goalie_in_net_id, season, count(*) AS shots_faced, CAST(sum(is_goal) AS BIGINT) AS actual_goals_allowed,
-    sum(xg_prob) AS expected_goals, sum(xg_prob) - sum(is_goal) AS gsax_cumulative,
-    CAST(sum(CASE WHEN is_goal = 0 THEN 1 ELSE 0 END) AS BIGINT) AS total_saves,
-    CAST(sum(generated_rebound) AS BIGINT) AS rebounds_generated, sum(generated_rebound_xg) AS total_rebound_xg_danger,
-    avg(CASE WHEN is_goal = 0 THEN movement_demand END) AS avg_mda_saves,
-    avg(CASE WHEN is_goal = 1 THEN movement_demand END) AS avg_mda_goals
-  FROM {source} GROUP BY 1, 2 HAVING count(*) > {MIN_SHOTS})"""
+  SELECT goalie_in_net_id, season, count(*) AS shots_faced, count(*) FILTER (WHERE is_goal = 1) AS actual_goals_allowed,
+    sum(xg_prob) AS expected_goals, sum(xg_prob - is_goal) AS gsax_cumulative, count(*) FILTER (WHERE is_goal = 0) AS total_saves,
+    count(*) FILTER (WHERE generated_rebound = 1) AS rebounds_generated, sum(generated_rebound_xg) AS total_rebound_xg_danger,
+    avg(movement_demand) FILTER (WHERE is_goal = 0) AS avg_mda_saves, avg(movement_demand) FILTER (WHERE is_goal = 1) AS avg_mda_goals
+  FROM {source} GROUP BY ALL HAVING count(*) > {MIN_SHOTS})"""
 
 
 part("base0", ("rebounds",), _base("rebounds", "CAST(rebounds_generated AS DOUBLE) / nullif(total_saves, 0)"))

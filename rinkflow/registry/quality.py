@@ -25,11 +25,10 @@ SELECT venue, count(*) AS n_shots, avg(x_coord) AS mean_x, avg(y_coord) AS mean_
 def _biased(sigma: float) -> str:
     return f"""
 SELECT venue, n_shots, round(mean_x, 2) AS mean_x, round(mean_y, 2) AS mean_y, round(std_x, 2) AS std_x,
-  round(std_y, 2) AS std_y, round(abs(mean_x - lx) / nullif(sx, 0), 2) AS x_zscore,
-  round(abs(mean_y - ly) / nullif(sy, 0), 2) AS y_zscore
-FROM venue_stats CROSS JOIN (SELECT avg(mean_x) AS lx, avg(mean_y) AS ly, stddev_samp(mean_x) AS sx,
-  stddev_samp(mean_y) AS sy FROM venue_stats)
-WHERE abs(mean_x - lx) / nullif(sx, 0) > {sigma} OR abs(mean_y - ly) / nullif(sy, 0) > {sigma}"""
+  round(std_y, 2) AS std_y, round(zx, 2) AS x_zscore, round(zy, 2) AS y_zscore
+FROM (SELECT *, abs(mean_x - avg(mean_x) OVER ()) / nullif(stddev_samp(mean_x) OVER (), 0) AS zx,
+    abs(mean_y - avg(mean_y) OVER ()) / nullif(stddev_samp(mean_y) OVER (), 0) AS zy FROM venue_stats)
+WHERE greatest(zx, zy) > {sigma}"""
 
 
 part("biased1", ("venue_stats",), _biased(1.0))
@@ -51,14 +50,13 @@ WHERE time_seconds < prev_seconds OR (time_seconds - prev_seconds < {GAP} AND pr
 part("anomalies", ("pbp",), _anomalies("pbp", "event_id"))
 part("anomalies_ref", ("pbp_plain",), _anomalies("pbp_plain", "time_in_period, event_id"))
 
-_RATE = "100.0 * sum(CASE WHEN x_coord IS NULL OR y_coord IS NULL THEN 1 ELSE 0 END) / count(*)"
-_COUNTS = "count(*) AS total_shots, CAST(sum(CASE WHEN x_coord IS NULL OR y_coord IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_coords"
-part("missing", ("shots3",), f"""
-SELECT season, CAST(NULL AS VARCHAR) AS venue, {_COUNTS}, round({_RATE}, 2) AS null_pct, 'season' AS scope
-FROM shots3 GROUP BY season
+part("holes", ("shots3",), "SELECT season, venue, x_coord IS NULL OR y_coord IS NULL AS hole FROM shots3")
+part("missing", ("holes",), f"""
+SELECT season, NULL::VARCHAR AS venue, count(*) AS total_shots, CAST(count_if(hole) AS BIGINT) AS null_coords,
+  round(avg(hole::INT) * 100, 2) AS null_pct, 'season' AS scope FROM holes GROUP BY season
 UNION ALL
-SELECT season, venue, {_COUNTS}, round({_RATE}, 2), 'season_arena' FROM shots3
-WHERE venue IS NOT NULL AND venue != '' GROUP BY season, venue HAVING {_RATE} > {PCT}""")
+SELECT season, venue, count(*), CAST(count_if(hole) AS BIGINT), round(avg(hole::INT) * 100, 2), 'season_arena'
+FROM holes WHERE venue > '' GROUP BY season, venue HAVING avg(hole::INT) * 100 > {PCT}""")
 
 
 @register("coord_bounds", using("outside") + "SELECT * FROM outside", "x_coord y_coord")

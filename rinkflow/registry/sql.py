@@ -100,52 +100,72 @@ SELECT CASE WHEN event_id % 2 = 0 THEN 'pbp' ELSE 'shifts' END AS data_type, use
 FROM events""",
 )
 
-# Windows of the shot features: ``own`` is the partition of neighbours and range frames.
-def _context(own: str) -> str:
-    return f"""
-SELECT p.*, n.net_x,
-  lag(event_type, 1) OVER w AS prev_event_type, lag(x_coord, 1) OVER w AS prev_x, lag(y_coord, 1) OVER w AS prev_y,
-  lag(time_seconds, 1) OVER w AS prev_time_seconds,
-  lag(event_type, 2) OVER w || '->' || lag(event_type, 1) OVER w AS sequence_2_events,
-  coalesce(max(CASE WHEN event_type = 'faceoff' THEN time_seconds END) OVER (
-    PARTITION BY p.game_id, p.period ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS last_stoppage_time,
-  CAST(coalesce(sum(CASE WHEN event_type = 'goal' AND p.event_owner_team_id = home_team_id THEN 1 ELSE 0 END) OVER s, 0) AS BIGINT) AS home_goals,
-  CAST(coalesce(sum(CASE WHEN event_type = 'goal' AND p.event_owner_team_id = away_team_id THEN 1 ELSE 0 END) OVER s, 0) AS BIGINT) AS away_goals,
-  count(CASE WHEN event_type IN ('shot-on-goal', 'goal') THEN 1 END) OVER (
-    PARTITION BY {own} ORDER BY time_seconds RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS shot_sequence_num,
-  count(CASE WHEN sign(x_coord) = sign(n.net_x) AND event_type IN (
-      'hit', 'blocked-shot', 'faceoff', 'giveaway', 'takeaway', 'shot-on-goal', 'missed-shot') THEN 1 END) OVER (
-    PARTITION BY {own} ORDER BY time_seconds RANGE BETWEEN 7200 PRECEDING AND 1 PRECEDING) AS traffic_density
-FROM pbp p LEFT JOIN nets n ON p.game_id = n.game_id AND p.period = n.period
-  AND p.event_owner_team_id = n.event_owner_team_id
-WINDOW w AS (PARTITION BY {own} ORDER BY event_id),
-  s AS (PARTITION BY p.game_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
-
-
 part(
     "nets",
     ("pbp",),
     """
-SELECT game_id, period, event_owner_team_id, CASE WHEN avg(x_coord) > 0 THEN 89 ELSE -89 END AS net_x
-FROM pbp WHERE event_type IN ('shot-on-goal', 'goal', 'missed-shot') AND x_coord IS NOT NULL GROUP BY 1, 2, 3""",
+SELECT game_id, period, event_owner_team_id, 89 * (CASE WHEN sum(x_coord) > 0 THEN 1 ELSE -1 END) AS net_x
+FROM pbp WHERE event_type IN ('shot-on-goal', 'goal', 'missed-shot') AND x_coord IS NOT NULL GROUP BY ALL""",
+)
+part(
+    "marked",
+    ("pbp", "nets"),
+    """
+SELECT pbp.*, net_x, event_type IN ('shot-on-goal', 'goal') AS on_goal,
+  event_type = 'goal' AND event_owner_team_id = home_team_id AS home_scored,
+  event_type = 'goal' AND event_owner_team_id = away_team_id AS away_scored,
+  x_coord * net_x > 0 AND list_contains(
+    ['hit', 'blocked-shot', 'faceoff', 'giveaway', 'takeaway', 'shot-on-goal', 'missed-shot'], event_type) AS crowding
+FROM pbp LEFT JOIN nets USING (game_id, period, event_owner_team_id)""",
 )
-part("context", ("pbp", "nets"), _context("p.game_id, p.period"))
-part("context_ref", ("pbp", "nets"), _context("p.game_id"))
 
 
-def _strength(context: str, shifts: str, key: str) -> str:
+def _context(own: str) -> str:
+    """Context of every event; ``own`` is the partition of neighbours and range frames."""
     return f"""
-SELECT {key},
-  CAST(coalesce(sum(CASE WHEN sh.team_id = s.home_team_id THEN 1 ELSE 0 END), 0) AS BIGINT) AS home_skaters,
-  CAST(coalesce(sum(CASE WHEN sh.team_id = s.away_team_id THEN 1 ELSE 0 END), 0) AS BIGINT) AS away_skaters
-FROM {context} s LEFT JOIN {shifts} sh ON s.game_id = sh.game_id AND s.period = sh.period
-  AND s.time_seconds >= sh.start_sec AND s.time_seconds < sh.end_sec
-WHERE s.event_type IN ('shot-on-goal', 'goal') AND s.x_coord IS NOT NULL GROUP BY {key}"""
+SELECT * EXCLUDE (last1, last2), last1.kind AS prev_event_type, last1.x AS prev_x, last1.y AS prev_y, last1.t AS prev_time_seconds,
+  last2.kind || '->' || last1.kind AS sequence_2_events
+FROM (
+  SELECT *, lag({{'kind': event_type, 'x': x_coord, 'y': y_coord, 't': time_seconds}}) OVER steps AS last1,
+    lag({{'kind': event_type}}, 2) OVER steps AS last2,
+    ifnull(max(time_seconds) FILTER (WHERE event_type = 'faceoff') OVER until_now, 0) AS last_stoppage_time,
+    count(*) FILTER (WHERE home_scored) OVER earlier AS home_goals,
+    count(*) FILTER (WHERE away_scored) OVER earlier AS away_goals,
+    count(*) FILTER (WHERE on_goal) OVER hour_before AS shot_sequence_num,
+    count(*) FILTER (WHERE crowding) OVER two_hours_before AS traffic_density
+  FROM marked
+  WINDOW steps AS (PARTITION BY {own} ORDER BY event_id),
+    until_now AS (PARTITION BY game_id, period ORDER BY event_id ROWS UNBOUNDED PRECEDING),
+    earlier AS (PARTITION BY game_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    hour_before AS (PARTITION BY {own} ORDER BY time_seconds RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING),
+    two_hours_before AS (PARTITION BY {own} ORDER BY time_seconds RANGE BETWEEN 7200 PRECEDING AND 1 PRECEDING))"""
+
+
+part("context", ("marked",), _context("game_id, period"))
+part("context_ref", ("marked",), _context("game_id"))
+
+
+def _on_ice(shifts: str, team: str) -> str:
+    return f"""(SELECT count(*) FROM {shifts} h WHERE h.game_id = s.game_id AND h.period = s.period AND h.team_id = s.{team}
+    AND s.time_seconds BETWEEN h.start_sec AND h.end_sec - 1)"""
+
+
+def _on_ice_counts(shifts: str) -> str:
+    return f"""
+SELECT game_id, period, event_id, {_on_ice(shifts, 'home_team_id')} AS home_skaters, {_on_ice(shifts, 'away_team_id')} AS away_skaters
+FROM marked s WHERE on_goal AND x_coord IS NOT NULL"""
 
 
 part("skaters", ("shifts", "goalies"), "SELECT * FROM shifts WHERE player_id NOT IN (SELECT player_id FROM goalies)")
-part("strength", ("pbp", "skaters"), _strength("pbp", "skaters", "s.game_id, s.period, s.event_id"))
-part("strength_ref", ("pbp", "shifts"), _strength("pbp", "shifts", "s.event_id"))
+part("strength", ("marked", "skaters"), _on_ice_counts("skaters"))
+part("all_counts", ("marked", "shifts"), _on_ice_counts("shifts"))
+part(
+    "strength_ref",
+    ("all_counts",),
+    """
+SELECT event_id, CAST(sum(home_skaters) AS BIGINT) AS home_skaters, CAST(sum(away_skaters) AS BIGINT) AS away_skaters
+FROM all_counts GROUP BY event_id""",
+)
 
 
 def _features(context: str, strength: str, key: str, angle: str) -> str:
