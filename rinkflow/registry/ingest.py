@@ -15,7 +15,7 @@ from rinkflow.sources import documents as D
 from rinkflow.streaming import ingest
 
 # A document holds at most this many events, so that no document grows with its game.
-CHUNK = 64
+CHUNK = 4096
 
 
 def _documents(df, keys, item, head):
@@ -68,22 +68,22 @@ def flatten_nested_events(spark, path):
 
 @register("empty_documents", using("pbp") + f"""
 SELECT game_id AS id, season, count(*) AS n_empty FROM (
-  SELECT game_id, season, event_id // {CHUNK} AS chunk FROM pbp GROUP BY 1, 2, 3 HAVING chunk % 10 = 0) GROUP BY 1, 2""")
+  SELECT game_id, season, event_id // {CHUNK} AS chunk FROM pbp GROUP BY 1, 2, 3 HAVING chunk % 2 = 0) GROUP BY 1, 2""")
 def empty_documents(spark, path):
     texts = pbp_documents(spark, path)
     emptied = texts.withColumn(
-        "doc", F.when(F.col("chunk") % 10 == 0, F.regexp_replace("doc", r'"plays":\[.*\]\}$', '"plays":[]}')).otherwise(F.col("doc"))
+        "doc", F.when(F.col("chunk") % 2 == 0, F.regexp_replace("doc", r'"plays":\[.*\]\}$', '"plays":[]}')).otherwise(F.col("doc"))
     )
     docs = D.parse_documents(emptied.select("doc"), "doc", PBP_DOCUMENT)
     return D.empty_documents(docs).groupBy("id", "season").agg(F.count(F.lit(1)).alias("n_empty"))
 
 
 @register("quarantine", using("pbp") + f"""
-SELECT chunk % 7 = 0 AS broken, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_events
+SELECT chunk % 3 = 0 AS broken, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_events
 FROM (SELECT game_id, season, event_id // {CHUNK} AS chunk, count(*) AS n FROM pbp GROUP BY 1, 2, 3) GROUP BY 1""")
 def quarantine(spark, path):
     texts = pbp_documents(spark, path)
-    cut = texts.withColumn("doc", F.expr("if(chunk % 7 = 0, substring(doc, 1, length(doc) - 2), doc)"))
+    cut = texts.withColumn("doc", F.expr("if(chunk % 3 = 0, substring(doc, 1, length(doc) - 2), doc)"))
     events = F.size(F.split("doc", '"eventId"')) - 1
     docs = D.parse_documents(cut.select("doc", events.cast("bigint").alias("n_events"), F.col("doc").alias("raw")).drop("raw"), "doc", PBP_DOCUMENT)
     good, bad = D.split_bad(docs)

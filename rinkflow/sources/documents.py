@@ -25,7 +25,8 @@ def parse_documents(raw: DataFrame, text: str, schema: str) -> DataFrame:
     full = f"{schema}, {CORRUPT} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     others = [c for c in raw.columns if c != text]
-    return raw.select(*others, F.from_json(text, full, options).alias("__d")).select(*others, "__d.*")
+    # As the input of a generator the text is parsed once, however many fields and filters follow.
+    return raw.select(*others, F.inline(F.array(F.from_json(text, full, options))))
 
 
 def split_bad(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +46,8 @@ def flatten_pbp(docs: DataFrame) -> DataFrame:
         _text("homeTeam.abbrev").alias("home_team_abbrev"),
         _text("awayTeam.abbrev").alias("away_team_abbrev"),
         F.explode("plays").alias("p"),
-    ).withColumn("d", F.from_json("p.details", DETAILS))
+    )
+    play = play.select("*", F.explode(F.array(F.from_json("p.details", DETAILS))).alias("d"))
     return play.select(
         "game_id",
         "season",
