@@ -45,7 +45,7 @@ def recalibrate_check(spark, path):
 @register("recalibrate_rewrite", using("calibrated") + "SELECT event_id, season, is_goal, xg_prob FROM calibrated", "xg_prob")
 def recalibrate_rewrite(spark, path):
     rows = scored(spark, path).select("event_id", "season", "is_goal", "xg_prob")
-    return S.recalibrate(rows)
+    return S.recalibrate(datasets.rewrite_dataset(rows, "uncalibrated"))
 
 
 @register("eval_log_loss", using("scored_li") + """
