@@ -53,16 +53,21 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return stopped.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing: bool) -> np.ndarray:
+def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing: bool, held: int = 10) -> np.ndarray:
     """Move inclusion probabilities through the null-space of (words, documents) until at most two are fractional.
 
     Three fractional units always have a direction that keeps both totals; it is followed to either end with probabilities
-    that keep the expectation. With ``landing`` the last two are decided too: first keeping their words, then to the nearest.
+    that keep the expectation. With ``landing`` the ``held`` smallest units stay out of the flight, and they and the last two
+    are decided by trying every sample of them: the one whose words, then documents, come nearest to the expected ones.
     """
     p, eps = p.copy(), 1e-9
-    rows = np.flatnonzero((p > eps) & (p < 1 - eps)).tolist()
-    mean = max(1.0, float(sizes[rows].mean())) if rows else 1.0
-    active, rest = rows[:3], rows[3:][::-1]
+    rows = np.flatnonzero((p > eps) & (p < 1 - eps))
+    mean = max(1.0, float(sizes[rows].mean())) if len(rows) else 1.0
+    kept: list[int] = []
+    if landing:
+        kept = rows[np.argsort(sizes[rows], kind="stable")[:held]].tolist()
+        rows = np.setdiff1d(rows, kept)
+    active, rest = rows[:3].tolist(), rows[3:][::-1].tolist()
     while len(active) == 3:
         a, b, c = sizes[active] / mean
         move = np.array([b - c, c - a, a - b])
@@ -71,13 +76,11 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing:
         active = _step(p, active, move, rng, eps)
         while len(active) < 3 and rest:
             active.append(rest.pop())
-    while landing and active:
-        if len(active) == 2 and min(sizes[active]) > 0:
-            x, y = active
-            active = _step(p, active, np.array([1.0 / sizes[x], -1.0 / sizes[y]]), rng, eps)
-        else:
-            p[active] = p[active] >= 0.5
-            active = []
+    if landing and (last := kept + active):
+        samples = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
+        words = np.abs(samples @ sizes[last] - p[last] @ sizes[last])
+        units = np.abs(samples.sum(axis=1) - p[last].sum())
+        p[last] = samples[np.lexsort((units, np.round(words, 6)))[0]]
     return p
 
 

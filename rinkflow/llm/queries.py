@@ -11,11 +11,26 @@ from pyspark.sql import functions as F
 from rinkflow.llm.batches import WORD, table
 from rinkflow.llm.mixing import mix_sources
 from rinkflow.llm.packing import pack
+from rinkflow.llm.secrets import find_secrets, span_text
 from rinkflow.llm.tokens import count_tokens
 
 BPE = "byte_bpe_50k.json"
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {"n_assign": count(0), "n_access": count(1), "n_hex": count(2)}
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
