@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.llm.batches import WORD, table
+from rinkflow.llm.metric import near_vectors
 from rinkflow.llm.mixing import mix_sources
+from rinkflow.llm.neighbours import nearest
 from rinkflow.llm.packing import pack
 from rinkflow.llm.secrets import find_secrets, span_text
 from rinkflow.llm.tokens import count_tokens
@@ -31,6 +33,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth id."""
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
@@ -42,6 +50,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document so that sources meet their targets."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
