@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
 
 def string_bytes(values: pa.Array) -> np.ndarray:
     """UTF-8 bytes per row; null counts 0."""
-    sizes = pa.compute.binary_length(values.cast(pa.large_string()))
-    return pa.compute.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.binary_length(values.cast(pa.large_string()))
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def strings(values: pa.Array) -> list:

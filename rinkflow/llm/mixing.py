@@ -53,11 +53,11 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return stopped.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing: bool, held: int = 10) -> np.ndarray:
+def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing: bool, held: int = 12) -> np.ndarray:
     """Move inclusion probabilities through the null-space of (words, documents) until at most two are fractional.
 
     Three fractional units always have a direction that keeps both totals; it is followed to either end with probabilities
-    that keep the expectation. With ``landing`` the ``held`` smallest units stay out of the flight, and they and the last two
+    that keep the expectation. With ``landing`` ``held`` units of all sizes stay out of the flight, and they and the last two
     are decided by trying every sample of them: the one whose words, then documents, come nearest to the expected ones.
     """
     p, eps = p.copy(), 1e-9
@@ -65,7 +65,8 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing:
     mean = max(1.0, float(sizes[rows].mean())) if len(rows) else 1.0
     kept: list[int] = []
     if landing:
-        kept = rows[np.argsort(sizes[rows], kind="stable")[:held]].tolist()
+        spread = np.unique(np.linspace(0, max(0, len(rows) - 1), min(held, len(rows))).astype(int))
+        kept = rows[np.argsort(sizes[rows], kind="stable")[spread]].tolist()
         rows = np.setdiff1d(rows, kept)
     active, rest = rows[:3].tolist(), rows[3:][::-1].tolist()
     while len(active) == 3:

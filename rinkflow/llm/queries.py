@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.llm.batches import WORD, table
+from rinkflow.llm.lattice import score_texts
 from rinkflow.llm.metric import near_vectors
 from rinkflow.llm.mixing import mix_sources
 from rinkflow.llm.neighbours import nearest
 from rinkflow.llm.packing import pack
 from rinkflow.llm.secrets import find_secrets, span_text
 from rinkflow.llm.tokens import count_tokens
+from rinkflow.llm.toxicity import toxic_scores
 
 BPE = "byte_bpe_50k.json"
 
@@ -55,6 +57,22 @@ def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def fold(key: str, folds: int):
+    return F.crc32(F.col(key).cast("string")) % folds
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from two thirds of the labels."""
+    scored = toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learnt from nine tenths of them."""
+    return score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document so that sources meet their targets."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
