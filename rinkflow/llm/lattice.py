@@ -132,7 +132,7 @@ def _fitted(words: DataFrame, path: str, logs: np.ndarray, end: float, prior: np
 
 
 def score_texts(
-    docs: DataFrame, train: Column, vocabulary_path: str, steps: int = 3, smoothing: float = 0.1, lot_bytes: int = 12 << 20,
+    docs: DataFrame, train: Column, vocabulary_path: str, steps: int = 2, smoothing: float = 0.1, lot_bytes: int = 12 << 20,
     text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train`` says what is learnt from."""

@@ -14,6 +14,7 @@ from rinkflow.llm.metric import near_vectors
 from rinkflow.llm.mixing import mix_sources
 from rinkflow.llm.neighbours import nearest
 from rinkflow.llm.packing import pack
+from rinkflow.llm.prefixtree import similar_texts
 from rinkflow.llm.secrets import find_secrets, span_text
 from rinkflow.llm.tokens import count_tokens
 from rinkflow.llm.toxicity import toxic_scores
@@ -73,6 +74,11 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are similar."""
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document so that sources meet their targets."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
