@@ -16,12 +16,19 @@ from rinkflow.llm.neighbours import nearest
 from rinkflow.llm.packing import pack
 from rinkflow.llm.prefixtree import similar_texts
 from rinkflow.llm.secrets import find_secrets, span_text
+from rinkflow.llm.suffixes import without_repeats
 from rinkflow.llm.tokens import count_tokens
 from rinkflow.llm.toxicity import toxic_scores
 
 BPE = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without strings of 100 bytes that came before."""
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     found = find_secrets(table(spark, sf_dir, "documents"))
