@@ -12,8 +12,8 @@ different components that meet in a shingle and pass the bounds on sizes and pos
 link between components is left out, and no pairs are made within a component. Groups are cut by hash where they are large.
 
 ``frequent`` (at most so many entries, taken from the counts of all documents) only changes the order, never the result.
-Null texts and texts without words have the empty set and are components of their own; rows that repeat an id or a text, and
-further columns, change nothing. Empty tables give no rows.
+Null texts and texts without words have the empty set and are components of their own; rows with a null id link with nothing
+and have no component; rows that repeat an id or a text, and further columns, change nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def similar_texts(
     rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
     order = Order(frequent_shingles(rows, frequent))
     sets = stored(text_sets(rows, order, share), "texts")
-    found = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
+    found = sets.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
     reps = stored(found.select("k1", "k2", "r.*").withColumn("s", F.monotonically_increasing_id()), "reps")
     spread = reps.select(F.posexplode("prefix").alias("p", "h"), "s", "n").repartition("h")
     groups = spread.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("n", "s", "p")).alias("lead")).where("size > 1")
@@ -193,5 +193,5 @@ def similar_texts(
     least = classes.groupBy("c").agg(F.min("id").alias("component_id"))
     classes = classes.join(least, "c").select("k1", "k2", "component_id")
     out = sets.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
