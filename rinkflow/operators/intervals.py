@@ -58,10 +58,10 @@ def cover_counts(
     ``match`` is ``{new column: point column}``; an interval counts when its ``label`` equals that point column.
     Interval ends become +1/-1 steps and a running sum over the axis gives the count, all in one exchange by ``on``.
     With hot groups the steps are summed per axis value before the exchange. ``on`` is part of the unique ``key``;
-    ``start``, ``end`` and ``t`` are whole numbers.
+    ``start``, ``end`` and ``t`` are whole numbers. A null key or label equals none, so it counts 0 intervals.
     """
     on, key = list(on), list(key)
-    live = intervals.filter(F.col(end) > F.col(start))
+    live = intervals.filter(F.col(end) > F.col(start)).dropna(subset=[*on, label])
     ends = F.array(
         F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"))
     )

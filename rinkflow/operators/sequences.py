@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rinkflow.operators.sizing import join_dim, settle
+from rinkflow.operators.sizing import join_dim, null_safe_join, settle
 from rinkflow.operators.skew import HOT, SEGMENT, Groups, measure_groups
 
 
@@ -27,11 +27,10 @@ def neighbours(
 ) -> DataFrame:
     """Add values of nearby rows: ``{new: (column, k)}`` is ``k`` rows back for k > 0 and ``-k`` rows ahead for k < 0.
 
-    ``order``, or ``order`` and ``tie`` together, must be unique within a group when groups have to be split.
+    Rows with equal ``order`` come by ``tie``, and by a hash of their values where that is left out; null orders come last.
     """
     groups = groups or measure_groups(df, keys, order)
-    sort = [order] if tie is None else [order, tie]
-    by = [F.asc_nulls_last(c) for c in sort]
+    by = [F.asc_nulls_last(order), F.asc_nulls_last(tie) if tie else row_hash(df).asc()]
 
     def shifted(w):
         return {new: F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w) for new, (c, k) in cols.items()}
@@ -44,26 +43,32 @@ def neighbours(
     local = groups.segmented(df).withColumns(
         {
             **shifted(inner),
+            "__rn": F.row_number().over(inner),
             "__head": F.lag(F.lit(1), reach).over(inner).isNull(),
             "__tail": F.lead(F.lit(1), reach).over(inner).isNull(),
         }
     )
     # The first and last rows of every segment of a hot group are contiguous around each border.
-    sources = sorted({c for c, _ in cols.values()} - {*keys, *sort})
-    border = local.filter(F.col(HOT) & (F.col("__head") | F.col("__tail"))).select(*keys, *sort, *sources)
-    whole = W.partitionBy(*keys).orderBy(*by)
-    moved = shifted(whole)
+    sources = sorted({c for c, _ in cols.values()} - {*keys})
+    border = local.filter(F.col(HOT) & (F.col("__head") | F.col("__tail"))).select(*keys, SEGMENT, "__rn", *sources)
+    moved = shifted(W.partitionBy(*keys).orderBy(SEGMENT, "__rn"))
     patch = border.select(
         *keys,
-        *sort,
+        SEGMENT,
+        "__rn",
         F.struct(*[moved[new].alias(new) for new in cols]).alias("__fix"),
     )
-    fixed = join_dim(local, settle(patch), [*keys, *sort])
+    fixed = join_dim(local, settle(patch), [*keys, SEGMENT, "__rn"], nulls=True)
     picked = {}
     for new, (_, k) in cols.items():
         edge = F.col("__head") if k > 0 else F.col("__tail")
         picked[new] = F.when(F.col("__fix").isNotNull() & edge, F.col("__fix").getField(new)).otherwise(F.col(new))
-    return fixed.withColumns(picked).drop("__fix", "__head", "__tail", SEGMENT, HOT)
+    return fixed.withColumns(picked).drop("__fix", "__head", "__tail", "__rn", SEGMENT, HOT)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row, so that rows with equal order have the same sequence whichever way they are computed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def running(
@@ -77,9 +82,10 @@ def running(
     """Add running values ``{new: (expression, "sum" | "max", include_current)}``; ``default`` where there is none."""
     groups = groups or measure_groups(df, keys, order)
     fns = {"sum": F.sum, "max": F.max}
+    by = [F.asc_nulls_last(order), row_hash(df).asc()]
 
     def framed(part):
-        w = W.partitionBy(*part).orderBy(F.asc_nulls_last(order))
+        w = W.partitionBy(*part).orderBy(*by)
         return {
             new: fns[kind](expr).over(w.rowsBetween(W.unboundedPreceding, 0 if current else -1))
             for new, (expr, kind, current) in cols.items()
@@ -96,7 +102,7 @@ def running(
     carry = totals.select(
         *keys, SEGMENT, *[fns[kind](f"__t_{new}").over(before).alias(f"__c_{new}") for new, (_, kind, _) in cols.items()]
     )
-    joined = join_dim(base.withColumns(framed([*keys, SEGMENT])), settle(carry), [*keys, SEGMENT])
+    joined = join_dim(base.withColumns(framed([*keys, SEGMENT])), settle(carry), [*keys, SEGMENT], nulls=True)
     out = {}
     for new, (_, kind, _) in cols.items():
         own, old = F.col(new), F.col(f"__c_{new}")
@@ -147,7 +153,7 @@ def range_counts(
         .filter(F.col("__s") == own)
         .drop("__s")
     )
-    return df.join(summed, [*keys, axis], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in cols})
+    return null_safe_join(df, summed, [*keys, axis]).withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in cols})
 
 
 def group_values(
@@ -157,7 +163,7 @@ def group_values(
     if not hot:
         w = W.partitionBy(*keys)
         return df.withColumns({n: c.over(w) for n, c in cols.items()})
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()]), list(keys), "left")
+    return null_safe_join(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()]), keys)
 
 
 def event_sequence(older: Column, newer: Column, sep: str = "->") -> Column:

@@ -34,14 +34,16 @@ class Groups:
         """Add the segment number (0 for groups within the limit) and the hot flag."""
         stride = max(1, math.isqrt(self.pieces))
         order = F.col(self.order)
-        joined = join_dim(df, self.cuts, self.keys)
+        joined = join_dim(df, self.cuts, self.keys, nulls=True)
         # Two short scans (every stride-th cut, then one stride) instead of one long scan of the cuts.
         heads = F.filter(F.col(CUTS), lambda c, i: (i % stride == stride - 1) & (c < order))
         block = F.size(heads)
         inner = F.size(F.filter(F.slice(F.col(CUTS), block * stride + 1, stride), lambda c: c < order))
+        # Rows without an order come last, as in a window of the whole group.
+        segment = F.when(F.col(CUTS).isNull(), F.lit(0)).when(order.isNull(), F.size(CUTS)).otherwise(block * stride + inner)
         return joined.withColumns(
             {
-                SEGMENT: F.when(F.col(CUTS).isNull(), F.lit(0)).otherwise(block * stride + inner),
+                SEGMENT: segment,
                 HOT: F.col(CUTS).isNotNull(),
             }
         ).drop(CUTS)
@@ -63,10 +65,10 @@ def measure_groups(
     hot = settle(sizes.filter(F.col("__n") > limit).select(*keys))
     if order is None:
         return Groups(keys, order, hot, 1)
-    pieces = min(10_000, math.ceil(top / limit) + 1)
+    pieces = math.ceil(top / limit) + 1
     probs = [i / pieces for i in range(1, pieces)]
     cuts = (
-        join_dim(df.select(*keys, order), hot, keys, "left_semi")
+        join_dim(df.select(*keys, order), hot, keys, "left_semi", nulls=True)
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx(order, probs, 20 * pieces)).alias(CUTS))
     )

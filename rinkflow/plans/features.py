@@ -35,11 +35,12 @@ def layout(pbp: DataFrame, compat: str = "fixed") -> Layout:
 
 
 def attacking_net(pbp: DataFrame, hot: bool = True) -> DataFrame:
-    """``net_x`` per game, period and team: +89 where its shots average a positive x, else -89, null without shots."""
+    """``net_x`` per game, period and team: +89 where its shots average a positive x, else -89, null without shots or with a null key."""
     x = F.when(F.col("event_type").isin(*SHOT_TYPES), F.col("x_coord"))
     valued = group_values(pbp, [GAME, PERIOD, OWNER], {"__mean_x": F.avg(x)}, hot)
     mean = F.col("__mean_x")
-    net = F.when(mean > 0, geometry.NET_X).when(mean.isNotNull() & F.col(OWNER).isNotNull(), -geometry.NET_X)
+    known = F.col(GAME).isNotNull() & F.col(PERIOD).isNotNull() & F.col(OWNER).isNotNull()
+    net = F.when(known & (mean > 0), geometry.NET_X).when(known & mean.isNotNull(), -geometry.NET_X)
     return valued.withColumn("net_x", net).drop("__mean_x")
 
 

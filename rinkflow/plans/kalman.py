@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rinkflow.functions.numeric import Z_80, interval, obs_noise
 from rinkflow.operators.interpolation import interpolate_linear
-from rinkflow.operators.sequences import neighbours
+from rinkflow.operators.sequences import neighbours, row_hash
 from rinkflow.operators.sizing import Settled, join_dim, settle
 from rinkflow.operators.skew import HOT, SEGMENT, measure_groups
 from rinkflow.session import max_group_rows
@@ -20,7 +21,20 @@ FIRST_VARIANCE = 0.001
 # Longest array folded in one row; longer series are cut.
 MAX_STEPS = 500
 
-_OUT = "array<struct<step:bigint,mean:double,var:double>>"
+_OUT = "array<struct<step:bigint,at:bigint,mean:double,var:double>>"
+
+
+def number_steps(series: DataFrame, key: str = "goalie_id", order: str = "season", tie: str | None = None) -> DataFrame:
+    """Number the rows of each series: by ``order``, then by ``tie`` (the team where the rows have one, else a hash of the row).
+
+    A series may hold several rows of one season, one for each team, so steps are told apart by this number.
+    """
+    if "step" in series.columns:
+        return series
+    tie = tie or ("team_id" if "team_id" in series.columns else None)
+    last = F.asc_nulls_last(tie) if tie else row_hash(series).asc()
+    w = W.partitionBy(key).orderBy(F.asc_nulls_last(order), last)
+    return series.withColumn("step", F.row_number().over(w).cast("bigint"))
 
 
 def steps(
@@ -40,12 +54,12 @@ def steps(
     The drift of a step is the rate at the previous age times the years since. ``compat="reference"`` applies it one
     step late.
     """
-    x = neighbours(series, [key], order, {"prev_age": (age, 1)})
+    x = neighbours(number_steps(series, key, order), [key], "step", {"prev_age": (age, 1)})
     x = x.withColumn("age_step", F.col(age) - F.col("prev_age"))
     x = interpolate_linear(x, F.col("prev_age"), drift, drift_x, drift_y, "__rate")
     x = x.withColumn("offset", F.coalesce(F.col("__rate") * F.col("age_step"), F.lit(0.0))).drop("__rate")
     if compat == "reference":
-        x = neighbours(x, [key], order, {"__late": ("offset", 1)})
+        x = neighbours(x, [key], "step", {"__late": ("offset", 1)})
         x = x.withColumn("offset", F.coalesce("__late", F.lit(0.0))).drop("__late")
     return x.withColumn("noise", obs_noise(BASE_NOISE, F.col(shots)))
 
@@ -54,7 +68,8 @@ def _pack(order: str, z: str) -> Column:
     return F.array_sort(
         F.collect_list(
             F.struct(
-                F.col(order).cast("bigint").alias("step"),
+                F.col("step"),
+                F.col(order).cast("bigint").alias("at"),
                 F.col(z).alias("z"),
                 F.col("noise").alias("r"),
                 F.col("offset").alias("b"),
@@ -72,7 +87,7 @@ def _fold(arr: Column, mean: Column, var: Column, q: float) -> Column:
         p = F.when(s["first"], state["var"]).otherwise(state["var"] + q)
         gain = p / (p + s["r"])
         new_m, new_p = m + gain * (s["z"] - m), (1 - gain) * p
-        row = F.struct(s["step"].alias("step"), new_m.alias("mean"), new_p.alias("var"))
+        row = F.struct(s["step"].alias("step"), s["at"].alias("at"), new_m.alias("mean"), new_p.alias("var"))
         return F.struct(new_m.alias("mean"), new_p.alias("var"), F.concat(state["out"], F.array(row)).alias("out"))
 
     start = F.struct(mean.cast("double").alias("mean"), var.cast("double").alias("var"), F.array().cast(_OUT).alias("out"))
@@ -130,16 +145,17 @@ def kalman_filter(
     q: float = PROCESS_NOISE,
     min_steps: int = 2,
 ) -> DataFrame:
-    """Filtered mean and variance of every step: ``key, order, kalman_talent, variance``.
+    """Filtered mean and variance of every step: ``key, order, step, kalman_talent, variance``, one row per input row.
 
     A series is folded as one ordered array. Series of more than ``MAX_STEPS`` steps are cut into segments: each segment's
     effect on variance and mean is composed, which gives the state at its start, and the segments are folded apart.
     """
-    heads = step_rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__min"))
-    rows = step_rows.join(heads.filter(F.col("__n") >= min_steps), key)
-    rows = rows.withColumn("__first", F.col(order) == F.col("__min")).drop("__min", "__n")
+    numbered = number_steps(step_rows, key, order)
+    heads = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    rows = numbered.join(heads.filter(F.col("__n") >= min_steps), key)
+    rows = rows.withColumn("__first", F.col("step") == 1).drop("__n")
     limit = min(MAX_STEPS, max_group_rows(rows.sparkSession))
-    groups = measure_groups(rows.select(key, order), [key], order, limit)
+    groups = measure_groups(rows.select(key, "step"), [key], "step", limit)
     if not groups.hot:
         packed = rows.groupBy(key).agg(_pack(order, z).alias("__s"))
         out = packed.select(key, F.inline(_fold(F.col("__s"), F.lit(FIRST_MEAN), F.lit(FIRST_VARIANCE), q)))
@@ -153,15 +169,18 @@ def kalman_filter(
         x = x.join(_before(lines, key, "__m", FIRST_MEAN, line, "__v"), [key, SEGMENT])
         out = x.select(key, F.inline(_fold(F.col("__s"), F.col("__v"), F.col("__p"), q)))
     return out.select(
-        key, F.col("step").alias(order), F.col("mean").alias("kalman_talent"), F.col("var").alias("variance")
+        key, F.col("at").alias(order), "step", F.col("mean").alias("kalman_talent"), F.col("var").alias("variance")
     )
 
 
-def trajectory(series: DataFrame, filtered: DataFrame, key: str = "goalie_id", order: str = "season", z: str = "talent") -> DataFrame:
-    """Observed and filtered talent of every step."""
-    return series.join(filtered, [key, order]).select(
+def trajectory(
+    series: DataFrame, filtered: DataFrame, key: str = "goalie_id", order: str = "season", z: str = "talent", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Observed and filtered talent of every step, one row for each row of a filtered series."""
+    return number_steps(series, key, order).join(filtered.drop(order), [key, "step"]).select(
         key,
         order,
+        *keep,
         "age",
         "shots_faced",
         F.col(z).alias("observed_talent"),
@@ -183,9 +202,10 @@ def projections(
 ) -> DataFrame:
     """One row per series: state after the last step, next year with its 80 % interval, and three years ahead."""
     last = (
-        series.join(filtered, [key, order])
+        number_steps(series, key, order)
+        .join(filtered.drop(order), [key, "step"])
         .groupBy(key)
-        .agg(F.max_by(F.struct(order, "age", "shots_faced", "kalman_talent", "variance"), order).alias("l"))
+        .agg(F.max_by(F.struct(order, "age", "shots_faced", "kalman_talent", "variance"), "step").alias("l"))
         .select(key, "l.*")
     )
     lookup = drift if isinstance(drift, Settled) else settle(drift)
@@ -236,8 +256,8 @@ def projection_backtest(step_rows: DataFrame, key: str = "goalie_id", order: str
     The filter's mean after a step uses no later step, so one pass gives the forecasts of every cut-off. The weighted
     mean weighs the last three values by shots.
     """
-    filtered = kalman_filter(step_rows, key, order, z)
-    rows = step_rows.join(filtered, [key, order])
+    numbered = number_steps(step_rows, key, order)
+    rows = numbered.join(kalman_filter(numbered, key, order, z).drop(order), [key, "step"])
     around = {
         "actual": (z, -1),
         "next_offset": ("offset", -1),
@@ -246,7 +266,7 @@ def projection_backtest(step_rows: DataFrame, key: str = "goalie_id", order: str
         "w1": ("shots_faced", 1),
         "w2": ("shots_faced", 2),
     }
-    x = neighbours(rows, [key], order, around).filter(F.col("actual").isNotNull())
+    x = neighbours(rows, [key], "step", around).filter(F.col("actual").isNotNull())
     zero = F.lit(0)
     sums = F.col(z) * F.col("shots_faced")
     weights = F.col("shots_faced")

@@ -107,8 +107,8 @@ def check_venue_bias(pbp: DataFrame, min_n: int = 100, sigma: float = 2.0) -> Ch
 
 
 def _text_order(c: Column) -> Column:
-    """A whole number that orders short ASCII text like the text itself."""
-    return F.conv(F.hex(F.rpad(F.substring(c, 1, 7), 7, " ")), 16, 10).cast("bigint")
+    """A whole number that orders text by its first bytes; the text itself decides among equals."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
 
 
 def sequence_anomalies(pbp: DataFrame, min_gap: float = 2.0, compat: str = "fixed") -> DataFrame:
@@ -122,8 +122,9 @@ def sequence_anomalies(pbp: DataFrame, min_gap: float = 2.0, compat: str = "fixe
     )
     before = {"prev_event": ("event_type", 1), "prev2_event": ("event_type", 2), "prev_seconds": ("seconds", 1)}
     if compat == "reference":
-        ordered = timed.withColumn("text_order", _text_order(F.col("time_in_period")))
-        x = neighbours(ordered, keys, "text_order", before, tie="event_id")
+        text = F.col("time_in_period")
+        ordered = timed.withColumn("text_order", _text_order(text)).withColumn("text_tie", F.struct(text, F.col("event_id")))
+        x = neighbours(ordered, keys, "text_order", before, tie="text_tie")
     else:
         x = neighbours(timed, keys, "event_id", before)
     gap = F.col("seconds") - F.col("prev_seconds")

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from rinkflow.functions.numeric import safe_ratio
 from rinkflow.operators.ranks import row_numbers, value_counts
-from rinkflow.operators.sizing import join_dim, one_row, settle
+from rinkflow.operators.sizing import join_dim, null_safe_join, one_row, settle
 from rinkflow.sources.datasets import rewrite_dataset
 
+# Groups that are dealt into folds by their size one by one.
+LARGEST = 50_000
+
 
 def calibration_factor(
     df: DataFrame, by: Sequence[str] = ("season",), y: str = "is_goal", p: str = "xg_prob", compat: str = "fixed"
@@ -108,15 +111,16 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
 def group_folds(df: DataFrame, group: str, k: int | None = 5) -> DataFrame:
     """One fold per whole group, largest groups first into the lightest fold; ``k=None`` leaves one group out.
 
-    Groups are counted in Spark; their checked short list is dealt in a loop. Beyond the limit the groups are dealt
-    in turn by size.
+    Groups are counted in Spark. The ``LARGEST`` groups of a table are dealt in a loop; what smaller ones there are beyond that
+    number goes round the folds in order of size, since they can't unbalance them. The rule is the same at every size.
     """
     sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
-    if not sizes.small:
+    n = sizes.df.count()
+    rows = sizes.df.orderBy(F.desc("n"), F.desc(group)).limit(LARGEST).collect()
+    folds = n if k is None else min(k, n)
+    if k is None and n > LARGEST:
         numbered = row_numbers(sizes.df.withColumn("__neg", -F.col("n")), "__neg", group, "__rn")
-        return numbered.select(group, (F.col("__rn") % (k or 5)).cast("bigint").alias("fold"))
-    rows = sorted(sizes.df.collect(), key=lambda r: (r["n"], r[group]), reverse=True)
-    folds = len(rows) if k is None else min(k, len(rows))
+        return numbered.select(group, (F.col("__rn") - 1).cast("bigint").alias("fold"))
     load = [0] * max(folds, 1)
     dealt = []
     for r in rows:
@@ -124,7 +128,12 @@ def group_folds(df: DataFrame, group: str, k: int | None = 5) -> DataFrame:
         load[fold] += r["n"]
         dealt.append((r[group], fold))
     kind = dict(df.dtypes)[group]
-    return df.sparkSession.createDataFrame(dealt, f"{group} {kind}, fold bigint")
+    out = df.sparkSession.createDataFrame(dealt, f"{group} {kind}, fold bigint")
+    if n <= LARGEST:
+        return out
+    rest = null_safe_join(sizes.df, out.select(group), [group], "left_anti")
+    numbered = row_numbers(rest.withColumn("__neg", -F.col("n")), "__neg", group, "__rn")
+    return out.unionByName(numbered.select(group, ((F.col("__rn") - 1) % folds).cast("bigint").alias("fold")))
 
 
 def with_folds(df: DataFrame, group: str, k: int | None = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from rinkflow.operators import interpolation as I
 from rinkflow.plans import aging as A
 from rinkflow.plans import kalman as K
 from rinkflow.plans import metrics as M
+from rinkflow.registry import metrics as _metric_parts  # noqa: F401  (its SQL parts are used below)
 from rinkflow.registry.core import register
 from rinkflow.registry.features import scored
 from rinkflow.registry.sql import part, using
@@ -67,6 +68,19 @@ SELECT s.goalie_id, s.season, s.i,
 FROM {name} f JOIN {source} s ON s.goalie_id = f.goalie_id AND s.i = f.i + 1"""
 
 
+part("traded", ("drift_segs",), f"""
+SELECT s.*, coalesce((y0 + (y1 - y0) / (x1 - x0) * (prev_age - x0)) / 100 * (age - prev_age), 0) AS "offset"
+FROM (
+  SELECT *, {K.BASE_NOISE!r}::DOUBLE * greatest(1800.0::DOUBLE / greatest(shots_faced, 1), 1.0) AS noise, lag(age) OVER w AS prev_age,
+    row_number() OVER w AS i, count(*) OVER (PARTITION BY goalie_id) AS n
+  FROM (
+    SELECT CAST(c_nationkey AS BIGINT) AS goalie_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS team_id,
+      CAST(year(o_orderdate) AS BIGINT) AS season, avg(o_totalprice) / 1e6 AS talent, count(*) AS shots_faced,
+      CAST(year(o_orderdate) - 1975 + c_nationkey % 5 AS DOUBLE) AS age
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, 2, year(o_orderdate))
+  WINDOW w AS (PARTITION BY goalie_id ORDER BY season, team_id)) s
+LEFT JOIN drift_segs ON prev_age >= a AND prev_age < b""")
+part("filtered_traded", ("traded",), _filter("traded", "filtered_traded"))
 part("filtered", ("steps",), _filter("steps", "filtered"))
 part("filtered_ref", ("steps_ref",), _filter("steps_ref", "filtered_ref"))
 
@@ -101,6 +115,31 @@ def kalman_trajectory(spark, path):
     return K.trajectory(roles.series(spark, path), K.kalman_filter(steps(spark, path)))
 
 
+def traded_steps(spark, path):
+    small = drift(spark, path).withColumn("yearly_drift", F.col("yearly_drift") / 100)
+    return K.steps(roles.traded_series(spark, path), small)
+
+
+@register("kalman_traded", using("filtered_traded") + """
+SELECT goalie_id, team_id, season, CAST(i AS BIGINT) AS step, talent AS observed_talent, mean AS kalman_talent, sqrt(var) AS kalman_uncertainty
+FROM filtered_traded f JOIN traded t USING (goalie_id, season, i)""", "observed_talent kalman_talent kalman_uncertainty")
+def kalman_traded(spark, path):
+    """Filter and trajectory of series with several teams in one season."""
+    series = K.number_steps(roles.traded_series(spark, path))
+    rows = K.trajectory(series, K.kalman_filter(traded_steps(spark, path)), keep=("team_id", "step"))
+    return rows.select("goalie_id", "team_id", "season", "step", "observed_talent", "kalman_talent", "kalman_uncertainty")
+
+
+@register("kalman_traded_last", using("filtered_traded") + """
+SELECT goalie_id, season AS latest_season, round_even(mean, 6) AS current_filtered_talent_per_shot, round_even(sqrt(var), 6) AS current_uncertainty
+FROM filtered_traded JOIN traded USING (goalie_id, season, i) WHERE i = n""", "current_filtered_talent_per_shot current_uncertainty")
+def kalman_traded_last(spark, path):
+    """The projection of such a series starts from its last step."""
+    small = drift(spark, path).withColumn("yearly_drift", F.col("yearly_drift") / 100)
+    found = K.projections(roles.traded_series(spark, path), K.kalman_filter(traded_steps(spark, path)), small)
+    return found.select("goalie_id", "latest_season", "current_filtered_talent_per_shot", "current_uncertainty")
+
+
 def _at(age: str) -> str:
     return f"(SELECT (y0 + (y1 - y0) / (x1 - x0) * ({age} - x0)) / 100 FROM drift_segs WHERE {age} >= a AND {age} < b)"
 

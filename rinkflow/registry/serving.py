@@ -8,6 +8,7 @@ from rinkflow.functions import clock, details, numeric
 from rinkflow.operators import ranks, topk
 from rinkflow.plans import serving as V
 from rinkflow.plans.scoring import calibrate
+from rinkflow.registry import scoring as _scoring_parts  # noqa: F401  (its SQL parts are used below)
 from rinkflow.registry.core import register
 from rinkflow.registry.features import scored, stored
 from rinkflow.registry.metrics import base

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,11 +41,14 @@ def max_small_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one is set only where none is configured."""
+    """The cluster's shared scratch folder. Only a session on one machine gets a folder of its own where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         root = tempfile.mkdtemp(prefix="rinkflow-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -56,6 +60,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rinkflow/{name}-{uuid.uuid4().hex}"
 
 
+def drop_version(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` named, once no frame reads it any more."""
+    root = f"{shared_dir(spark)}/rinkflow/"
+    if not path.startswith(root):
+        raise ValueError(f"{path} is not below {root}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and continue from there."""
     shared_dir(df.sparkSession)

@@ -108,6 +108,25 @@ def series(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def traded_series(spark: SparkSession, path: str) -> DataFrame:
+    """``orders`` per nation, year and priority: a talent series with several rows, one for each team, in a season."""
+    orders = table(spark, path, "orders").select(
+        "o_custkey",
+        "o_totalprice",
+        F.year("o_orderdate").cast("bigint").alias("season"),
+        F.substring("o_orderpriority", 1, 1).cast("bigint").alias("team_id"),
+    )
+    customer = table(spark, path, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("goalie_id")
+    )
+    return (
+        orders.join(customer, "o_custkey")
+        .groupBy("goalie_id", "team_id", "season")
+        .agg((F.avg("o_totalprice") / 1e6).alias("talent"), F.count(F.lit(1)).alias("shots_faced"))
+        .withColumn("age", (F.col("season") - 1975 + F.col("goalie_id") % 5).cast("double"))
+    )
+
+
 def curve(spark: SparkSession, path: str) -> DataFrame:
     """``part`` as points of a curve."""
     return table(spark, path, "part").select(
