@@ -7,6 +7,7 @@ shots. Deviations reported for effects are conditional on the other effects and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -58,10 +59,12 @@ def cell_table(obs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Effects:
-    """One table per factor (keys, effect, deviation) and the global parameters."""
+    """One table per factor (keys, effect, deviation), the global parameters, and whether the sweeps settled."""
 
     tables: dict[str, DataFrame]
     parameters: dict[str, float]
+    converged: bool = True
+    sweeps: int = 0
 
     def goalies(self) -> DataFrame:
         """Talent per goalie with its 95 % interval, best first."""
@@ -97,12 +100,28 @@ def _with_effects(cells: DataFrame, tables: dict[str, Settled], factors: Sequenc
     return x
 
 
-def fit_effects(cells: DataFrame, sweeps: int = 40, tolerance: float = 1e-8) -> Effects:
+def _leap(history: list[dict[str, float]], names: Sequence[str], most: float = 6.0) -> dict[str, float]:
+    """Variances where their last three values lead: sweeps shrink the error of their logarithms by a steady factor.
+
+    The step ahead is bounded, since the factor is only roughly known while other parameters still move.
+    """
+    a, b, c = history[-3:]
+    out = dict(c)
+    for k in names:
+        first, second = math.log(b[k] / a[k]), math.log(c[k] / b[k])
+        if first and 0.05 < (rate := second / first) < 1:
+            out[k] = max(c[k] * math.exp(max(-most, min(most, second * min(rate / (1 - rate), 50.0)))), 1e-12)
+    return out
+
+
+def fit_effects(cells: DataFrame, sweeps: int = 200, tolerance: float = 1e-4) -> Effects:
     """Alternate between the effects, the three fixed coefficients and the variances until nothing moves.
 
     The cells are computed once. Every step sums what the other effects leave and computes one effect table (checked
     small result or checkpoint), so plans do not grow. The coefficients come from a 3 by 3 system, the variances from
-    expected squares.
+    expected squares. Every third sweep the variances leap ahead to where they tend. The fit has converged when a plain
+    sweep moves no parameter by more than ``tolerance`` of its size or of the noise of a mean cell; otherwise an error is
+    raised after ``sweeps``, so that no unfinished effects are taken for fitted ones.
     """
     kept = settle(cells).df
     first = kept.agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy", "wyy")]).first()
@@ -114,6 +133,8 @@ def fit_effects(cells: DataFrame, sweeps: int = 40, tolerance: float = 1e-8) ->
     for f in FACTORS:
         p[f] = max(p["sigma2"] * first["n"] / first["w"], 1e-12)
     tables: dict[str, Settled] = {}
+    floor = p["sigma2"] * first["n"] / first["w"]
+    history: list[dict[str, float]] = []
     for sweep in range(sweeps):
         fixed = p["alpha"] * F.col("w") + p["beta_traffic"] * F.col("wt") + p["beta_speed"] * F.col("ws")
         for f, keys in FACTORS.items():
@@ -125,9 +146,14 @@ def fit_effects(cells: DataFrame, sweeps: int = 40, tolerance: float = 1e-8) ->
                 sums.select(*keys, "__w", (F.col("__r") / ridge).alias("effect"), F.sqrt(p["sigma2"] / ridge).alias("sd"))
             )
         old, p = p, _parameters(kept, tables, p)
-        if max(abs(p[k] - old[k]) / (abs(old[k]) + 1e-12) for k in p) < tolerance and sweep > 2:
-            break
-    return Effects({f: t.df.drop("__w") for f, t in tables.items()}, p)
+        # Variances count against the noise of a mean cell, coefficients against its deviation.
+        scale = {k: math.sqrt(floor) if k in ("alpha", "beta_traffic", "beta_speed") else floor for k in p}
+        if sweep > 2 and max(abs(p[k] - old[k]) / (abs(old[k]) + scale[k]) for k in p) < tolerance:
+            return Effects({f: t.df.drop("__w") for f, t in tables.items()}, p, True, sweep + 1)
+        history.append(p)
+        if len(history) == 3:
+            p, history = _leap(history, list(FACTORS)), []
+    raise RuntimeError(f"effects did not settle in {sweeps} sweeps: {p}")
 
 
 def _parameters(cells: DataFrame, tables: dict[str, Settled], p: dict[str, float]) -> dict[str, float]:

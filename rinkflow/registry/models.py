@@ -52,7 +52,7 @@ def _fitted(spark, path):
             "away_team_id": F.lit(-1).cast("bigint"),
         }
     )
-    return E.fit_effects(E.cell_table(E.observations(shots, 0, 20)), sweeps=6)
+    return E.fit_effects(E.cell_table(E.observations(shots, 0, 20)))
 
 
 @register("dsis_effects")
