@@ -57,7 +57,7 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing:
     """Move inclusion probabilities through the null-space of (words, documents) until at most two are fractional.
 
     Three fractional units always have a direction that keeps both totals; it is followed to either end with probabilities
-    that keep the expectation. With ``landing`` ``held`` units of all sizes stay out of the flight, and they and the last two
+    that keep the expectation. With ``landing`` very large units are decided first; ``held`` units of all sizes stay out of the flight, and they and the last two
     are decided by trying every sample of them: the one whose words, then documents, come nearest to the expected ones.
     """
     p, eps = p.copy(), 1e-9
@@ -65,6 +65,12 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing:
     mean = max(1.0, float(sizes[rows].mean())) if len(rows) else 1.0
     kept: list[int] = []
     if landing:
+        # A unit that the others could not make up for at the end is decided first, while all of them can.
+        for unit in rows[np.argsort(-sizes[rows], kind="stable")]:
+            if sizes[unit] <= 0.02 * (p[rows] @ sizes[rows]):
+                break
+            _decide(p, int(unit), rows, sizes, rng, eps)
+        rows = np.flatnonzero((p > eps) & (p < 1 - eps))
         spread = np.unique(np.linspace(0, max(0, len(rows) - 1), min(held, len(rows))).astype(int))
         kept = rows[np.argsort(sizes[rows], kind="stable")[spread]].tolist()
         rows = np.setdiff1d(rows, kept)
@@ -85,6 +91,31 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, landing:
     return p
 
 
+def repair(x: np.ndarray, sizes: np.ndarray, words: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Change some units by one, largest first, where that brings the words nearer; x stays between low and high.
+
+    Without it a source whose largest document outweighs the rest could not come near its target.
+    """
+    x, off = x.copy(), float(x @ sizes) - words
+    for i in np.argsort(-sizes, kind="stable"):
+        step = -1 if off > 0 else 1
+        if low[i] <= x[i] + step <= high[i] and abs(off + step * sizes[i]) < abs(off):
+            x[i] += step
+            off += step * sizes[i]
+    return x
+
+
+def _decide(p: np.ndarray, unit: int, rows: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, eps: float) -> None:
+    """Move one unit to 0 or 1; all fractional others move a little the other way, so that the expected words stay."""
+    while eps < p[unit] < 1 - eps:
+        others = rows[(rows != unit) & (p[rows] > eps) & (p[rows] < 1 - eps) & (sizes[rows] > 0)]
+        if not len(others):
+            return
+        room = p[others] * (1 - p[others])
+        move = np.concatenate([[1.0], -sizes[unit] * room / (room @ sizes[others])])
+        _step(p, [unit, *others.tolist()], move, rng, eps)
+
+
 def _step(p: np.ndarray, active: list[int], move: np.ndarray, rng: np.random.Generator, eps: float) -> list[int]:
     """Follow ``move`` or its opposite to the edge of the unit cube; the units that are still fractional."""
     at = p[active]
@@ -124,7 +155,11 @@ def mix_sources(
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["__h", key, "size"], kind="stable")
             seed = int(frame["__h"].iloc[0]) & 0xFFFFFFFFFFFF
-            frame["__p"] = flight(frame["__p"].to_numpy(float), frame["size"].to_numpy(float), np.random.default_rng(seed), landing)
+            p, sizes, times = (frame[c].to_numpy(float) for c in ("__p", "size", "__times"))
+            x = flight(p, sizes, np.random.default_rng(seed), landing)
+            if landing and abs((x - p) @ sizes) > 0.001 * frame["target"].iloc[0]:
+                x = repair(x, sizes, float(p @ sizes), -times, math.floor(most) - times)
+            frame["__p"] = x
             return frame.drop(columns="__h")
 
         return run
