@@ -39,6 +39,7 @@ def interval(mean: Column, sd: Column, z: float) -> tuple[Column, Column]:
     return mean - F.lit(z) * sd, mean + F.lit(z) * sd
 
 
+# The three trend texts.
 def trend_label(current: Column, projected: Column, eps: float = 1e-4) -> Column:
     diff = projected - current
     return (

@@ -207,7 +207,7 @@ def card_stats(
     season: int | None,
     min_shots: int = 200,
 ) -> DataFrame:
-    """One season's goalies with talent, projection, rebound control, percentiles and trend."""
+    """One season's goalies, or all of them with their latest rebound control, with talent, projection, rebound control, percentiles and trend."""
     stats = (
         scored.filter(shot_filter(season))
         .groupBy(F.col(GOALIE).alias("goalie_id"))
@@ -217,8 +217,9 @@ def card_stats(
     )
     x = join_dim(stats, dsis.select("goalie_id", "dsis_true_talent_gsax_per_shot"), ["goalie_id"])
     x = join_dim(x, proj.select("goalie_id", "proj_1yr_talent_per_shot"), ["goalie_id"])
-    of_season = base if season is None else base.filter(F.col("season") == season)
-    x = join_dim(x, of_season.select(F.col(GOALIE).alias("goalie_id"), "rci"), ["goalie_id"])
+    rated = base.withColumnRenamed(GOALIE, "goalie_id")
+    of_season = latest_per_key(rated, "goalie_id", "season", ["rci"]) if season is None else rated.filter(F.col("season") == season)
+    x = join_dim(x, of_season.select("goalie_id", "rci"), ["goalie_id"])
     x = attach_names(x, names, new="Goalie")
     ranked = pct_rank(x, {f"{c}_percentile": c for c in CARD_COLUMNS})
     return ranked.withColumn(
@@ -268,6 +269,12 @@ def unified_metrics(base: DataFrame, dsis: DataFrame, proj: DataFrame) -> DataFr
     return join_dim(x, proj.select("goalie_id", "proj_1yr_talent_per_shot"), ["goalie_id"])
 
 
+def write_unified(metrics: DataFrame, path: str) -> None:
+    """Unified metrics as Parquet and as CSV with a header, below ``path``."""
+    metrics.write.mode("overwrite").parquet(f"{path}/parquet")
+    metrics.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
 def missing_names(dim: DataFrame) -> DataFrame:
     """Rows whose name is only the id."""
     from rinkflow.functions.details import name_missing

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rinkflow.plans import effects as E
@@ -15,7 +16,7 @@ from rinkflow.session import fresh_path
 from rinkflow.sources import roles
 from rinkflow.sources.datasets import rewrite_dataset
 
-# Short budgets; the defaults of the functions are the full ones.
+# Boosting rounds, depth and rate of the registered models: the size of the model, not of the data it is fitted on.
 QUICK = {"rounds": 5, "depth": 4, "rate": 0.2}
 
 part("li_cells", ("scored_li",), """
@@ -104,6 +105,35 @@ def score_shots(spark, path):
     return S.calibrate(scored).select("event_id", "season", "is_goal", "xg_prob")
 
 
+@register("score_shots_totals", using("feats") + "SELECT season, count(*) AS n, CAST(sum(is_goal) AS BIGINT) AS goals, true AS agrees FROM feats GROUP BY 1")
+def score_shots_totals(spark, path):
+    """After calibration the probabilities of a season sum to its goals."""
+    sums = score_shots(spark, path).groupBy("season").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_goal").cast("bigint").alias("goals"), F.sum("xg_prob").alias("p")
+    )
+    return sums.select("season", "n", "goals", (F.abs(F.col("p") - F.col("goals")) < 1e-6 * F.greatest(F.lit(1), "goals")).alias("agrees"))
+
+
+@register("oof_totals", using("feats") + "SELECT season, count(*) AS n, count(DISTINCT event_id) AS events, count(*) AS inside FROM feats GROUP BY 1")
+def oof_totals(spark, path):
+    """Every shot is predicted once, with a probability between 0 and 1."""
+    inside = F.count_if((F.col("oof_prob") > 0) & (F.col("oof_prob") < 1))
+    return oof_predictions(spark, path).groupBy("season").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), inside.alias("inside")
+    )
+
+
+@register("isotonic_totals", using("feats") + "SELECT count(*) AS n, true AS agrees, CAST(0 AS BIGINT) AS inversions FROM feats")
+def isotonic_totals(spark, path):
+    """An isotonic fit keeps the sum of labels and never falls."""
+    oof = L.calibrate_isotonic(L.oof_predictions(_stored_features(spark, path), **QUICK))
+    steps = oof.groupBy("oof_prob").agg(F.min("calibrated_prob").alias("low"), F.max("calibrated_prob").alias("high"))
+    before = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("oof_prob"))
+    falls = steps.select((F.col("low") < before - 1e-12).alias("f")).agg(F.count_if("f").alias("inversions"))
+    sums = oof.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum("calibrated_prob") - F.sum("is_goal")) < 1e-6 * F.count(F.lit(1))).alias("agrees"))
+    return sums.withColumn("inversions", falls.scalar())
+
+
 @register("tune_boosted")
 def tune_boosted(spark, path):
     return L.tune(_stored_features(spark, path), trials=2, folds=2, rounds=3)

@@ -116,7 +116,9 @@ def stratified_split(spark, path):
     return S.stratified_split(rows, "is_goal", "event_id", 0.2, order="event_id")
 
 
-@register("stratified_split_hashed")
+@register("stratified_split_hashed", using("scored") + """
+SELECT is_goal, t.is_test, CASE WHEN t.is_test THEN held ELSE n - held END AS n
+FROM (SELECT is_goal, count(*) AS n, CAST(round(0.2 * count(*)) AS BIGINT) AS held FROM scored GROUP BY 1), (VALUES (true), (false)) t(is_test)""")
 def stratified_split_hashed(spark, path):
     rows = scored(spark, path).select("event_id", "is_goal")
     split = S.stratified_split(rows, "is_goal", "event_id", 0.2)
@@ -135,6 +137,23 @@ def shot_sample(spark, path):
     return ranks.sample_n(rows, "event_id", 2000)
 
 
+def _sample_totals(sample, table, key):
+    """What holds of any sample: its rows, their distinct keys, and how many of them the table has."""
+    found = sample.join(table.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("n_found"))
+    sums = sample.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"))
+    return sums.withColumn("n_found", found.scalar())
+
+
+@register("sample_n_totals", "SELECT least(1000, count(*)) AS n_rows, least(1000, count(*)) AS n_keys, least(1000, count(*)) AS n_found FROM orders")
+def sample_n_totals(spark, path):
+    return _sample_totals(sample_n(spark, path), roles.table(spark, path, "orders"), "o_orderkey")
+
+
+@register("shot_sample_totals", using("scored") + "SELECT least(2000, count(*)) AS n_rows, least(2000, count(*)) AS n_keys, least(2000, count(*)) AS n_found FROM scored")
+def shot_sample_totals(spark, path):
+    return _sample_totals(shot_sample(spark, path), scored(spark, path), "event_id")
+
+
 @register("factorize", using("scored_li") + """
 SELECT goalie_id, first_seen, row_number() OVER (ORDER BY first_seen) - 1 AS code
 FROM (SELECT goalie_id, min(game_id * 1000000 + goalie_id) AS first_seen FROM scored_li GROUP BY 1)""")

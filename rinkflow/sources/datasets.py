@@ -47,7 +47,9 @@ def read_union_by_name(spark: SparkSession, path: str) -> DataFrame | None:
             .load(path)
             .select("path")
         )
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
         return None
 
     def footers(batches: Iterable) -> Iterable:
@@ -98,14 +100,26 @@ def write_dataset(df: DataFrame, path: str, by: Sequence[str] = ("season",)) ->
     return True
 
 
-def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
     """The table at ``path``, or an empty one with the given schema."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        return spark.read.format(kind).load(path)
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
+def _absent(error: AnalysisException) -> bool:
+    """Whether a read failed since nothing is there; any other failure is an error."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def replace_table(df: DataFrame, name: str) -> None:
+    """Create a table from a query, or replace its rows and columns."""
+    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+
+
 def register_views(spark: SparkSession, tables: Mapping[str, DataFrame | None], shots: Sequence[str]) -> list[str]:
     """Register the tables that exist, and ``v_shots`` over ``raw_pbp``."""
     names = []

@@ -17,7 +17,12 @@ def pending(ids: DataFrame, status: DataFrame, key: str = "game_id", max_n: int
 
 
 def status_latest(log: DataFrame, keys: tuple[str, ...] = ("data_type", "game_id"), order: str = "seq") -> DataFrame:
-    """State of every id: completion is never revoked, and a failure counts until a later completion."""
+    """State of every id: completion is never revoked, and a failure counts until a later completion.
+
+    The season is part of the key where the log has one.
+    """
+    if "season" in log.columns and "season" not in keys:
+        keys = ("season", *keys)
     done = F.max(F.when(F.col("state") == "complete", F.col(order)))
     failed = F.max(F.when(F.col("state") == "failed", F.col(order)))
     message = F.max_by("message", F.when(F.col("state") == "failed", F.col(order)))
@@ -51,6 +56,8 @@ def ingest_available(spark: SparkSession, landed: str, target: str, schema: str,
     """
 
     def take(docs: DataFrame, batch: int) -> None:
+        # Each file is read and parsed once for plays, good and bad states.
+        docs = docs.persist()
         good, bad = split_bad(docs)
         plays = flatten_pbp(good)
         write_dataset(plays, f"{target}/plays/batch={batch}")
@@ -58,6 +65,7 @@ def ingest_available(spark: SparkSession, landed: str, target: str, schema: str,
             bad.select("source_file", F.lit("failed").alias("state"), F.lit("malformed document").alias("message"))
         )
         states.withColumn("seq", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{target}/status/batch={batch}")
+        docs.unpersist()
 
     query = (
         read_stream(spark, landed, schema, files_per_batch)

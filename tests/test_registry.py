@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 CHOSEN = (
     "flatten_nested_events quarantine status_latest union_by_name shot_features shot_features_ref interval_join arena_bias "
     "sequence_anomalies_ref quality_report calibrate_season eval_auc group_folds goalie_season_metrics pct_rank kalman_projection "
-    "loess_local_linear leaderboard goalie_detail card_stats shrinkage_sweep2"
+    "loess_local_linear leaderboard goalie_detail card_stats shrinkage_sweep2 kalman_traded kalman_traded_last"
 ).split()
 NAMES = list(entry.queries()) if os.environ.get("RINKFLOW_ALL") else CHOSEN
 

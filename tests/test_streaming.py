@@ -1,6 +1,6 @@
 import json
 
-from tests.test_documents import GAME
+from tests.test_documents import MATCH
 
 from rinkflow.schemas import PBP_DOCUMENT
 from rinkflow.sources import documents as D
@@ -17,14 +17,14 @@ def test_landed_files_are_taken_once(spark, tmp_path):
     def run():
         ingest.ingest_available(spark, str(landed), target, PBP_DOCUMENT, state, files_per_batch=1)
 
-    land("1.json", {**GAME, "id": 1})
+    land("1.json", {**MATCH, "id": 1})
     land("2.json", '{"id": 2, "plays": [')
     run()
-    land("3.json", {**GAME, "id": 3})
+    land("3.json", {**MATCH, "id": 3})
     run()
     run()
     plays = spark.read.parquet(f"{target}/plays")
-    assert sorted(r["game_id"] for r in plays.select("game_id").collect()) == [1] * 4 + [3] * 4
+    assert sorted(r["game_id"] for r in plays.select("game_id").collect()) == [1] * 5 + [3] * 5
     status = spark.read.parquet(f"{target}/status")
     assert sorted(r["state"] for r in status.collect()) == ["complete", "complete", "failed"]
     batch = D.flatten_pbp(D.split_bad(D.read_documents(spark, str(landed), PBP_DOCUMENT).cache())[0])
