@@ -40,7 +40,7 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def near_vectors(
-    base: DataFrame, cosine: float = 0.93, most_pivots: int = 512, per_pivot: int = 1000, block: int = 2048,
+    base: DataFrame, cosine: float = 0.93, most_pivots: int = 512, per_pivot: int = 1000, block: int = 2048, most_cells: int = 100_000,
     key: str = "vec_id", vector: str = "embedding", label: str = "label",
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
@@ -117,7 +117,9 @@ def near_vectors(
         F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("home"), 1)) / block)).cast("int").alias("nh"),
         F.ceil(F.count(F.when(~F.col("home"), 1)) / block).cast("int").alias("nf"),
     )
-    cut = placed.join(F.broadcast(sizes) if len(picked) <= most_pivots and len(pivots) else sizes, cell)
+    sizes = stored(sizes, "cell-sizes")
+    # A row per cell: few where labels are few, else joined by shuffle.
+    cut = placed.join(F.broadcast(sizes) if sizes.count() <= most_cells else sizes, cell)
     cut = cut.withColumn("b", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("nf"))).cast("int"))
     # A task (x, y) pairs home block x with block y: home blocks from x on, then the blocks of copies.
     first = F.transform(F.sequence(F.lit(0), F.col("nh") + F.col("nf") - 1), lambda y: F.struct(F.col("b").alias("x"), y.alias("y"), F.lit(True).alias("left")))

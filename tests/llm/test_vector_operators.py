@@ -85,7 +85,7 @@ def test_metric_join(spark, frame, rows):
         if (new == reach).all():
             break
         reach = new
-    for options in ({}, {"per_pivot": 20, "block": 16}, {"most_pivots": 3}):
+    for options in ({}, {"per_pivot": 20, "block": 16}, {"most_pivots": 3, "most_cells": 0}):
         got = {r["vec_id"]: r for r in metric.near_vectors(frame, **options).collect()}
         for i, r in enumerate(rows):
             own = got[r[0]]
