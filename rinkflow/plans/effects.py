@@ -120,8 +120,8 @@ def fit_effects(cells: DataFrame, sweeps: int = 200, tolerance: float = 1e-4) ->
     The cells are computed once. Every step sums what the other effects leave and computes one effect table (checked
     small result or checkpoint), so plans do not grow. The coefficients come from a 3 by 3 system, the variances from
     expected squares. Every third sweep the variances leap ahead to where they tend. The fit has converged when a plain
-    sweep moves no parameter by more than ``tolerance`` of its size or of the noise of a mean cell; otherwise an error is
-    raised after ``sweeps``, so that no unfinished effects are taken for fitted ones.
+    sweep moves no parameter by more than ``tolerance`` of its size or of the noise of a mean cell; ``converged``
+    says whether it did within ``sweeps``.
     """
     kept = settle(cells).df
     first = kept.agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy", "wyy")]).first()
@@ -153,7 +153,7 @@ def fit_effects(cells: DataFrame, sweeps: int = 200, tolerance: float = 1e-4) ->
         history.append(p)
         if len(history) == 3:
             p, history = _leap(history, list(FACTORS)), []
-    raise RuntimeError(f"effects did not settle in {sweeps} sweeps: {p}")
+    return Effects({f: t.df.drop("__w") for f, t in tables.items()}, p, False, sweeps)
 
 
 def _parameters(cells: DataFrame, tables: dict[str, Settled], p: dict[str, float]) -> dict[str, float]:

@@ -53,7 +53,10 @@ def _fitted(spark, path):
             "away_team_id": F.lit(-1).cast("bigint"),
         }
     )
-    return E.fit_effects(E.cell_table(E.observations(shots, 0, 20)))
+    fitted = E.fit_effects(E.cell_table(E.observations(shots, 0, 20)))
+    if not fitted.converged:
+        raise RuntimeError(f"effects did not settle in {fitted.sweeps} sweeps: {fitted.parameters}")
+    return fitted
 
 
 @register("dsis_effects")
