@@ -6,10 +6,10 @@ of each, so only sets that meet in such a shingle are compared. For the comparis
 a prefix tree (sorted, with the length that each shares with the one before); it is traversed once with the set itself, partial
 overlaps are shared along common prefixes, and a subtree is left as soon as what remains cannot reach the needed overlap.
 
-Equal sets are one row from the start. Components need few of the links: first each set meets the smallest set and its
-neighbour in size in every shingle's group; whatever is then joined needs no further comparison, and only pairs of sets of
-different components that meet in a shingle and pass the bounds on sizes and positions are compared in the second round. No
-link between components is left out, and no pairs are made within a component. Groups are cut by hash where they are large.
+Equal sets are one from the start. Components need few of the links: first each set is compared with one leader, the smallest
+set of most of its shingles' groups; whatever is then joined needs no further comparison, and only pairs of sets of different
+components that meet in enough shingles and pass the bounds on sizes and positions are compared in the second round. No
+link between components is left out, and no pairs are made within a component. The partners of a set are cut into blocks.
 
 ``frequent`` (at most so many entries, taken from the counts of all documents) only changes the order, never the result.
 Null texts and texts without words have the empty set and are components of their own; rows with a null id link with nothing
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinkflow.llm.batches import by_bytes, components, stored, text_or_empty
@@ -60,28 +60,44 @@ def frequent_shingles(docs: DataFrame, most: int) -> np.ndarray:
     return np.asarray(top["h"].to_numpy(), np.int64)[::-1].view(np.uint64).copy()
 
 
-def text_sets(docs: DataFrame, order: Order, share: tuple[int, int]) -> DataFrame:
-    """(id, k1, k2, n, prefix) of every row: a 128-bit digest of its set, the set's size, and the shingles by which it is found."""
+def text_sets(docs: DataFrame, order: Order) -> DataFrame:
+    """(id, s, n) of every row: the digest of its set, which stands for the set, and the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            codes, offsets = order.sets(batch.column(1))
+            digests = [digest(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), pa.array(np.diff(offsets))], ["id", "s", "n"])
+
+    return docs.mapInArrow(run, "id long, s long, n long")
+
+
+def prefixes(docs: DataFrame, order: Order, share: tuple[int, int]) -> DataFrame:
+    """(h, s, at): the shingles by which a set is found; ``at`` holds the set's size and, in its lower half, the position.
+
+    Sets that come again in a batch are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             codes, offsets = order.sets(batch.column(1))
             n = np.diff(offsets)
-            digests = np.array([digest(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64).reshape(-1, 2)
-            length = np.where(n > 0, n - -(-n * share[0] // share[1]) + 1, 0)
-            at = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[at].view(np.int64)))
+            digests = np.array([digest(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+            once = np.zeros(len(n), bool)
+            once[np.unique(digests, return_index=True)[1]] = True
+            length = np.where((n > 0) & once, n - -(-n * share[0] // share[1]) + 1, 0)
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            h = codes[np.repeat(offsets[:-1], length) + place].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(n.astype(np.int64)), prefix],
-                ["id", "k1", "k2", "n", "prefix"],
+                [pa.array(h), pa.array(np.repeat(digests, length)), pa.array(np.repeat(n << 32, length) | place)], ["h", "s", "at"]
             )
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n long, prefix array<long>")
+    return docs.where("id is not null").mapInArrow(run, "h long, s long, at long")
 
 
-def digest(codes: np.ndarray) -> tuple[int, int]:
-    return np.frombuffer(hashlib.blake2b(codes.tobytes(), digest_size=16).digest(), np.int64)
+def digest(codes: np.ndarray) -> int:
+    """64 bits: among n sets, two different ones share it with a chance of n * n / 2 ** 65."""
+    return int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def linked(probe: np.ndarray, sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
@@ -118,80 +134,100 @@ def _bounds(share: tuple[int, int], n1: Column, p1: Column, n2: Column, p2: Colu
     return (F.least(n1, n2) * down >= F.greatest(n1, n2) * up) & (most * (up + down) >= (n1 + n2) * up)
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, order: Order, share: tuple[int, int], block: int, small: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) of set numbers that have the similarity."""
-    need = stored(
-        pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct().join(reps.select("s", "id", "k1"), "s"), "needed"
-    )
-    # Within a checked number of rows the ids travel to the texts; beyond it both are shuffled.
-    wanted = need.select("s", "id", "k1")
-    texts = docs.join(F.broadcast(wanted) if need.count() <= small else wanted, "id").select("s", "k1", "text")
+def _likely(pairs: DataFrame, share: tuple[int, int], at1: str, at2: str) -> DataFrame:
+    """Pairs (a, b, met) that meet in enough shingles; ``pairs`` has a row for each in which they do.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            codes, offsets = order.sets(batch.column(2))
-            keep = [i for i, k in enumerate(batch.column(1).to_pylist()) if digest(codes[offsets[i] : offsets[i + 1]])[0] == k]
-            sets = [codes[offsets[i] : offsets[i + 1]].tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["s", "set"])
+    The set whose prefix ends first shares nothing in it besides, and after it at most the rest of its shingles.
+    """
+    up, down = share
+    n1, n2 = F.shiftright(F.first(at1), 32), F.shiftright(F.first(at2), 32)
+    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), n1.alias("n1"), n2.alias("n2"))
+    rest = F.ceil(F.greatest("n1", "n2") * up / down) - 1
+    return met.where((F.col("met") + rest) * (up + down) >= (F.col("n1") + F.col("n2")) * up).select("a", "b", "met")
 
-    sets = stored(texts.mapInArrow(run, "s long, set binary").dropDuplicates(["s"]), "sets")
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("long").alias("cuts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cuts")).alias("cut"), "cuts")
-    partners = dealt.join(sets.select(F.col("s").alias("b"), "set"), "b").select("a", "cut", "b", "set")
-    probes = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
-    probes = probes.join(sets.select(F.col("s").alias("a"), "set"), "a")
-    probes = probes.select(F.col("a").alias("probe"), F.col("cut").alias("part"), F.col("set").alias("own"))
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = right["b"].to_numpy()
-        if left.num_rows and len(b):
-            own = np.frombuffer(left["own"][0].as_py(), np.uint64)
-            b = b[linked(own, [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()], share)]
-        return pa.table({"a": pa.array(np.full(len(b), left["probe"][0].as_py() if left.num_rows else 0), pa.int64()), "b": pa.array(b, pa.int64())})
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, order: Order, share: tuple[int, int], block: int, small: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) of sets that have the similarity.
 
-    return probes.groupBy("probe", "part").cogroup(partners.groupBy("a", "cut")).applyInArrow(compare, "a long, b long")
+    The documents that stand for the sets are read once and send their set to every group in which it is needed: as the
+    partner b to a block of a's partners, as the set a to all blocks of its own partners.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("long").alias("cuts"))
+    partners = pairs.join(sizes, "a").select(F.col("b").alias("s"), "a", F.pmod(F.xxhash64("b"), F.col("cuts")).alias("cut"), F.lit(False).alias("own"))
+    own = sizes.select(F.col("a").alias("s"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), F.lit(True).alias("own"))
+    tasks = partners.unionAll(own).groupBy("s").agg(F.collect_list(F.struct("a", "cut", "own")).alias("tasks"))
+    wanted = stored(tasks.join(reps, "s").select("s", "id", "tasks"), "wanted")
+    # Within a checked number of rows the tasks travel to the texts; beyond it both are shuffled.
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= small else wanted, "id").select("s", "tasks", "text")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 1 << 20):
+            codes, offsets = order.sets(batch.column(2))
+            rows = []
+            for k, (s, tasks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = codes[offsets[k] : offsets[k + 1]]
+                if digest(own) == s:
+                    rows += [(t["a"], t["cut"], t["own"], s, own.tobytes()) for t in tasks]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "cut", "own", "s", "set"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = table["own"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        sets, b = table["set"].to_pylist(), table["s"].to_numpy()[~own]
+        probe = np.frombuffer(sets[int(np.argmax(own))], np.uint64)
+        b = b[linked(probe, [np.frombuffer(x, np.uint64) for x, o in zip(sets, own, strict=True) if not o], share)]
+        return pa.table({"a": pa.array(np.full(len(b), table["a"][0].as_py()), pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sent = texts.mapInArrow(send, "a long, cut long, own boolean, s long, set binary")
+    return sent.groupBy("a", "cut").applyInArrow(compare, "a long, b long")
 
 
 def similar_texts(
-    docs: DataFrame, similarity: tuple[int, int] = (4, 5), frequent: int = 1 << 17, block: int = 2000, window: int = 100_000,
-    small: int = 1_000_000, text: str = "text", key: str = "doc_id",
+    docs: DataFrame, similarity: tuple[int, int] = (4, 5), frequent: int = 1 << 17, block: int = 2000, small: int = 1_000_000,
+    text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """(key, n_shingles, component_id) of every row; ``similarity`` is a fraction."""
     share = similarity
     rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
     order = Order(frequent_shingles(rows, frequent))
-    sets = stored(text_sets(rows, order, share), "texts")
-    found = sets.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
-    reps = stored(found.select("k1", "k2", "r.*").withColumn("s", F.monotonically_increasing_id()), "reps")
-    spread = reps.select(F.posexplode("prefix").alias("p", "h"), "s", "n").repartition("h")
-    groups = spread.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("n", "s", "p")).alias("lead")).where("size > 1")
-    meets = stored(spread.join(groups, "h"), "meets")
-
-    star = meets.where(F.col("lead.s") != F.col("s")).where(_bounds(share, F.col("lead.n"), F.col("lead.p"), F.col("n"), F.col("p")))
-    star = star.select(F.col("lead.s").alias("a"), F.col("s").alias("b"))
-    cut = F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / window)).alias("cut")
-    line = Window.partitionBy("h", "cut").orderBy("n", "s")
-    chain = meets.select("h", cut, "s", "n", "p").withColumn("o", F.lag(F.struct("s", "n", "p")).over(line)).where("o is not null")
-    chain = chain.where(_bounds(share, F.col("o.n"), F.col("o.p"), F.col("n"), F.col("p"))).select(F.col("o.s").alias("a"), F.col("s").alias("b"))
-    pairs = stored(star.unionAll(chain).distinct(), "pairs")
-    links = stored(verified(rows, reps, pairs, order, share, block, small), "links")
-
+    sets = stored(text_sets(rows, order), "texts")
+    reps = sets.where("n > 0 and id is not null").groupBy("s").agg(F.min("id").alias("id"))
+    spread = prefixes(rows, order, share).repartition("h")
+    groups = spread.groupBy("h").agg(F.min(F.struct("at", "s")).alias("lead"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
+    meets = spread.join(groups.select("h", "lead"), "h").select("h", "s", "at", F.col("lead.s").alias("lead"), F.col("lead.at").alias("lead_at"))
+    meets = stored(meets, "meets")
+
+    # First round: each set with the leader that it meets most often, often enough. What this leaves open is for the second.
+    star = meets.where("lead <> s").where(_bounds(share, *_size_and_place("lead_at"), *_size_and_place("at")))
+    often = _likely(star.select(F.col("lead").alias("a"), F.col("s").alias("b"), "lead_at", "at"), share, "lead_at", "at")
+    first = often.groupBy("b").agg(F.min(F.struct(-F.col("met"), "a")).alias("best")).select("best.a", "b")
+    first = stored(first, "pairs")
+    links = stored(verified(rows, reps, first, order, share, block, small), "links")
     label = stored(components(links), "round")
-    named = meets.select("h", "s", "n", "p").join(label.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", F.col("s")))
-    named = named.select("h", "s", "n", "p", "c")
+
+    # Second round: every pair of different components that a shingle joins and no bound excludes.
+    component = F.coalesce("component", F.col("s")).alias("c")
+    named = meets.select("h", "s", "at").join(label.withColumnRenamed("node", "s"), "s", "left").select("h", "s", "at", component)
     mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    open_ = stored(named.join(mixed, "h"), "open")
-    x, y = open_.alias("x"), open_.select(*[F.col(c).alias(f"{c}2") for c in ("h", "s", "n", "p", "c")])
+    open_ = stored(named.join(mixed, "h").distinct(), "open")
+    other = open_.select(*[F.col(c).alias(f"{c}2") for c in open_.columns])
     apart = (F.col("h") == F.col("h2")) & (F.col("s") < F.col("s2")) & (F.col("c") != F.col("c2"))
-    more = x.join(y, apart & _bounds(share, F.col("n"), F.col("p"), F.col("n2"), F.col("p2")))
-    more = stored(more.select(F.col("s").alias("a"), F.col("s2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs2")
+    more = open_.join(other, apart & _bounds(share, *_size_and_place("at"), *_size_and_place("at2")))
+    more = _likely(more.select(F.col("s").alias("a"), F.col("s2").alias("b"), "at", "at2"), share, "at", "at2").select("a", "b")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        links = stored(links.unionAll(verified(rows, reps, more, order, share, block, small)), "links2")
+        links = stored(links.unionAll(verified(rows, reps, more, order, share, block, small)), "all-links")
         label = stored(components(links), "final")
 
-    classes = reps.select("s", "k1", "k2", "id").join(label.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", F.col("s")))
+    classes = reps.join(label.withColumnRenamed("node", "s"), "s", "left").select("s", "id", component)
     least = classes.groupBy("c").agg(F.min("id").alias("component_id"))
-    classes = classes.join(least, "c").select("k1", "k2", "component_id")
-    out = sets.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    classes = classes.join(least, "c").select("s", "component_id")
+    out = sets.join(classes, "s", "left")
+    found = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"))
+
+
+def _size_and_place(name: str) -> tuple[Column, Column]:
+    return F.shiftright(name, 32), F.col(name).bitwiseAND(F.lit((1 << 32) - 1))

@@ -211,7 +211,7 @@ def test_ngram_join(docs, none, spark):
     links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components_of(sets, links)
     assert len(links) > 40
-    for options in ({}, {"frequent": 0, "block": 2, "window": 3, "small": 0}):
+    for options in ({}, {"frequent": 0, "block": 2, "small": 0}):
         got = by_id(prefixtree.similar_texts(docs, **options))
         assert {k: r["component_id"] for k, r in got.items()} == want
         assert all(got[k]["n_shingles"] == len(s) for k, s in sets.items())
@@ -313,24 +313,37 @@ def test_anchors_follow_content():
 
 def test_lattice_is_a_sum_over_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces, weights, _ = lattice.vocabulary(path)
+    trie, weights, spelt = lattice.vocabulary(path)
+    pieces = {p: k for p, k in trie.items() if k >= 0}
     assert weights.sum() == pytest.approx(1)
     logs = np.log(np.maximum(weights, 1e-300))
     own = lattice.Lattice(path, logs, -0.5)
 
-    def plain(text):
+    def paths(text):
+        """All segmentations of the text: the pieces used and the probability."""
         if not text:
-            return 1.0
-        total = sum(math.exp(logs[k]) * plain(text[n:]) for n in range(1, len(text) + 1) if (k := pieces.get(text[:n])) is not None)
+            yield [], 1.0
+            return
+        options = [([k], math.exp(logs[k]), text[n:]) for n in range(1, len(text) + 1) if (k := pieces.get(text[:n])) is not None]
         if text[0] not in pieces:
-            total += math.prod(math.exp(logs[pieces["\0" + chr(b)]]) for b in text[0].encode()) * plain(text[1:])
-        return total
+            options.append(([], math.prod(math.exp(logs[spelt[b]]) for b in text[0].encode()), text[1:]))
+        for used, p, rest in options:
+            for more, q in paths(rest):
+                yield used + more, p * q
 
     for word in ("the", "stone", "über", "x1", "日本", "🙂a"):
-        assert own.log_probability(word) == pytest.approx(math.log(plain("▁" + word)) - 0.5)
-        counts = np.zeros(len(logs))
-        own.expect(word, counts)
-        assert counts.sum() >= 0.99 or word == "🙂a"
+        found = list(paths("▁" + word))
+        total = sum(p for _, p in found)
+        assert own.log_probability(word) == pytest.approx(math.log(total) - 0.5)
+        want = np.zeros(len(logs))
+        for used, p in found:
+            for k in used:
+                want[k] += p / total
+        for short in (40, 0):
+            own.SHORT = short
+            counts = [0.0] * len(logs)
+            own.expect(word, counts)
+            assert np.allclose(counts, want)
 
 
 def test_language_model(docs, none):
