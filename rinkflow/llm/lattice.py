@@ -32,73 +32,99 @@ START = "▁"
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], np.ndarray, int]:
-    """Pieces by text, weights by Zipf's law from their scores, and the length of the longest. Bytes stand for all else."""
+def vocabulary(path: str) -> tuple[dict[str, int], np.ndarray, list[int]]:
+    """A trie of the pieces (number of each piece, -1 for what only begins one), weights by Zipf's law from their scores, and
+    the pieces of the 256 bytes, which spell characters without a piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
-    pieces, weights = {}, np.zeros(n)
+    trie, weights, spelt = {}, np.zeros(n), [-1] * 256
     for i in range(n):
         if model.is_control(i) or model.is_unknown(i):
             continue
         piece = model.id_to_piece(i)
         rank = n if model.is_byte(i) else min(n, -model.get_score(i))
         weights[i] = 1 / (rank + 2.7)
-        pieces[("\0" + chr(int(piece[3:5], 16))) if model.is_byte(i) else piece] = i
-    return pieces, weights / weights.sum(), max(len(p) for p in pieces)
+        if model.is_byte(i):
+            spelt[int(piece[3:5], 16)] = i
+            continue
+        for k in range(1, len(piece)):
+            trie.setdefault(piece[:k], -1)
+        trie[piece] = i
+    return trie, weights / weights.sum(), spelt
 
 
 class Lattice:
     """Marginal probabilities of words under piece log-probabilities."""
 
+    #: Words up to this length can't underflow without logarithms: a piece has a probability of 1e-5 or so.
+    SHORT = 40
+
     def __init__(self, path: str, logs: np.ndarray, stop: float):
-        self.pieces, _, self.longest = vocabulary(path)
+        self.trie, _, self.spelt = vocabulary(path)
         self.logs, self.stop = logs.tolist(), stop
 
-    def arcs(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position of the word with its start mark, the arcs (start, piece) into it."""
-        text, pieces = START + word, self.pieces
-        n = len(text)
-        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int, float]]]:
+        """Length of the word with its start mark, and its arcs (start, end, piece, log-probability) by start."""
+        text, trie, logs = START + word, self.trie, self.logs
+        n, out = len(text), []
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (k := pieces.get(text[i:j])) is not None:
-                    into[j].append((i, k))
-            if text[i] not in pieces:  # a character without a piece is spelt by bytes, as one arc
-                into[i + 1].append((i, -1 - i))
-        return into
-
-    def cost(self, text: str, piece: int) -> float:
-        if piece >= 0:
-            return self.logs[piece]
-        return sum(self.logs[self.pieces["\0" + chr(b)]] for b in text[-1 - piece].encode("utf-8", "surrogatepass"))
-
-    def forward(self, word: str, into: list) -> list[float]:
-        logs, text = self.logs, START + word
-        alpha = [0.0] + [-math.inf] * (len(into) - 1)
-        for j in range(1, len(into)):
-            terms = [alpha[i] + (logs[k] if k >= 0 else self.cost(text, k)) for i, k in into[j] if alpha[i] > -math.inf]
-            if terms:
-                top = max(terms)
-                alpha[j] = top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms))
+            for j in range(i + 1, n + 1):
+                k = trie.get(text[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    out.append((i, j, k, logs[k]))
+            if trie.get(text[i], -1) < 0:  # a character without a piece is spelt by its bytes, as one arc
+                spelt = text[i].encode("utf-8", "surrogatepass")
+                out.append((i, i + 1, -1, sum(logs[self.spelt[b]] for b in spelt)))
+        return n, out
+
+    @staticmethod
+    def forward(n: int, arcs: list[tuple[int, int, int, float]]) -> list[float]:
+        """Log-probability of all ways to each position."""
+        alpha = [0.0] + [-math.inf] * n
+        for i, j, _, log in arcs:
+            new, old = alpha[i] + log, alpha[j]
+            if old == -math.inf:
+                alpha[j] = new
+            elif new > old:
+                alpha[j] = new + math.log1p(math.exp(old - new))
+            else:
+                alpha[j] = old + math.log1p(math.exp(new - old))
         return alpha
 
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the sum over all segmentations, the end of the word included."""
-        return self.forward(word, self.arcs(word))[-1] + self.stop
+        return self.forward(*self.arcs(word))[-1] + self.stop
 
-    def expect(self, word: str, counts: np.ndarray) -> None:
+    def expect(self, word: str, counts: list[float]) -> None:
         """Add the expected uses of every piece in the word."""
-        into = self.arcs(word)
-        alpha, text = self.forward(word, into), START + word
-        beta = [-math.inf] * (len(into) - 1) + [0.0]
-        for j in range(len(into) - 1, 0, -1):
-            for i, k in into[j]:
-                t = beta[j] + self.cost(text, k)
-                beta[i] = t if beta[i] == -math.inf else max(t, beta[i]) + math.log1p(math.exp(-abs(t - beta[i])))
-                if k >= 0:
-                    counts[k] += math.exp(alpha[i] + t - alpha[-1])
+        n, arcs = self.arcs(word)
+        if n > self.SHORT:
+            self._expect_long(n, arcs, counts)
+            return
+        exp = math.exp
+        chances = [exp(log) for _, _, _, log in arcs]
+        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for (i, j, _, _), q in zip(arcs, chances, strict=True):
+            alpha[j] += alpha[i] * q
+        all_ = alpha[n]
+        for (i, j, k, _), q in zip(reversed(arcs), reversed(chances), strict=True):
+            share = q * beta[j]
+            beta[i] += share
+            if k >= 0:
+                counts[k] += alpha[i] * share / all_
+
+    def _expect_long(self, n: int, arcs: list, counts: list[float]) -> None:
+        alpha = self.forward(n, arcs)
+        beta = [-math.inf] * n + [0.0]
+        for i, j, k, log in reversed(arcs):
+            t = beta[j] + log
+            beta[i] = t if beta[i] == -math.inf else max(t, beta[i]) + math.log1p(math.exp(-abs(t - beta[i])))
+            if k >= 0:
+                counts[k] += math.exp(alpha[i] + t - alpha[n])
 
 
 def cut_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -115,11 +141,12 @@ def _fitted(words: DataFrame, path: str, logs: np.ndarray, end: float, prior: np
     """One step of expectation over distinct words: log-probabilities of pieces and of a word's end. One number per piece returns."""
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = Lattice(path, logs, end), np.zeros(len(prior) + 1)
+        lattice, sums = Lattice(path, logs, end), [0.0] * (len(prior) + 1)
         for batch in batches:
             for word in strings(batch.column(0)):
-                lattice.expect(word, counts)
-            counts[-1] += batch.num_rows
+                lattice.expect(word, sums)
+            sums[-1] += batch.num_rows
+        counts = np.array(sums)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["piece", "n"])
 
