@@ -220,9 +220,11 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The bytes around each wanted anchor."""
     for batch in by_bytes(batches, "text"):
         rows = []
-        for key, text, wanted in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        wanted = zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)
+        for key, text, lists in zip(batch.column(0).to_pylist(), strings(batch.column(1)), wanted, strict=True):
             data = text.encode("utf-8")
-            rows += [(w["g"], w["block"], w["blocks"], key, w["at"], w["low"], w["high"], data[w["low"] : w["high"] + LENGTH]) for w in wanted]
+            for g, block, blocks, at, low, high in zip(*lists, strict=True):
+                rows.append((g, block, blocks, key, at, low, high, data[low : high + LENGTH]))
         cut = list(zip(*rows, strict=True)) or [[]] * 8
         names = ["g", "block", "blocks", "id", "at", "low", "high", "bytes"]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "bytes" else pa.int64()) for c, k in zip(cut, names, strict=True)], names)
@@ -255,8 +257,10 @@ def repeated_spans(docs: DataFrame, block: int = 2000, small: int = 200_000, tex
     spans = kept.where(again).select("id", F.col("low").alias("s"), end.alias("e"))
 
     blocks = F.ceil(F.col("kinds") / block).cast("long")
-    wanted = kept.where(~again).select("id", "g", F.pmod(F.xxhash64("id", "at"), blocks).alias("block"), blocks.alias("blocks"), "at", "low", "high")
-    wanted = stored(wanted.groupBy("id").agg(F.collect_list(F.struct("g", "block", "blocks", "at", "low", "high")).alias("wanted")), "wanted")
+    fields = {"block": F.pmod(F.xxhash64("id", "at"), blocks), "blocks": blocks, "at": F.col("at"), "low": F.col("low"), "high": F.col("high")}
+    wanted = kept.where(~again).select("id", F.struct("g", *[c.cast("int").alias(n) for n, c in fields.items()]).alias("w"))
+    # Lists of plain numbers take less than half the memory of a list of structs.
+    wanted = stored(wanted.groupBy("id").agg(F.collect_list("w").alias("w")).select("id", "w.g", *[f"w.{n}" for n in fields]), "wanted")
     texts = rows.join(_sized(wanted, small), "id").dropDuplicates(["id"]) if _repeats(rows) else rows.join(_sized(wanted, small), "id")
     around = texts.mapInArrow(_surroundings, "g long, block long, blocks long, id long, at long, low long, high long, bytes binary")
     sorted_ = around.repartition("g", "block").sortWithinPartitions("g", "block")
