@@ -41,6 +41,7 @@ HIDDEN = re.compile(
     rf"(?<!\w)(?=[\w{ODD_CHARS}]*[^\W\d_])(?:[\w{ODD_CHARS}]*[{ODD_CHARS}][\w{ODD_CHARS}]*|\w*([^\W\d_])\1\1\w*)"
     rf"|(?<!\w)[\w{ODD_CHARS}](?:([ .\-_*])[\w{ODD_CHARS}])(?:\2[\w{ODD_CHARS}])+(?!\w)"
 )
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 #: Letters of the character model: none, a-z, and the Latin letters of one byte.
 LETTERS = [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)] if c != 0xF7]
 SYMBOLS = len(LETTERS) + 1
@@ -125,20 +126,54 @@ class Decoder:
 
 def words_of(text: str, decoder: Decoder) -> set[str]:
     """Distinct words in lower case, restored ones included."""
-    low = text.lower()
-    words = set(WORD.findall(low))
-    for found in HIDDEN.finditer(low):
+    tokens = text.lower().split()
+    distinct = set(tokens)
+    lines = [t for t in distinct if not t.isalpha()]
+    words = distinct.difference(lines)
+    # Plain letters hide nothing unless one repeats; what else is there is searched on lines of its own.
+    if TRIPLE.search("\n".join(words)):
+        repeated = [t for t in words if TRIPLE.search(t)]
+        words, lines = words | set(WORD.findall(" ".join(lines))), lines + repeated
+    else:
+        words |= set(WORD.findall(" ".join(lines)))
+    single = [i for i, t in enumerate(tokens) if len(t) == 1]
+    lines += [" ".join(run) for run in _runs(tokens, single) if len(run) > 3]
+    for found in HIDDEN.finditer("\n".join(lines)):
         run = found[0].rstrip(CLOSING)
         if 3 <= len(run) <= 40 and HIDDEN.fullmatch(run):
             words.add(decoder.restore(run))
     return words
 
 
+def _runs(tokens: list[str], single: list[int]) -> Iterator[list[str]]:
+    """Tokens of one character that follow each other."""
+    start = 0
+    for k in range(1, len(single) + 1):
+        if k == len(single) or single[k] != single[k - 1] + 1:
+            yield tokens[single[start] : single[k - 1] + 1]
+            start = k
+
+
 def entries(words: set[str]) -> set[str]:
     """Words, and their stems marked by a star."""
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+class Lexicon:
+    """Weights of words and of stems."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.words = {e: q for e, q in weights.items() if not e.endswith("*")}
+        self.stems = {n: {e[:-1]: q for e, q in weights.items() if e.endswith("*") and len(e) == n + 1} for n in STEMS}
+
+    def evidence(self, words: set[str]) -> float:
+        """1 minus the product of the chances that none of the three strongest entries is right."""
+        found = [self.words[w] for w in words & self.words.keys()]
+        for n, stems in self.stems.items():
+            found += [stems[s] for s in {w[:n] for w in words if len(w) > n} & stems.keys()]
+        return 1 - math.prod(1 - q for q in sorted(found, reverse=True)[:3])
+
+
 def _labelled(labels: DataFrame, train: Column, sample: int, key: str, label: str) -> tuple[DataFrame, float, float]:
     """At most ``sample`` toxic and twice as many other rows with their weights: how many rows each stands for."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & train)
@@ -188,15 +223,12 @@ def toxic_scores(
             bad, good = r["bad"] * bad_weight, r["good"] * good_weight
             weights[r["entry"]] = (bad + 0.1) / (bad + good + 1)
 
-    def evidence(text: str, decoder: Decoder) -> float:
-        """1 minus the product of the chances that none of the three strongest entries is right."""
-        found = sorted((weights[e] for e in entries(words_of(text, decoder)) if e in weights), reverse=True)[:3]
-        return 1 - math.prod(1 - q for q in found)
+    lexicon_ = Lexicon(weights)
 
     def silent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
         for batch in by_bytes(batches, "text"):
-            none = [evidence(t, decoder) == 0 for t in strings(batch.column(0))]
+            none = [lexicon_.evidence(words_of(t, decoder)) == 0 for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(none), batch.column(1)], ["none", "bad"])
 
     rest = {r["bad"]: r["count"] for r in rows.mapInArrow(silent, "none boolean, bad boolean").where("none").groupBy("bad").count().collect()}
@@ -206,7 +238,7 @@ def toxic_scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
         for batch in by_bytes(batches, "text"):
-            values = [1 - (1 - rate) * (1 - evidence(t, decoder)) for t in strings(batch.column(batch.num_columns - 1))]
+            values = [1 - (1 - rate) * (1 - lexicon_.evidence(words_of(t, decoder))) for t in strings(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], ("score", pa.float64())]))
 
     names = [f"__{i}" for i in range(len(carry))]
