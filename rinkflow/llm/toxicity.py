@@ -1,9 +1,10 @@
 """Toxicity of texts, read through a noisy channel.
 
 Writers hide words by look-alike characters, by spacing letters out and by repeating them. Runs that look so are decoded: every
-character becomes a column of a lattice (its look-alikes, itself, nothing if it repeats the letter before or only separates), and
-a Viterbi search takes the path that a character trigram model of all documents and the costs of the channel like best. The
-restored words are scored with the plain ones.
+character becomes a column of a lattice (its look-alikes, itself, nothing if it repeats the letter before or only separates, a
+word boundary if it stands between spaced letters), and a Viterbi search takes the path that a character trigram model of all
+documents and the costs of the channel like best. Spaced letters are read as one word and as words set apart, and words of the
+lexicon are looked for from every letter of them. The restored words are scored with the plain ones.
 
 Words and their first letters (stems) are weighed by how much more often toxic training documents have them. The fit reads at
 most ``sample`` toxic and ``2 * sample`` other labelled rows, the smallest by hash; evidence below a Bonferroni bound is left
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -83,20 +84,40 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi search over the lattice of a hidden run."""
+    """Viterbi search over the lattice of a hidden run.
 
-    def __init__(self, model: np.ndarray, swap: float = 1.0, drop: float = 0.5, repeat: float = 0.2, keep: float = 6.0):
+    Spaced letters have two readings, as one word and with words set apart at separators, since trigrams alone don't place every
+    boundary. ``known`` words are found in them wherever they start.
+    """
+
+    def __init__(
+        self, model: np.ndarray, swap: float = 1.0, drop: float = 0.5, repeat: float = 0.2, keep: float = 6.0, known: Iterable[str] = ()
+    ):
         self.model, self.swap, self.drop, self.repeat, self.keep = model, swap, drop, repeat, keep
-        self.seen: dict[str, str] = {}
+        self.known = {w for w in known if len(w) >= STEMS[0]}
+        self.lengths = sorted({len(w) for w in self.known})
+        self.seen: dict[str, set[str]] = {}
 
-    def restore(self, run: str) -> str:
+    def restore(self, run: str) -> set[str]:
+        """The words of a run."""
         if len(self.seen) > 50_000:
             self.seen.clear()
-        if (word := self.seen.get(run)) is None:
-            word = self.seen[run] = self._search(run)
-        return word
-
-    def _search(self, run: str) -> str:
+        if (words := self.seen.get(run)) is None:
+            words = self.seen[run] = self._words(run)
+        return words
+
+    def _words(self, run: str) -> set[str]:
+        whole = self._search(run)
+        # Letters and one separator in turn: a separator may also stand between two words.
+        if not (len(run) > 2 and run[1] in SEPARATORS and run[1::2] == run[1] * len(run[1::2])):
+            return {whole}
+        apart = self._search(run, words=True)
+        words = {whole, *apart.split()}
+        for letters in {whole, apart.replace(" ", "")}:
+            words.update(w for i in range(len(letters)) for n in self.lengths if (w := letters[i : i + n]) in self.known)
+        return words
+
+    def _search(self, run: str, words: bool = False) -> str:
         index, model = _codes(), self.model
         spaced = len(run) > 2 and run[1] in SEPARATORS and not run[0].isspace()
         paths = {(0, 0): (0.0, "")}
@@ -120,6 +141,8 @@ class Decoder:
                     offer((a, b), score - self.repeat, word)
                 if not options or (spaced and c in SEPARATORS):
                     offer((a, b), score - (self.drop if spaced and c in SEPARATORS else self.keep), word)
+                if words and i % 2:
+                    offer((b, 0), score + float(model[a, b, 0]) - self.drop, word + " ")
             paths = step
         return max((score + float(model[a, b, 0]), word) for (a, b), (score, word) in paths.items())[1]
 
@@ -141,7 +164,7 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
     for found in HIDDEN.finditer("\n".join(lines)):
         run = found[0].rstrip(CLOSING)
         if 3 <= len(run) <= 40 and HIDDEN.fullmatch(run):
-            words.add(decoder.restore(run))
+            words |= decoder.restore(run)
     return words
 
 
@@ -226,7 +249,7 @@ def toxic_scores(
     lexicon_ = Lexicon(weights)
 
     def silent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
+        decoder = Decoder(model, known=lexicon_.words)
         for batch in by_bytes(batches, "text"):
             none = [lexicon_.evidence(words_of(t, decoder)) == 0 for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(none), batch.column(1)], ["none", "bad"])
@@ -236,7 +259,7 @@ def toxic_scores(
     rate = (bad + 0.5) / (bad + good + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
+        decoder = Decoder(model, known=lexicon_.words)
         for batch in by_bytes(batches, "text"):
             values = [1 - (1 - rate) * (1 - lexicon_.evidence(words_of(t, decoder))) for t in strings(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], ("score", pa.float64())]))

@@ -401,3 +401,31 @@ def test_toxicity(spark, docs, none):
     assert {r["score"] for r in unlabelled} == {0.5}
     kept = toxicity.toxic_scores(docs, known, F.lit(True), carry=tuple(docs.columns))
     assert kept.columns == [*docs.columns, "score"]
+
+
+def test_spaced_words_beside_others(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        words = prose(rng, 40).split()
+        form, w = i % 20, rng.choice(["blorkhead", "snargface"])
+        if i % 4 == 0:
+            near = {4: "a", 8: "i", 12: "you"}.get(form)
+            # Held-out rows have the word only in the spaced forms.
+            hidden = " ".join(near + w) if near else " ".join("stone" + w) if form == 16 else w
+            words.insert(rng.randrange(len(words)), hidden)
+        elif form == 3:
+            words.insert(rng.randrange(len(words)), " ".join("a" + rng.choice(["stone", "river", "mountain"])))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = by_id(toxicity.toxic_scores(df, known, F.col("doc_id") % 20 <= 3))
+    assert all((got[i]["score"] >= 0.7) == (i % 4 == 0) for i in range(600))
+
+
+def test_boundaries_between_spaced_letters(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(" ".join(rng.choice(["you", "stupid", "a", "person", "are"]) for _ in range(500)),)], "text string")
+    decoder = toxicity.Decoder(toxicity.character_model(df))
+    assert {"a", "stupid"} <= toxicity.words_of("are a s t u p i d person", decoder)
+    assert {"you", "stupid"} <= toxicity.words_of("y o u s t u p i d", decoder)
