@@ -4,7 +4,7 @@ Writers hide words by look-alike characters, by spacing letters out and by repea
 character becomes a column of a lattice (its look-alikes, itself, nothing if it repeats the letter before or only separates, a
 word boundary if it stands between spaced letters), and a Viterbi search takes the path that a character trigram model of all
 documents and the costs of the channel like best. Spaced letters are read as one word and as words set apart, and words of the
-lexicon are looked for from every letter of them. The restored words are scored with the plain ones.
+lexicon are looked for from every letter of them. Runs may have any length from three characters on. The restored words are scored with the plain ones.
 
 Words and their first letters (stems) are weighed by how much more often toxic training documents have them. The fit reads at
 most ``sample`` toxic and ``2 * sample`` other labelled rows, the smallest by hash; evidence below a Bonferroni bound is left
@@ -47,6 +47,8 @@ TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LETTERS = [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)] if c != 0xF7]
 SYMBOLS = len(LETTERS) + 1
 STEMS = (4, 5, 6)
+#: Runs up to this length are decoded once; longer ones every time, so that what is remembered has a bound.
+KEPT = 40
 
 
 @lru_cache(maxsize=1)
@@ -93,13 +95,16 @@ class Decoder:
     def __init__(
         self, model: np.ndarray, swap: float = 1.0, drop: float = 0.5, repeat: float = 0.2, keep: float = 6.0, known: Iterable[str] = ()
     ):
-        self.model, self.swap, self.drop, self.repeat, self.keep = model, swap, drop, repeat, keep
+        self.model, self.swap, self.drop, self.repeat, self.keep = model.tolist(), swap, drop, repeat, keep
+        self.index = {x: i + 1 for i, x in enumerate(LETTERS)}
         self.known = {w for w in known if len(w) >= STEMS[0]}
         self.lengths = sorted({len(w) for w in self.known})
         self.seen: dict[str, set[str]] = {}
 
     def restore(self, run: str) -> set[str]:
         """The words of a run."""
+        if len(run) > KEPT:
+            return self._words(run)
         if len(self.seen) > 50_000:
             self.seen.clear()
         if (words := self.seen.get(run)) is None:
@@ -118,33 +123,44 @@ class Decoder:
         return words
 
     def _search(self, run: str, words: bool = False) -> str:
-        index, model = _codes(), self.model
+        index, model = self.index, self.model
         spaced = len(run) > 2 and run[1] in SEPARATORS and not run[0].isspace()
-        paths = {(0, 0): (0.0, "")}
-        # Only letters that stand three times or more may be dropped as repeated.
-        many = [any(run[j : j + 3] == c * 3 for j in (i - 2, i - 1, i) if j >= 0) for i, c in enumerate(run)]
+        # A path is its score, its last letter and the path before that letter, so that steps cost the same in runs of any length.
+        paths: dict = {(0, 0): (0.0, "", None)}
         for i, c in enumerate(run):
-            options = [(x, self.swap) for x in LOOKS.get(c, "")]
+            options = [(x, index.get(x, 0), self.swap) for x in LOOKS.get(c, "")]
             if c.isalpha():
-                options.append((c, 0.0))
+                options.append((c, index.get(c, 0), 0.0))
+            # Only letters that stand three times or more may be dropped as repeated.
+            many = any(run[j : j + 3] == c * 3 for j in (i - 2, i - 1, i) if j >= 0)
+            apart = spaced and c in SEPARATORS
             step: dict = {}
-
-            def offer(state, score, word, step=step):
-                if state not in step or score > step[state][0]:
-                    step[state] = score, word
-
-            for (a, b), (score, word) in paths.items():
-                for x, cost in options:
-                    k = int(index[ord(x)]) if ord(x) < 256 else 0
-                    offer((b, k), score + float(model[a, b, k]) - cost, word + x)
-                if many[i] and word and (c == word[-1] or word[-1] in LOOKS.get(c, "")):
-                    offer((a, b), score - self.repeat, word)
-                if not options or (spaced and c in SEPARATORS):
-                    offer((a, b), score - (self.drop if spaced and c in SEPARATORS else self.keep), word)
+            for (a, b), path in paths.items():
+                score, last, _ = path
+                row = model[a][b]
+                for x, k, cost in options:
+                    value = score + row[k] - cost
+                    if (b, k) not in step or value > step[b, k][0]:
+                        step[b, k] = value, x, path
+                if many and last and (c == last or last in LOOKS.get(c, "")):
+                    value = score - self.repeat
+                    if (a, b) not in step or value > step[a, b][0]:
+                        step[a, b] = value, last, path[2]
+                if not options or apart:
+                    value = score - (self.drop if apart else self.keep)
+                    if (a, b) not in step or value > step[a, b][0]:
+                        step[a, b] = value, last, path[2]
                 if words and i % 2:
-                    offer((b, 0), score + float(model[a, b, 0]) - self.drop, word + " ")
+                    value = score + row[0] - self.drop
+                    if (b, 0) not in step or value > step[b, 0][0]:
+                        step[b, 0] = value, " ", path
             paths = step
-        return max((score + float(model[a, b, 0]), word) for (a, b), (score, word) in paths.items())[1]
+        path = max(((score + model[a][b][0], (score, x, before)) for (a, b), (score, x, before) in paths.items()), key=lambda p: p[0])[1]
+        letters = []
+        while path is not None:
+            letters.append(path[1])
+            path = path[2]
+        return "".join(reversed(letters))
 
 
 def words_of(text: str, decoder: Decoder) -> set[str]:
@@ -163,7 +179,7 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
     lines += [" ".join(run) for run in _runs(tokens, single) if len(run) > 3]
     for found in HIDDEN.finditer("\n".join(lines)):
         run = found[0].rstrip(CLOSING)
-        if 3 <= len(run) <= 40 and HIDDEN.fullmatch(run):
+        if len(run) >= 3 and HIDDEN.fullmatch(run):
             words |= decoder.restore(run)
     return words
 

@@ -429,3 +429,14 @@ def test_boundaries_between_spaced_letters(spark):
     decoder = toxicity.Decoder(toxicity.character_model(df))
     assert {"a", "stupid"} <= toxicity.words_of("are a s t u p i d person", decoder)
     assert {"you", "stupid"} <= toxicity.words_of("y o u s t u p i d", decoder)
+
+
+def test_hidden_runs_of_any_length(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(" ".join(rng.choice(["you", "stupid", "blockhead", "are", "such"]) for _ in range(500)),)], "text string")
+    decoder = toxicity.Decoder(toxicity.character_model(df), known=["blockhead"])
+    phrase = "youaresuchastupidblockheadyouarestupid"
+    assert len(phrase) > 30
+    assert {"blockhead", phrase} <= toxicity.words_of(" ".join(phrase), decoder)
+    assert "stupid" in toxicity.words_of("st" + "u" * 100 + "pid", decoder)
+    assert "blockhead" in toxicity.words_of(" ".join("such" * 50_000 + "blockhead"), decoder)
