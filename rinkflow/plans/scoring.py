@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from rinkflow.functions.numeric import safe_ratio
 from rinkflow.operators.ranks import row_numbers, value_counts
-from rinkflow.operators.sizing import join_dim, null_safe_join, one_row, settle
+from rinkflow.operators.sizing import join_dim, one_row, settle
+from rinkflow.session import cut_lineage
 from rinkflow.sources.datasets import rewrite_dataset
 
-# Groups that are dealt into folds by their size one by one.
+# Groups that are dealt into folds one by one on the driver.
 LARGEST = 50_000
 
 
@@ -108,32 +109,76 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
     return join_dim(df, class_weights(df, label), [label]).withColumnRenamed("weight", weight)
 
 
-def group_folds(df: DataFrame, group: str, k: int | None = 5) -> DataFrame:
+def _turns(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[list[int]]]]:
+    """Greedy dealing of ``(size, groups of that size)``, largest first, without a step per group.
+
+    Groups of one size n raise the loads by n each, so the lightest fold is taken in the order of load modulo n among the folds
+    that are no fuller. Per size: from which of its groups on (``starts``) the folds take turns in which order (``orders``).
+    """
+    load, out = [0] * k, []
+    for n, count in sizes:
+        first, floor = list(load), [v // n for v in load]
+        levels = sorted(set(floor))
+        starts: list[int] = []
+        orders: list[list[int]] = []
+        at = 0
+        for i, level in enumerate(levels):
+            order = sorted((f for f in range(k) if floor[f] <= level), key=lambda f: (first[f] % n, f))
+            taken = count - at if i + 1 == len(levels) else min(count - at, len(order) * (levels[i + 1] - level))
+            starts.append(at)
+            orders.append(order)
+            for j, f in enumerate(order):
+                load[f] += n * (taken // len(order) + (j < taken % len(order)))
+            at += taken
+            if at == count:
+                break
+        out.append((n, starts, orders))
+    return out
+
+
+def group_folds(df: DataFrame, group: str, k: int | None = 5, largest: int | None = None) -> DataFrame:
     """One fold per whole group, largest groups first into the lightest fold; ``k=None`` leaves one group out.
 
-    Groups are counted in Spark. The ``LARGEST`` groups of a table are dealt in a loop; what smaller ones there are beyond that
-    number goes round the folds in order of size, since they can't unbalance them. The rule is the same at every size.
+    Groups are counted in Spark. Up to ``largest`` (``LARGEST``) groups are dealt in a loop. Of more, only the number of groups of
+    each size reaches the driver (the square root of twice the rows at most) and groups find their fold by their place in the
+    order. Both ways give the same folds.
     """
     sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
     n = sizes.df.count()
-    rows = sizes.df.orderBy(F.desc("n"), F.desc(group)).limit(LARGEST).collect()
     folds = n if k is None else min(k, n)
-    if k is None and n > LARGEST:
-        numbered = row_numbers(sizes.df.withColumn("__neg", -F.col("n")), "__neg", group, "__rn")
-        return numbered.select(group, (F.col("__rn") - 1).cast("bigint").alias("fold"))
-    load = [0] * max(folds, 1)
-    dealt = []
-    for r in rows:
-        fold = load.index(min(load))
-        load[fold] += r["n"]
-        dealt.append((r[group], fold))
     kind = dict(df.dtypes)[group]
-    out = df.sparkSession.createDataFrame(dealt, f"{group} {kind}, fold bigint")
-    if n <= LARGEST:
-        return out
-    rest = null_safe_join(sizes.df, out.select(group), [group], "left_anti")
-    numbered = row_numbers(rest.withColumn("__neg", -F.col("n")), "__neg", group, "__rn")
-    return out.unionByName(numbered.select(group, ((F.col("__rn") - 1) % folds).cast("bigint").alias("fold")))
+    ordered = sizes.df.orderBy(F.desc("n"), F.desc(group))
+    if n <= (LARGEST if largest is None else largest):
+        load = [0] * max(folds, 1)
+        dealt = []
+        for i, r in enumerate(ordered.collect()):
+            fold = i if k is None else load.index(min(load))
+            load[fold] += r["n"]
+            dealt.append((r[group], fold))
+        return df.sparkSession.createDataFrame(dealt, f"{group} {kind}, fold bigint")
+    # Sorted ranges hold whole groups, so none is larger than others; the upper bits of the id are the range, the lower ones the place in it.
+    placed = cut_lineage(ordered.withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"__range": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    before, starts = 0, []
+    for r in placed.groupBy("__range").count().orderBy("__range").collect():
+        starts.append((r["__range"], before))
+        before += r["count"]
+    ranges = df.sparkSession.createDataFrame(starts, "__range bigint, __before bigint")
+    ranked = placed.join(F.broadcast(ranges), "__range").withColumn("__rank", F.col("__before") + F.col("__place"))
+    if k is None:
+        return ranked.select(group, F.col("__rank").alias("fold"))
+    counts = [(r["n"], r["count"]) for r in placed.groupBy("n").count().orderBy(F.desc("n")).collect()]
+    rows, before = [], 0
+    for (size, count), (_, turns, orders) in zip(counts, _turns(counts, folds), strict=True):
+        rows.append((size, before, turns, orders))
+        before += count
+    plan = df.sparkSession.createDataFrame(rows, "n bigint, __larger bigint, __starts array<bigint>, __orders array<array<bigint>>")
+    turn = F.col("__rank") - F.col("__larger")
+    known = join_dim(ranked, plan, ["n"]).withColumn("__turn", turn)
+    known = known.withColumn("__at", F.size(F.filter("__starts", lambda s: s <= F.col("__turn"))))
+    order, start = F.element_at("__orders", F.col("__at")), F.element_at("__starts", F.col("__at"))
+    place = (F.col("__turn") - start) % F.size(order)
+    return known.select(group, F.element_at(order, (place + 1).cast("int")).alias("fold"))
 
 
 def with_folds(df: DataFrame, group: str, k: int | None = 5) -> DataFrame:

@@ -78,6 +78,19 @@ def test_folds_have_one_rule(spark, monkeypatch):
     assert set(folds(3).values()) == {0, 1, 2} and len(folds(3)) == 7 and sorted(folds(None).values()) == list(range(7))
 
 
+@pytest.mark.parametrize("key", ["int", "string"])
+def test_folds_of_many_groups_are_those_of_few(spark, key):
+    # One group of a third of all rows beside many small ones, and a null group.
+    sizes = [300, 70, 70, 7, 7, 7, *[3] * 30, *[2] * 100, *[1] * 150]
+    rows = [(None if g == 8 else g * 7919 % 1009, i) for g, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, i int").select(F.col("g").cast(key).alias("g"))
+    for k in (2, 3, 5, None):
+        plain, many = [{r["g"]: r["fold"] for r in scoring.group_folds(df, "g", k, largest=n).collect()} for n in (10_000, 3)]
+        assert len(plain) == len(sizes) and many == plain
+    loads = [r["count"] for r in df.join(scoring.group_folds(df.dropna(), "g", 3, largest=3), "g").groupBy("fold").count().collect()]
+    assert max(loads) - min(loads) <= 1
+
+
 def test_traded_goalies_keep_their_rows(spark):
     rows = [(1, 20, 2001, 0.01, 30, 25.0), (1, 10, 2001, 0.03, 10, 25.0), (1, 10, 2002, 0.02, 40, 26.0), (1, 20, 2002, 0.0, 5, 26.0)]
     series = spark.createDataFrame(rows, "goalie_id bigint, team_id bigint, season bigint, talent double, shots_faced bigint, age double")
