@@ -1,7 +1,8 @@
 """Secret scans by regular expressions and a battery of randomness tests, with DataFrame functions only.
 
 Known shapes (assignments, access keys, long hexadecimal runs) are found by pattern. Besides, every run of 20 or more token
-characters is tested for randomness in the encoding it seems to have (hexadecimal, base32 or base64):
+characters, less what those shapes cover, is tested for randomness in the encoding it seems to have (hexadecimal, base32 or
+base64). So is every part of 20 or more characters between its '/', '_' and '-', since these also join a secret to other text:
 
 * chi-squared of its symbols against the uniform alphabet,
 * a runs test of symbols in the upper against the lower half of the alphabet,
@@ -28,6 +29,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Parts of a token between the characters that may also join it to ordinary text.
+PART = r"[A-Za-z0-9+]{20,}"
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
 #: Symbols of each encoding in their order; the two forms of base64's last two symbols count as one.
@@ -64,6 +67,26 @@ def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None, gr
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _free(spans: Column, base: Column) -> Column:
+    """What base spans, sorted by start, leave of each span: pieces of 20 and more characters."""
+
+    def cut(span: Column) -> Column:
+        def step(state: Column, b: Column) -> Column:
+            piece = F.struct(state["at"].alias("start"), F.lit(3).alias("kind"), F.least(b["start"], span["end"]).alias("end"))
+            long = piece["end"] - piece["start"] >= 20
+            return F.struct(
+                F.greatest(state["at"], b["end"]).alias("at"), F.when(long, F.concat(state["spans"], F.array(piece))).otherwise(state["spans"]).alias("spans")
+            )
+
+        touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+        first = F.struct(span["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        last = F.array(F.struct(span["end"].alias("start"), F.lit(3).alias("kind"), span["end"].alias("end")))
+        return F.aggregate(F.concat(touching, last), first, step, lambda s: s["spans"])
+
+    apart = ~F.exists(spans, lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.when(apart, spans).otherwise(F.flatten(F.transform(spans, cut)))
+
+
 def _tested(text: Column, spans: Column) -> Column:
     """The statistics of every candidate token."""
 
@@ -138,8 +161,10 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, text: str = "text", carry:
     body = text_or_empty(text)
     base = F.sort_array(F.concat(_spans(body, ASSIGN, 0, F.lit(6), 2), _spans(body, ACCESS, 1), _spans(body, HEX, 2)))
     scanned = docs.select(*[F.col(c) for c in carry], body.alias("__body"), base.alias("__base"))
-    token = _spans(F.col("__body"), TOKEN, 3)
-    free = F.filter(token, lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = _free(_spans(F.col("__body"), TOKEN, 3), F.col("__base"))
+    # Parts only need to be looked for in texts that have a token.
+    parts = _free(F.when(F.size(free) > 0, _spans(F.col("__body"), PART, 3)).otherwise(free), F.col("__base"))
+    free = F.array_union(free, parts)
     scanned = stored(scanned.withColumn("__tests", _tested(F.col("__body"), free)).drop("__body"), "secrets")
 
     skew = symbol_skew(docs, text)
@@ -166,8 +191,11 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, text: str = "text", carry:
         p = _lower_tail(t["chi"], t["n"], _by_code(SIZES, t["code"]), _by_code(skew, t["code"]))
         return t["passed"] & (F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300)))) >= bound)
 
+    picked = F.filter("__tests", chosen)
+    # A part of a run that is itself a secret adds nothing.
+    outer = F.filter(picked, lambda t: ~F.exists(picked, lambda o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["n"] > t["n"])))
     added = F.transform(
-        F.filter("__tests", chosen), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"))
+        outer, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"))
     )
     return scanned.select(*[F.col(c) for c in carry], F.sort_array(F.concat("__base", added)).alias("spans"))
 

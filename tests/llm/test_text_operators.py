@@ -151,6 +151,30 @@ def test_secrets(spark, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_joined_to_other_text(spark):
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key, url = "".join(rng.choice(alphabet) for _ in range(40)), "".join(rng.choice(alphabet + "+/") for _ in range(48))
+    base = "AKIA" + "Z9" * 8
+    texts = [
+        f"services/T00000000/B00000000/{key} x", f"see 0000-0000-0000-0000-{key}", f"www/water_house_in_the_stone_water_house_in_the_stone/{key}/x",
+        f"{base}-{url}", f"{url}-{base}-{url[::-1]}", f"here {url} there", *[prose(rng, 80) for _ in range(40)],
+        *["the/stone_river/andthemountainwaterhouse/thestoneriverandthemountain" for _ in range(20)],
+    ]
+    found = by_id(secrets.find_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        spans = [tuple(s) for s in found[i]["spans"]]
+        assert [s for s in spans if s[1] < 3] == plain_secrets(t), t
+        added = [t[a:b] for a, kind, b in spans if kind == 3]
+        if i < 3:
+            assert added == [key], (t, added)
+        elif i < 6:
+            # The separators beside a cut base span stay with the token.
+            assert [x.strip("-") for x in added] == ([url, url[::-1]] if i == 4 else [url]), (t, added)
+        else:
+            assert not added, (t, added)
+
+
 def test_targets_and_mix(spark, docs, none):
     got = mixing.mix_sources(docs).toPandas()
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()}
