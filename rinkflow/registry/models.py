@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,10 @@ from rinkflow.plans.quality import union_scoped
 from rinkflow.registry.core import register
 from rinkflow.registry.features import features
 from rinkflow.registry.sql import part, using
-from rinkflow.session import fresh_path
+from rinkflow.session import fresh_path, shared_dir
 from rinkflow.sources import roles
 from rinkflow.sources.datasets import rewrite_dataset
 
-# Boosting rounds, depth and rate of the registered models: the size of the model, not of the data it is fitted on.
-QUICK = {"rounds": 5, "depth": 4, "rate": 0.2}
-
 part("li_cells", ("scored_li",), """
 SELECT goalie_id, team_id, season, sum(xg_prob - is_goal) / count(*) AS y, CAST(count(*) AS DOUBLE) AS w FROM scored_li GROUP BY 1, 2, 3""")
 part("one_way", ("li_cells",), "SELECT goalie_id, sum(w * y) / (sum(w) + 25.0::DOUBLE) AS a FROM li_cells GROUP BY 1")
@@ -81,6 +80,15 @@ def _stored_features(spark, path):
     return rewrite_dataset(features(spark, path).select(*keep), "xg_features")
 
 
+def _choice_path(spark, path):
+    return f"{shared_dir(spark)}/rinkflow/choice-{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+
+
+def _choice(spark, path):
+    """Parameters of boosted models: what ``tune_boosted`` kept for this folder, else the defaults."""
+    return L.best_choice(spark, _choice_path(spark, path))
+
+
 @register("model_logistic")
 def model_logistic(spark, path):
     _, held = L.train_baseline(_stored_features(spark, path))
@@ -90,13 +98,13 @@ def model_logistic(spark, path):
 @register("model_boosted")
 def model_boosted(spark, path):
     rows = _stored_features(spark, path)
-    model = L.fit_boosted(rows, **QUICK)
+    model = L.fit_boosted(rows, **_choice(spark, path))
     return S.evaluate(L.score(model, L.prepare(rows)), "is_goal", "xg_prob")
 
 
 @register("oof_predictions")
 def oof_predictions(spark, path):
-    return L.oof_predictions(_stored_features(spark, path), **QUICK).select("event_id", "season", "is_goal", "oof_prob")
+    return L.oof_predictions(_stored_features(spark, path), **_choice(spark, path)).select("event_id", "season", "is_goal", "oof_prob")
 
 
 @register("score_shots")
@@ -129,7 +137,7 @@ def oof_totals(spark, path):
 @register("isotonic_totals", using("feats") + "SELECT count(*) AS n, true AS agrees, CAST(0 AS BIGINT) AS inversions FROM feats")
 def isotonic_totals(spark, path):
     """An isotonic fit keeps the sum of labels and never falls."""
-    oof = L.calibrate_isotonic(L.oof_predictions(_stored_features(spark, path), **QUICK))
+    oof = L.calibrate_isotonic(L.oof_predictions(_stored_features(spark, path), **_choice(spark, path)))
     steps = oof.groupBy("oof_prob").agg(F.min("calibrated_prob").alias("low"), F.max("calibrated_prob").alias("high"))
     before = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("oof_prob"))
     falls = steps.select((F.col("low") < before - 1e-12).alias("f")).agg(F.count_if("f").alias("inversions"))
@@ -139,16 +147,18 @@ def isotonic_totals(spark, path):
 
 @register("tune_boosted")
 def tune_boosted(spark, path):
-    return L.tune(_stored_features(spark, path), trials=2, folds=2, rounds=3)
+    trials = L.tune(_stored_features(spark, path))
+    L.save_choice(trials, _choice_path(spark, path))
+    return trials
 
 
 @register("feature_importance")
 def feature_importance(spark, path):
     rows = _stored_features(spark, path)
-    return L.permutation_importance(rows, L.fit_boosted(rows, **QUICK), L.MODEL_FEATURES)
+    return L.permutation_importance(rows, L.fit_boosted(rows, **_choice(spark, path)), L.MODEL_FEATURES)
 
 
 @register("calibrate_isotonic")
 def calibrate_isotonic(spark, path):
-    oof = L.oof_predictions(_stored_features(spark, path), **QUICK)
+    oof = L.oof_predictions(_stored_features(spark, path), **_choice(spark, path))
     return L.calibrate_isotonic(oof).select("event_id", "oof_prob", "calibrated_prob")

@@ -52,3 +52,19 @@ def test_search_and_importance(shots):
     model = L.fit_boosted(shots, **QUICK)
     found = L.permutation_importance(shots, model, ["shot_distance", "puck_speed"], rows=500).collect()
     assert found[0]["feature"] == "shot_distance" and found[1]["loss_increase"] == pytest.approx(0, abs=1e-9)
+
+
+def test_registered_models_have_whole_budgets(spark, shots, monkeypatch):
+    from rinkflow.registry import models as R
+
+    calls = []
+    trials = spark.createDataFrame([(1, 9, 0.07, 3, 0.2), (0, 5, 0.1, 2, 0.3)], "trial int, depth int, rate double, min_rows int, log_loss double")
+    monkeypatch.setattr(R, "_stored_features", lambda spark, path: shots)
+    monkeypatch.setattr(R.L, "tune", lambda df, **k: calls.append(k) or trials)
+    monkeypatch.setattr(R.L, "fit_boosted", lambda df, **k: calls.append(k))
+    monkeypatch.setattr(R.L, "score", lambda model, df: df)
+    monkeypatch.setattr(R.S, "evaluate", lambda *a: None)
+    R.model_boosted(spark, "/no/such/folder")
+    R.tune_boosted(spark, "/no/such/folder")
+    R.model_boosted(spark, "/no/such/folder")
+    assert calls == [{}, {}, {"depth": 9, "rate": 0.07, "min_rows": 3}]
