@@ -161,11 +161,13 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, text: str = "text", carry:
     body = text_or_empty(text)
     base = F.sort_array(F.concat(_spans(body, ASSIGN, 0, F.lit(6), 2), _spans(body, ACCESS, 1), _spans(body, HEX, 2)))
     scanned = docs.select(*[F.col(c) for c in carry], body.alias("__body"), base.alias("__base"))
-    free = _free(_spans(F.col("__body"), TOKEN, 3), F.col("__base"))
+    # Columns of their own, so that none of them is computed once per use.
+    scanned = scanned.withColumn("__token", _spans(F.col("__body"), TOKEN, 3))
+    scanned = scanned.withColumn("__free", _free(F.col("__token"), F.col("__base")))
     # Parts only need to be looked for in texts that have a token.
-    parts = _free(F.when(F.size(free) > 0, _spans(F.col("__body"), PART, 3)).otherwise(free), F.col("__base"))
-    free = F.array_union(free, parts)
-    scanned = stored(scanned.withColumn("__tests", _tested(F.col("__body"), free)).drop("__body"), "secrets")
+    scanned = scanned.withColumn("__part", F.when(F.size("__free") > 0, _spans(F.col("__body"), PART, 3)).otherwise(F.col("__free")))
+    free = F.array_union("__free", _free(F.col("__part"), F.col("__base")))
+    scanned = stored(scanned.withColumn("__tests", _tested(F.col("__body"), free)).drop("__body", "__token", "__free", "__part"), "secrets")
 
     skew = symbol_skew(docs, text)
     size, length = _by_code(SIZES, F.col("t.code")), F.lit(0)
