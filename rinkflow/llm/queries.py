@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.llm.batches import WORD, table
+from rinkflow.llm.conversations import prefix_tree
 from rinkflow.llm.lattice import score_texts
 from rinkflow.llm.metric import near_vectors
 from rinkflow.llm.mixing import mix_sources
 from rinkflow.llm.neighbours import nearest
 from rinkflow.llm.packing import pack
+from rinkflow.llm.pivots import top_products
 from rinkflow.llm.prefixtree import similar_texts
 from rinkflow.llm.secrets import find_secrets, span_text
+from rinkflow.llm.squares import periodic_runs, repeated_tail
 from rinkflow.llm.suffixes import without_repeats
 from rinkflow.llm.tokens import count_tokens
 from rinkflow.llm.toxicity import toxic_scores
@@ -92,6 +95,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times", "source")
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth id."""
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its text without their repeats."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), rebuild=repeated_tail)
+    # Runs are ordered by start, then period: the first of equal exponents stays.
+    longer = F.reduce(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda a, b: F.when(b["length"].cast("decimal(19,0)") * a["period"] > a["length"].cast("decimal(19,0)") * b["period"], b).otherwise(a),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", longer).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix tree of all conversations."""
+    nodes = prefix_tree(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -127,6 +163,52 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM (SELECT d AS doc_id, min(m) AS component_id FROM r GROUP BY d) LEFT JOIN n USING (doc_id)"""
 
 
+#: All products of the queries with all other rows, in whole numbers that doubles hold.
+PRODUCTS_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+#: Conversations as lists of turns, nodes as their prefixes, and every node summed into all its ancestors.
+PREFIX_TREE_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT c, length(r)::VARCHAR || ':' || r || x AS k, len(regexp_extract_all(x, '[^ 	-]+')) AS w,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, substr(sha256(length(r)::VARCHAR || ':' || r || x), 1, 32)) AS i FROM t),
+h AS (
+  SELECT c, c - c % 20 AS f, xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(y)::BIGINT FOR y IN string_split(c::VARCHAR, '')]),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [z FOR z IN range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM o)),
+p AS (
+  SELECT h.c, o.i AS i, o.k, o.w FROM h JOIN o ON o.c = h.f AND o.i <= h.h
+  UNION ALL SELECT h.c, h.h + o.i AS i, o.k, o.w FROM h JOIN o ON o.c = h.c AND o.i > h.h),
+b AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, k, w FROM p),
+l AS (SELECT h.c, count(b.d) AS len FROM h LEFT JOIN b ON b.c = h.c GROUP BY h.c),
+q AS (
+  SELECT c, d, w, string_agg(sha256(k), '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM b
+  UNION ALL SELECT c, 0 AS d, 0 AS w, '' AS path FROM h),
+m AS (SELECT q.c, q.d, q.w, l.len, min(q.c) OVER (PARTITION BY q.path) AS node FROM q JOIN l ON l.c = q.c),
+n AS (
+  SELECT node, d, count(*) AS n_convs, max(w) AS w, max(len) = d AS leaf,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len = d), '') AS ends FROM m GROUP BY node, d),
+u AS (SELECT n.node, n.d, a.node AS parent FROM n LEFT JOIN m a ON a.c = n.node AND a.d = n.d - 1),
+k AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY parent, d - 1),
+s AS (
+  SELECT m.node, m.d, sum((n.n_convs - 1) * n.w) AS saved, count(*) FILTER (WHERE n.leaf) AS leaves
+  FROM n JOIN m ON m.c = n.node AND m.d <= n.d GROUP BY m.node, m.d)
+SELECT n.node AS conv_id, CAST(n.d AS BIGINT) AS depth, u.parent AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+  s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN u ON u.node = n.node AND u.d = n.d JOIN s ON s.node = n.node AND s.d = n.d LEFT JOIN k ON k.parent = n.node AND k.d = n.d"""
+
+
 def oracles() -> dict[str, str]:
     """SQL of those queries that SQL can express on whole tables."""
-    return {"op6_vector_dedup": VECTORS_SQL, "op9_ngram_join": NGRAMS_SQL}
+    return {
+        "op6_vector_dedup": VECTORS_SQL, "op9_ngram_join": NGRAMS_SQL, "op11_top_products": PRODUCTS_SQL, "op13_prefix_tree": PREFIX_TREE_SQL,
+    }
