@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rinkflow.operators.ranks import value_counts
-from rinkflow.operators.sequences import neighbours
-from rinkflow.operators.sizing import Settled, one_row, settle
+from rinkflow.operators.ranks import place, range_cuts, range_rows, value_counts
+from rinkflow.operators.sequences import neighbours, row_hash
+from rinkflow.operators.sizing import Settled, join_dim, one_row, settle
 from rinkflow.operators.skew import measure_groups
 
 BUCKETS = 256
@@ -32,31 +34,65 @@ def segments(curve: DataFrame, x: str, payload: Sequence[str]) -> DataFrame:
 def locate(points: DataFrame, at: Column, curve: DataFrame | Settled, x: str, payload: Sequence[str]) -> DataFrame:
     """Attach to every point the segment ``[__x0, __x1)`` that holds ``at``.
 
-    Values left of the curve get its first segment and values right of it the last one; a single point has none.
-    Segments are repeated over equal-width buckets of the axis, so the lookup is an equality join plus a comparison.
+    Values left of the curve get its first segment and values right of it the last one; a single point has none, and a missing
+    value has none. On a curve within the limit of small tables a point finds its segment's number by binary search among all
+    points, and joins it by that number. Larger curves are merged with the points by ranges of the axis.
     """
     side = curve if isinstance(curve, Settled) else settle(curve)
-    bounds = side.df.agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
     parts = segments(side.df, x, payload).filter(F.col("__x1").isNotNull())
-    if lo is None:
-        return points.join(parts, F.lit(False), "left")
-    width = (hi - lo) / BUCKETS or 1.0
-
-    def bucket(c: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((c - lo) / width))).cast("int")
-
-    placed = (
-        parts.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__x0")), bucket(F.col("__x1")))))
-        .withColumn("__from", F.when(F.col("__x0") == lo, F.lit(float("-inf"))).otherwise(F.col("__x0")))
-        .withColumn("__to", F.when(F.col("__x1") == hi, F.lit(float("inf"))).otherwise(F.col("__x1")))
-    )
-    asked = points.withColumn("__at", at.cast("double")).withColumn("__key", bucket(F.col("__at")))
-    right = F.broadcast(placed) if side.small else placed
-    inside = (F.col("__at") >= F.col("__from")) & ((F.col("__at") < F.col("__to")) | F.col("__to").eqNullSafe(float("inf")))
-    return asked.join(right, (F.col("__key") == F.col("__bucket")) & inside, "left").drop(
-        "__key", "__bucket", "__from", "__to"
-    )
+    asked = points.withColumn("__at", at.cast("double"))
+    known = F.col("__at").isNotNull() & ~F.isnan("__at")
+    if not side.small:
+        return _merged(asked, known, parts, payload)
+    ends = sorted(r[0] for r in side.df.select(F.col(x).cast("double")).where(F.col(x).isNotNull()).distinct().collect())
+    if len(ends) < 2:
+        return asked.join(parts, F.lit(False), "left")
+
+    def numbered(df: DataFrame, value: str) -> DataFrame:
+        if len(ends) == 2:
+            return df.withColumn("__number", F.lit(0.0))
+        # The first and the last segment go on beyond the curve.
+        splits = [float("-inf"), *ends[1:-1], float("inf")]
+        return Bucketizer(splits=splits, inputCol=value, outputCol="__number", handleInvalid="keep").transform(df)
+
+    right = numbered(parts, "__x0").withColumnRenamed("__number", "__segment")
+    left = numbered(asked, "__at").withColumn("__number", F.when(known, F.col("__number")))
+    return left.join(F.broadcast(right), F.col("__number") == F.col("__segment"), "left").drop("__number", "__segment")
+
+
+def _merged(asked: DataFrame, known: Column, parts: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """As-of merge: points and segments are cut at common quantiles of both and sorted together, range by range.
+
+    A range begins with the last segment before it, which is carried over from a row per range. A range in which the points are
+    too many (one value may have a third of all) is dealt into several parts, each with all segments of the range.
+    """
+    spark = asked.sparkSession
+    fields = ["__x0", "__x1", *[f"{c}{i}" for c in payload for i in (0, 1)]]
+    both = asked.where(known).select(F.col("__at").alias("__v")).unionAll(parts.select(F.col("__x0").alias("__v")))
+    cuts = range_cuts(both, "__v")
+    points = place(asked, "__at", cuts, "__range").withColumn("__known", known)
+    segs = place(parts, "__x0", cuts, "__range").select("__range", F.struct(*fields).alias("__seg"))
+
+    tops = segs.groupBy("__range").agg(F.max_by("__seg", "__seg.__x0").alias("__top"), F.min_by("__seg", "__seg.__x0").alias("__low"))
+    ranges = points.where("__known").groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # A row per range, of which there are as many as the rows need.
+    table = ranges.join(tops, "__range", "full")
+    along = W.partitionBy(F.lit(0)).orderBy("__range")
+    before = F.last("__top", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    lowest = F.first("__low", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("__n") / range_rows(spark))).cast("int")
+    table = settle(table.select("__range", F.coalesce(pieces, F.lit(1)).alias("__pieces"), F.coalesce(before, lowest).alias("__carried")))
+
+    dealt = join_dim(points, table, ["__range"]).withColumn("__piece", F.pmod(row_hash(asked), F.coalesce("__pieces", F.lit(1))).cast("int"))
+    dealt = dealt.select("__range", "__piece", F.col("__at").alias("__v"), F.col("__carried").alias("__seg"), F.struct(*asked.columns, "__known").alias("__point"))
+    spread = join_dim(segs, table, ["__range"]).withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+    spread = spread.select("__range", "__piece", F.col("__seg.__x0").alias("__v"), "__seg", F.lit(None).cast(dealt.schema["__point"].dataType).alias("__point"))
+    # At one value the segment comes first: it begins there.
+    w = W.partitionBy("__range", "__piece").orderBy(F.asc_nulls_last("__v"), F.col("__point").isNotNull())
+    own = F.last(F.when(F.col("__point").isNull(), F.col("__seg")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    found = dealt.unionAll(spread).withColumn("__own", own).where(F.col("__point").isNotNull())
+    seg = F.when(F.col("__point.__known"), F.coalesce("__own", "__seg"))
+    return found.select("__point.*", seg.alias("__s")).select(*asked.columns, *[F.col("__s").getField(f).alias(f) for f in fields])
 
 
 def interpolate_linear(

@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rinkflow.operators.skew import measure_groups
 
 
+def length_levels(intervals: DataFrame, start: str, end: str) -> list[int]:
+    """The powers of two that the lengths of the intervals lie between: at most one for each bit of a length."""
+    live = intervals.filter(F.col(end) > F.col(start))
+    found = live.agg(F.collect_set(_level(F.col(end) - F.col(start))).alias("l")).first()
+    return sorted(found["l"])
+
+
+def _level(length: Column) -> Column:
+    """The largest power of two (its exponent) that is not above the length; 0 for lengths below 1."""
+    exponent = F.floor(F.log2(F.greatest(length.cast("double"), F.lit(1.0)))).cast("int")
+    # The logarithm may round up to the next whole number.
+    return F.greatest(F.when(F.pow(F.lit(2.0), exponent) > F.greatest(length, F.lit(1)), exponent - 1).otherwise(exponent), F.lit(0)).cast("int")
+
+
+def _nodes(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Each interval at the nodes of its level that it touches: two or three stretches of 2 ** level units, whatever its length."""
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    leveled = intervals.filter(F.col(end) > F.col(start)).withColumn("__level", _level(F.col(end) - F.col(start)))
+    return leveled.withColumn("__node", F.explode(F.sequence(F.floor(F.col(start) / size), F.ceil(F.col(end) / size) - 1)))
+
 
 def interval_join(
     points: DataFrame,
@@ -20,26 +40,48 @@ def interval_join(
     start: str,
     end: str,
     how: str = "left",
-    width: int = 60,
 ) -> DataFrame:
-    """Pair every point with the intervals that cover it, within equal ``on`` keys.
+    """Pair every point with the intervals that cover it, within equal ``on`` keys; ``how`` is ``inner`` or ``left``.
 
-    Intervals are repeated once per stretch of ``width`` units they touch, and the stretch joins the equality keys.
-    A point has one stretch, so no pair appears twice, and one busy group spreads over many join keys.
+    An interval of length n lies in the dyadic nodes of 2 ** floor(log2 n) units that it touches, three at most. A point asks one
+    node of every level that occurs, so no pair appears twice, no interval is repeated by its length, and a point meets only intervals
+    that cover at least a quarter of the stretch around it. A busy group spreads over its nodes.
+
+    In a left join, points are first told apart by the running number of intervals around them: those that no interval covers ask
+    nothing and stay with nulls, the others stay with their pairs alone.
     """
-    stretch = "__stretch"
-    left = points.withColumn(stretch, F.floor(F.col(t) / width))
-    right = intervals.filter(F.col(end) > F.col(start)).withColumn(
-        stretch, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
-    )
-    keys = [*on, stretch]
+    if how not in ("inner", "left"):
+        raise ValueError(f"no interval join of kind {how}")
+    on = list(on)
+    levels = length_levels(intervals, start, end)
+    asked = points
+    if how == "left" and len(levels) > 1:
+        asked = _covered(points, intervals, on, t, start, end)
+        ask = F.when(F.col("__covered"), F.array(*map(F.lit, levels))).otherwise(F.array(F.lit(None).cast("int")))
+    else:
+        ask = F.array(*map(F.lit, levels)) if levels else F.array(F.lit(None).cast("int"))
+    left = asked.withColumn("__level", F.explode(ask)).withColumn("__node", F.floor(F.col(t) / F.pow(F.lit(2.0), F.col("__level"))))
+    keys = [*on, "__level", "__node"]
+    right = _nodes(intervals, start, end)
     right = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in intervals.columns if c not in on])
-    same = [F.col(k) == F.col(f"__r_{k}") for k in keys]
-    covers = (F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))
-    cond = covers
-    for s in same:
-        cond = s & cond
-    return left.join(right, cond, how).drop(stretch, *[f"__r_{k}" for k in keys])
+    cond = (F.col(t) >= F.col(start)) & (F.col(t) < F.col(end))
+    for k in keys:
+        cond = (F.col(k) == F.col(f"__r_{k}")) & cond
+    out = left.join(right, cond, how)
+    if "__covered" in asked.columns:
+        out = out.filter(F.col("__r___level").isNotNull() | ~F.col("__covered")).drop("__covered")
+    return out.drop("__level", "__node", *[f"__r_{k}" for k in keys])
+
+
+def _covered(points: DataFrame, intervals: DataFrame, on: list[str], t: str, start: str, end: str) -> DataFrame:
+    """Add whether any interval covers a point: a running sum of +1 and -1 steps over the distinct times, which is joined back."""
+    live = intervals.filter(F.col(end) > F.col(start)).dropna(subset=on)
+    ends = F.array(F.struct(F.col(start).cast("double").alias("__t"), F.lit(1).alias("__d")), F.struct(F.col(end).cast("double").alias("__t"), F.lit(-1).alias("__d")))
+    at = F.col(t).cast("double")
+    steps = live.select(*on, F.inline(ends)).unionAll(points.where(at.isNotNull()).select(*on, at.alias("__t"), F.lit(0).alias("__d")))
+    times = steps.groupBy(*on, "__t").agg(F.sum("__d").alias("__d"))
+    sums = running_total(times, on, "__t", "__d", "__n").where("__n > 0").select(*on, F.col("__t"), F.lit(True).alias("__covered"))
+    return points.withColumn("__t", at).join(sums, [*on, "__t"], "left").withColumn("__covered", F.coalesce("__covered", F.lit(False))).select(*points.columns, "__covered")
 
 
 def cover_counts(

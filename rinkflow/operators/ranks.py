@@ -6,28 +6,77 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rinkflow.operators.sizing import Settled, join_dim, settle
+from rinkflow.session import max_group_rows
 
 SLICE = "__slice"
+#: Rows of a range at most, unless groups are held smaller.
+RANGE_ROWS = 250_000
+#: Parts of all rows that a quantile sketch tells apart, and points taken from one sketch.
+SKETCH = 10_000
+MOST_CUTS = 4096
 
 
-def _sliced(df: DataFrame, value: str) -> tuple[DataFrame, list[float]]:
-    """Number rows by value range, using approximate quantiles collected as a short list."""
-    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def range_rows(spark: SparkSession) -> int:
+    return min(RANGE_ROWS, max_group_rows(spark))
+
+
+def range_cuts(df: DataFrame, value: str) -> list[float]:
+    """Split points of ``value``, with repeats where one value fills whole ranges, so that a range holds at most ``range_rows`` rows.
+
+    The number of ranges follows the rows. A quantile sketch, merged from all partitions, gives the points; its error is a share of
+    all rows, so where that is more than half a range, ranges that came out too large are counted and cut again by sketches of their own.
+    """
+    limit = range_rows(df.sparkSession)
+    n = df.agg(F.count(value)).first()[0]
+    parts = math.ceil(2 * n / limit)
+    if parts < 2:
+        return []
+    fine = min(parts, MOST_CUTS)
+    cuts = _quantiles(df, value, fine).first()["__cuts"] or []
+    # An error of one part in SKETCH on both sides, and half a range of its own.
+    while 2 * n / SKETCH > limit / 2 or fine < parts:
+        placed = place(df, value, cuts)
+        large = placed.groupBy(SLICE).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        large = [r for r in large.where(F.col("n") > limit).where("lo < hi").collect()]
+        if not large:
+            break
+        most = min(MOST_CUTS, math.ceil(2 * max(r["n"] for r in large) / limit))
+        again = _quantiles(placed.where(F.col(SLICE).isin([r[SLICE] for r in large])), value, most, SLICE)
+        cuts = sorted([*cuts, *(c for r in again.collect() for c in r["__cuts"])])
+        fine = parts
+    return [float(c) for c in cuts]
+
+
+def _quantiles(df: DataFrame, value: str, parts: int, *by: str) -> DataFrame:
     probs = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(value, probs, max(10_000, 20 * parts))).first()[0] or []
-    heavy = {float(c) for i, c in enumerate(cuts) if i and c == cuts[i - 1]}
-    points = sorted({float(c) for c in cuts} | {math.nextafter(h, math.inf) for h in heavy})
+    return df.groupBy(*by).agg(F.percentile_approx(value, probs, max(SKETCH, 20 * parts)).alias("__cuts"))
+
+
+def heavy_values(cuts: Sequence[float]) -> list[float]:
+    """Values that fill whole ranges."""
+    return sorted({float(c) for i, c in enumerate(cuts) if i and c == cuts[i - 1]})
+
+
+def place(df: DataFrame, value: str, cuts: Sequence[float], new: str = SLICE) -> DataFrame:
+    """Number rows by range; a heavy value has a range of its own. Rows without a value come last, in a range of their own."""
+    points = sorted({float(c) for c in cuts} | {math.nextafter(h, math.inf) for h in heavy_values(cuts)})
+    if not points:
+        return df.withColumn(new, F.when(F.col(value).isNull(), float("inf")).otherwise(0.0))
     splits = [-math.inf, *points, math.inf]
     cast = df.withColumn("__slice_value", F.col(value).cast("double"))
-    sliced = Bucketizer(splits=splits, inputCol="__slice_value", outputCol=SLICE, handleInvalid="keep").transform(cast)
-    # Rows without a value come last, in a slice of their own.
-    placed = sliced.withColumn(SLICE, F.coalesce(F.col(SLICE), F.lit(float("inf"))))
-    return placed.drop("__slice_value"), sorted(heavy)
+    sliced = Bucketizer(splits=splits, inputCol="__slice_value", outputCol=new, handleInvalid="keep").transform(cast)
+    return sliced.withColumn(new, F.coalesce(F.col(new), F.lit(float("inf")))).drop("__slice_value")
+
+
+def _sliced(df: DataFrame, value: str) -> tuple[DataFrame, list[float]]:
+    """Number rows by value range, and the values that fill whole ranges."""
+    cuts = range_cuts(df, value)
+    return place(df, value, cuts), heavy_values(cuts)
 
 
 def value_counts(df: DataFrame, value: str, sums: Mapping[str, str] | None = None) -> DataFrame:
@@ -92,7 +141,7 @@ def row_numbers(df: DataFrame, value: str, tie: str, new: str = "row_number", by
     """Number all rows from 1 in the order of (value, tie) inside each ``by`` group.
 
     Rows are numbered within value ranges; a value that fills whole ranges is cut further by ``tie``. The number of
-    ranges is fixed, so the totals that shift them stay small.
+    ranges follows the rows, so no range outgrows a task, and the totals that shift them have a row per range.
     """
     by = list(by)
     sliced, heavy = _sliced(df, value)
@@ -116,6 +165,20 @@ def row_numbers(df: DataFrame, value: str, tie: str, new: str = "row_number", by
     return numbered.withColumn(new, F.col("__before") + F.col("__inner")).drop("__before", "__inner", SLICE)
 
 
+def falling(df: DataFrame, order: str, low: str, high: str, slack: float = 0.0) -> DataFrame:
+    """Rows whose ``low`` is more than ``slack`` below the ``high`` of any row before them; ``order`` is unique.
+
+    Rows lie in value ranges; the highest value of the ranges before one is carried over.
+    """
+    sliced, _ = _sliced(df, order)
+    before = (W.unboundedPreceding, -1)
+    tops = sliced.groupBy(SLICE).agg(F.max(high).alias("__top"))
+    carry = settle(tops.select(SLICE, F.max("__top").over(W.partitionBy(F.lit(0)).orderBy(SLICE).rowsBetween(*before)).alias("__carry")))
+    inner = sliced.withColumn("__inner", F.max(high).over(W.partitionBy(SLICE).orderBy(order).rowsBetween(*before)))
+    known = join_dim(inner, carry, [SLICE])
+    return known.where(F.col(low) < F.greatest("__inner", "__carry") - slack).drop(SLICE, "__inner", "__carry")
+
+
 def dense_codes(df: DataFrame, key: str, order: str, new: str = "code") -> DataFrame:
     """Codes 0, 1, 2 ... for the distinct keys in order of first appearance."""
     firsts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first_seen"))

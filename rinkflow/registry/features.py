@@ -95,9 +95,7 @@ WHERE p.event_type IN ('shot-on-goal', 'goal') AND p.x_coord IS NOT NULL""")
 def interval_pairs(spark, path):
     points = P.shots_only(roles.pbp(spark, path)).select(*ID, "time_seconds")
     live = P.shift_seconds(roles.shifts(spark, path)).select("game_id", "period", "player_id", "start_sec", "end_sec")
-    return interval_join(points, live, ["game_id", "period"], "time_seconds", "start_sec", "end_sec", width=600).drop(
-        "time_seconds"
-    )
+    return interval_join(points, live, ["game_id", "period"], "time_seconds", "start_sec", "end_sec").drop("time_seconds")
 
 
 @register("strength_counts", using("strength") + "SELECT * FROM strength")

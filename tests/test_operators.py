@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from rinkflow.operators import interpolation as I
 from rinkflow.operators import ranks, topk
-from rinkflow.operators.intervals import cover_counts, interval_join
+from rinkflow.operators.interpolation import interpolate_linear
+from rinkflow.operators.intervals import _nodes, cover_counts, interval_join
 from rinkflow.operators.sequences import group_values, neighbours, range_counts, running
 from rinkflow.operators.sizing import join_dim, settle
 from rinkflow.operators.skew import measure_groups
@@ -104,12 +105,113 @@ def ice(spark):
 
 def test_interval_join_equals_brute_force(ice):
     p, s, points, spans = ice
-    got = sorted((r["id"], r["a"], r["b"], r["team"]) for r in interval_join(p, s, ["g"], "t", "a", "b", "inner", 37).collect())
+    got = sorted((r["id"], r["a"], r["b"], r["team"]) for r in interval_join(p, s, ["g"], "t", "a", "b", "inner").collect())
     want = sorted((i, a, b, k) for g, i, t, _, _ in points for g2, a, b, k in spans if g == g2 and a <= t < b)
     assert got == want
     assert interval_join(p, s, ["g"], "t", "a", "b").select("id").distinct().count() == len(points)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_intervals_of_all_lengths(spark, how):
+    """Lengths from 1 to ten million: the same pairs as brute force, and no interval in more than three nodes."""
+    rng = np.random.default_rng(7)
+    spans = []
+    for i in range(300):
+        start = int(rng.integers(-2_000_000, 2_000_000))
+        spans.append((i, int(rng.integers(0, 3)) or None, start, start + int(10 ** rng.uniform(0, 7)) - (i % 50 == 0) * 10**8))
+    points = [(i, int(rng.integers(0, 4)) or None, int(rng.integers(-4_000_000, 12_000_000)) if i % 20 else None) for i in range(300)]
+    points += [(1000 + i, g, t) for i, (_, g, a, b) in enumerate(spans) for t in (a, b)]
+    left = spark.createDataFrame(points, "p long, g long, t long")
+    right = spark.createDataFrame(spans, "s long, g long, a long, b long")
+    got = sorted(((r["p"], r["s"]) for r in interval_join(left, right, ["g"], "t", "a", "b", how).collect()), key=repr)
+    want = []
+    for p, g, t in points:
+        met = [s for s, g2, a, b in spans if g is not None and g == g2 and t is not None and a <= t < b]
+        want += [(p, s) for s in met] or ([(p, None)] if how == "left" else [])
+    assert got == sorted(want, key=repr) and len(want) > 500
+    assert _nodes(right, "a", "b").groupBy("s").count().agg(F.max("count")).first()[0] <= 3
+    halves = right.select("s", "g", (F.col("a") / 8).alias("a"), (F.col("b") / 8).alias("b"))
+    part = interval_join(left.withColumn("t", F.col("t") / 8), halves, ["g"], "t", "a", "b", how)
+    assert sorted(((r["p"], r["s"]) for r in part.collect()), key=repr) == got
+
+
+def test_interval_join_of_few_rows(spark):
+    points = spark.createDataFrame([(1, 5), (1, 9)], "g long, t long")
+    one = spark.createDataFrame([(1, 4, 8)], "g long, a long, b long")
+    assert sorted(tuple(r) for r in interval_join(points, one, ["g"], "t", "a", "b").select("t", "a").collect()) == [(5, 4), (9, None)]
+    assert interval_join(points, one.limit(0), ["g"], "t", "a", "b").count() == 2
+    assert interval_join(points, one.limit(0), ["g"], "t", "a", "b", "inner").count() == 0
+    assert interval_join(points.limit(0), one, ["g"], "t", "a", "b").count() == 0
+    with pytest.raises(ValueError):
+        interval_join(points, one, ["g"], "t", "a", "b", "right")
+
+
+@pytest.mark.parametrize("limits", [{}, {"rinkflow.maxSmallRows": "10"}, {"rinkflow.maxSmallRows": "10", "rinkflow.maxGroupRows": "60"}])
+def test_lookup_on_large_and_skewed_curves(spark, limits):
+    """A curve whose points crowd at one end, found by number or by merging ranges, with a hot value and missing ones."""
+    rng = np.random.default_rng(11)
+    xs = np.unique(np.concatenate([rng.uniform(0, 1e-3, 1500), rng.uniform(0, 1000, 20)]))
+    ys = rng.normal(size=len(xs))
+    curve = spark.createDataFrame([(float(x), float(y)) for x, y in zip(xs, ys)], "x double, y double")
+    at = [*rng.uniform(-10, 1100, 200), *rng.uniform(0, 1e-3, 300), *xs[::50], xs[0], xs[-1], *[float(xs[7])] * 300, None, float("nan")]
+    points = spark.createDataFrame([(i, None if a is None else float(a)) for i, a in enumerate(at)], "i long, a double").repartition(3)
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["i"]: r["v"] for r in interpolate_linear(points, F.col("a"), curve, "x", "y", "v").collect()}
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert len(got) == len(at)
+    for i, a in enumerate(at):
+        if a is None or a != a:
+            assert got[i] is None
+            continue
+        k = min(max(int(np.searchsorted(xs, a, "right")) - 1, 0), len(xs) - 2)
+        assert got[i] == pytest.approx(ys[k] + (ys[k + 1] - ys[k]) / (xs[k + 1] - xs[k]) * (a - xs[k]), rel=1e-9, abs=1e-9)
+
+
+def test_lookup_on_long_curve(spark):
+    """A hundred thousand points are beyond the small tables: merged by ranges."""
+    curve = spark.range(100_000).select((F.col("id") * F.col("id") * 1.0).alias("x"), (F.col("id") % 1000 * 1.0).alias("y"))
+    points = spark.range(3000).select(F.col("id").alias("i"), (F.pow(F.col("id") * 31.7, F.lit(2.0)) + 0.25).alias("a"))
+    got = interpolate_linear(points, F.col("a"), curve, "x", "y", "v").toPandas().set_index("i")
+    x = np.arange(100_000.0) ** 2
+    a = got["a"].to_numpy()
+    k = np.clip(np.searchsorted(x, a, "right") - 1, 0, len(x) - 2)
+    y = np.arange(100_000) % 1000
+    np.testing.assert_allclose(got["v"], y[k] + (y[k + 1] - y[k]) / (x[k + 1] - x[k]) * (a - x[k]), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("sketch", [10_000, 20])
+def test_ranges_follow_the_rows(spark, monkeypatch, sketch):
+    """Ranges hold few rows whatever the number of shuffle partitions, also where the sketch alone is too coarse."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ranks, "SKETCH", sketch)
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in rng.exponential(size=3000)] + [1.5] * 400 + [None] * 30
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        cuts = ranks.range_cuts(df, "v")
+        sizes = ranks.place(df, "v", cuts).where("v <> 1.5").groupBy(ranks.SLICE).count().toPandas()["count"]
+        assert sizes.max() <= 55 and 1.5 in ranks.heavy_values(cuts)
+        got = ranks.row_numbers(df, "v", "i").orderBy("row_number").select("i", "row_number").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = sorted(range(len(values)), key=lambda i: (values[i] is None, values[i] or 0.0, i))
+    assert [r["i"] for r in got] == want and [r["row_number"] for r in got] == list(range(1, len(values) + 1))
+
+
+def test_falling(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 10)
+    rows = [(float(i), float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, v double")
+    assert ranks.falling(df, "x", "v", "v").count() == 0
+    assert sorted(r["x"] for r in ranks.falling(df.withColumn("v", F.when(F.col("x").isin(0.0, 60.0), 90.5).otherwise(F.col("v"))), "x", "v", "v").collect()) == [float(i) for i in range(1, 91) if i != 60]
+
+
 @pytest.mark.parametrize("limit", [7, 100_000])
 def test_cover_counts_equal_brute_force(ice, spark, limit):
     p, s, points, spans = ice
