@@ -2,7 +2,8 @@
 
 The model is ``y = a + b1 * traffic + b2 * speed + goalie + team_season + season + noise / sqrt(shots)``. All sums it
 needs are taken once per (goalie, team, season) cell; the sweeps read only cells, whose number does not grow with the
-shots. Deviations reported for effects are conditional on the other effects and so smaller than full posterior ones.
+shots. Deviations of effects are marginal: they include that the other effects and the coefficients are not known, given
+the variances. ``sd_alone`` is the deviation as if all others were known.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from rinkflow.functions.numeric import Z_95, interval
 from rinkflow.operators.sizing import Settled, join_dim, one_row, settle
 from rinkflow.plans.metrics import goalie_game_obs, semi_min_rows, zscore
 
+# Team-seasons and seasons up to which the system of all effects but the goalies' is inverted.
+MOST_LEVELS = 1000
 # Keys of the three effects.
 FACTORS = {"g": ("goalie_id",), "t": ("team_id", "season"), "s": ("season",)}
 
@@ -127,7 +131,7 @@ def fit_effects(cells: DataFrame, sweeps: int = 200, tolerance: float = 1e-4) ->
     first = kept.agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy", "wyy")]).first()
     p = {"alpha": 0.0, "beta_traffic": 0.0, "beta_speed": 0.0}
     if not first["n"]:
-        empty = {f: kept.select(*k, F.lit(0.0).alias("effect"), F.lit(0.0).alias("sd")) for f, k in FACTORS.items()}
+        empty = {f: kept.select(*k, F.lit(0.0).alias("effect"), F.lit(0.0).alias("sd"), F.lit(0.0).alias("sd_alone")) for f, k in FACTORS.items()}
         return Effects(empty, p)
     p["sigma2"] = max((first["wyy"] - first["wy"] ** 2 / first["w"]) / first["n"], 1e-12)
     for f in FACTORS:
@@ -149,11 +153,77 @@ def fit_effects(cells: DataFrame, sweeps: int = 200, tolerance: float = 1e-4) ->
         # Variances count against the noise of a mean cell, coefficients against its deviation.
         scale = {k: math.sqrt(floor) if k in ("alpha", "beta_traffic", "beta_speed") else floor for k in p}
         if sweep > 2 and max(abs(p[k] - old[k]) / (abs(old[k]) + scale[k]) for k in p) < tolerance:
-            return Effects({f: t.df.drop("__w") for f, t in tables.items()}, p, True, sweep + 1)
+            return Effects(marginal_deviations(kept, tables, p), p, True, sweep + 1)
         history.append(p)
         if len(history) == 3:
             p, history = _leap(history, list(FACTORS)), []
-    return Effects({f: t.df.drop("__w") for f, t in tables.items()}, p, False, sweeps)
+    return Effects(marginal_deviations(kept, tables, p), p, False, sweeps)
+
+
+def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[str, float]) -> dict[str, DataFrame]:
+    """The effect tables with ``sd`` from the inverse of the precision of all effects and coefficients together.
+
+    Goalies meet each other only through team-seasons, seasons and the three coefficients. So their rows of the system are
+    eliminated where they lie, a goalie at a time, and partitions add up what is left: one row and column for each level of the
+    other two factors, which a league has few of (``MOST_LEVELS`` at most; beyond that the deviations stay those of known others).
+    With the inverse of that, a goalie's variance follows from its own cells.
+    """
+    alone = {f: t.df.drop("__w").withColumn("sd_alone", F.col("sd")) for f, t in tables.items()}
+    places: dict[tuple, int] = {}
+    for f in ("t", "s"):
+        keys = tables[f].df.select(*FACTORS[f]).limit(MOST_LEVELS + 1).collect()
+        places |= {(f, *r): len(places) + i for i, r in enumerate(keys)}
+    if len(places) > MOST_LEVELS:
+        return alone
+    size, noise, prior = len(places) + 3, p["sigma2"], 1 / p["g"]
+    own = cells.groupBy("goalie_id").agg(
+        F.collect_list(F.struct("team_id", "season", "w", "wt", "ws", "wtt", "wts", "wss")).alias("cells")  # no more than team-seasons
+    )
+
+    def weights(row: list[dict]) -> tuple[np.ndarray, float]:
+        """What ties a goalie to every other row of the system, and its own precision."""
+        out = np.zeros(size)
+        for c in row:
+            out[[places["t", c["team_id"], c["season"]], places["s", c["season"]], size - 3]] += c["w"] / noise
+            out[size - 2 :] += c["wt"] / noise, c["ws"] / noise
+        return out, sum(c["w"] for c in row) / noise + prior
+
+    def eliminate(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            for row in batch.column(1).to_pylist():
+                for c in row:
+                    at = [places["t", c["team_id"], c["season"]], places["s", c["season"]], size - 3, size - 2, size - 1]
+                    one = np.array([c["w"], c["w"], c["w"], c["wt"], c["ws"]])
+                    block = np.vstack([one, one, one, [c["wt"]] * 3 + [c["wtt"], c["wts"]], [c["ws"]] * 3 + [c["wts"], c["wss"]]])
+                    total[np.ix_(at, at)] += block / noise
+                tie, precision = weights(row)
+                near = np.flatnonzero(tie)
+                total[np.ix_(near, near)] -= np.outer(tie[near], tie[near]) / precision
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "v"])
+
+    sums = own.mapInArrow(eliminate, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    system = np.zeros((size, size))
+    system[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["v"].to_numpy()
+    system[np.diag_indices(size)] += [1 / p[f] for f, *_ in places] + [1.0] * 3
+    inverse = np.linalg.inv(system)
+
+    def spread(batches):
+        for batch in batches:
+            found = []
+            for row in batch.column(1).to_pylist():
+                tie, precision = weights(row)
+                found.append(math.sqrt(1 / precision + tie @ inverse @ tie / precision**2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["goalie_id", "__sd"])
+
+    kind = dict(cells.dtypes)["goalie_id"]
+    out = {"g": join_dim(alone["g"], settle(own.mapInArrow(spread, f"goalie_id {kind}, __sd double")), ["goalie_id"])}
+    for f in ("t", "s"):
+        rows = [(*key, float(math.sqrt(inverse[i, i]))) for (g, *key), i in places.items() if g == f]
+        kinds = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in FACTORS[f])
+        out[f] = join_dim(alone[f], settle(cells.sparkSession.createDataFrame(rows, f"{kinds}, __sd double")), FACTORS[f])
+    return {f: t.withColumn("sd", F.col("__sd")).drop("__sd") for f, t in out.items()}
 
 
 def _parameters(cells: DataFrame, tables: dict[str, Settled], p: dict[str, float]) -> dict[str, float]:

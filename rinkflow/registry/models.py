@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rinkflow.operators.ranks import falling
 from rinkflow.plans import effects as E
+from rinkflow.plans import encoding as N
 from rinkflow.plans import models as L
 from rinkflow.plans import scoring as S
 from rinkflow.plans.quality import union_scoped
 from rinkflow.registry.core import register
 from rinkflow.registry.features import features
 from rinkflow.registry.sql import part, using
-from rinkflow.session import fresh_path, shared_dir
+from rinkflow.session import cut_lineage, fresh_path
 from rinkflow.sources import roles
 from rinkflow.sources.datasets import rewrite_dataset
 
@@ -62,7 +61,7 @@ def _fitted(spark, path):
 def dsis_effects(spark, path):
     tables = _fitted(spark, path).tables
     kinds = {"g": ("goalie", ["goalie_id"]), "t": ("team_season", ["team_id", "season"]), "s": ("season", ["season"])}
-    return union_scoped({name: tables[f].select(*keys, "effect", "sd") for f, (name, keys) in kinds.items()})
+    return union_scoped({name: tables[f].select(*keys, "effect", "sd", "sd_alone") for f, (name, keys) in kinds.items()})
 
 
 @register("dsis_goalies")
@@ -80,15 +79,6 @@ def _stored_features(spark, path):
     return rewrite_dataset(features(spark, path).select(*keep), "xg_features")
 
 
-def _choice_path(spark, path):
-    return f"{shared_dir(spark)}/rinkflow/choice-{hashlib.sha256(path.encode()).hexdigest()[:32]}"
-
-
-def _choice(spark, path):
-    """Parameters of boosted models: what ``tune_boosted`` kept for this folder, else the defaults."""
-    return L.best_choice(spark, _choice_path(spark, path))
-
-
 @register("model_logistic")
 def model_logistic(spark, path):
     _, held = L.train_baseline(_stored_features(spark, path))
@@ -98,13 +88,13 @@ def model_logistic(spark, path):
 @register("model_boosted")
 def model_boosted(spark, path):
     rows = _stored_features(spark, path)
-    model = L.fit_boosted(rows, **_choice(spark, path))
+    model = L.fit_boosted(rows)
     return S.evaluate(L.score(model, L.prepare(rows)), "is_goal", "xg_prob")
 
 
 @register("oof_predictions")
 def oof_predictions(spark, path):
-    return L.oof_predictions(_stored_features(spark, path), **_choice(spark, path)).select("event_id", "season", "is_goal", "oof_prob")
+    return L.oof_predictions(_stored_features(spark, path)).select("event_id", "season", "is_goal", "oof_prob")
 
 
 @register("score_shots")
@@ -125,40 +115,75 @@ def score_shots_totals(spark, path):
     return sums.select("season", "n", "goals", (F.abs(F.col("p") - F.col("goals")) < 1e-6 * F.greatest(F.lit(1), "goals")).alias("agrees"))
 
 
-@register("oof_totals", using("feats") + "SELECT season, count(*) AS n, count(DISTINCT event_id) AS events, count(*) AS inside FROM feats GROUP BY 1")
+part("feats_sized", ("feats",), """
+SELECT season, n, row_number() OVER (ORDER BY n DESC, season DESC) AS i FROM (SELECT season, count(*) AS n FROM feats GROUP BY season)""")
+part("feats_dealt", ("feats_sized",), """
+SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, CAST(NULL AS BIGINT) AS season, CAST(NULL AS BIGINT) AS fold
+UNION ALL
+SELECT s.i, list_transform(d.load, lambda v, j: CASE WHEN j = list_position(d.load, list_min(d.load)) THEN v + s.n ELSE v END),
+  s.season, list_position(d.load, list_min(d.load)) - 1
+FROM feats_dealt d JOIN feats_sized s ON s.i = d.i + 1""")
+
+
+@register("oof_totals", using("feats", "feats_dealt") + """
+SELECT fold, count(*) AS n, count(DISTINCT event_id) AS events, count(DISTINCT season) AS seasons, count(*) AS inside, CAST(1 AS BIGINT) AS models
+FROM feats JOIN feats_dealt USING (season) GROUP BY fold""")
 def oof_totals(spark, path):
-    """Every shot is predicted once, with a probability between 0 and 1."""
+    """Every shot is predicted once, with a probability between 0 and 1, by the one model that has not seen its fold's seasons."""
     inside = F.count_if((F.col("oof_prob") > 0) & (F.col("oof_prob") < 1))
-    return oof_predictions(spark, path).groupBy("season").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), inside.alias("inside")
+    return L.oof_predictions(_stored_features(spark, path)).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("event_id").alias("events"),
+        F.count_distinct("season").alias("seasons"),
+        inside.alias("inside"),
+        F.count_distinct("rounds").alias("models"),
     )
 
 
 @register("isotonic_totals", using("feats") + "SELECT count(*) AS n, true AS agrees, CAST(0 AS BIGINT) AS inversions FROM feats")
 def isotonic_totals(spark, path):
     """An isotonic fit keeps the sum of labels and never falls."""
-    oof = L.calibrate_isotonic(L.oof_predictions(_stored_features(spark, path), **_choice(spark, path)))
+    oof = cut_lineage(L.calibrate_isotonic(L.oof_predictions(_stored_features(spark, path))))
     steps = oof.groupBy("oof_prob").agg(F.min("calibrated_prob").alias("low"), F.max("calibrated_prob").alias("high"))
-    before = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("oof_prob"))
-    falls = steps.select((F.col("low") < before - 1e-12).alias("f")).agg(F.count_if("f").alias("inversions"))
+    falls = falling(steps, "oof_prob", "low", "high", 1e-12).agg(F.count(F.lit(1)).alias("inversions"))
     sums = oof.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum("calibrated_prob") - F.sum("is_goal")) < 1e-6 * F.count(F.lit(1))).alias("agrees"))
     return sums.withColumn("inversions", falls.scalar())
 
 
 @register("tune_boosted")
 def tune_boosted(spark, path):
-    trials = L.tune(_stored_features(spark, path))
-    L.save_choice(trials, _choice_path(spark, path))
-    return trials
+    return L.tune(_stored_features(spark, path))
 
 
 @register("feature_importance")
 def feature_importance(spark, path):
     rows = _stored_features(spark, path)
-    return L.permutation_importance(rows, L.fit_boosted(rows, **_choice(spark, path)), L.MODEL_FEATURES)
+    return L.permutation_importance(rows, L.fit_boosted(rows), L.MODEL_FEATURES)
 
 
 @register("calibrate_isotonic")
 def calibrate_isotonic(spark, path):
-    oof = L.oof_predictions(_stored_features(spark, path), **_choice(spark, path))
+    oof = L.oof_predictions(_stored_features(spark, path))
     return L.calibrate_isotonic(oof).select("event_id", "oof_prob", "calibrated_prob")
+
+
+
+def _mean_sql(c):
+    value, fold = f"coalesce(CAST({c} AS VARCHAR), 'None')", "event_id % 5"
+
+    def outside(f):
+        return f"({f} OVER (PARTITION BY {value}) - {f} OVER (PARTITION BY {value}, {fold}))"
+
+    prior = f"(sum(is_goal) OVER () - sum(is_goal) OVER (PARTITION BY {fold})) / (count(*) OVER () - count(*) OVER (PARTITION BY {fold}))::DOUBLE"
+    return f"({outside('sum(is_goal)')} + {N.SMOOTHING!r}::DOUBLE * {prior}) / ({outside('count(*)')} + {N.SMOOTHING!r}::DOUBLE) AS {c}_mean"
+
+
+_MEANS = {c: f"{c}_mean" for c in L.CATEGORY_FEATURES}
+
+
+@register("target_encoding", using("feats") + f"SELECT event_id, {', '.join(map(_mean_sql, _MEANS))} FROM feats", " ".join(_MEANS.values()))
+def target_encoding(spark, path):
+    """Every category as the mean of the label over the rows of the other folds."""
+    rows = L.prepare(features(spark, path)).select("event_id", "is_goal", *_MEANS).withColumn("fold", F.col("event_id") % 5)
+    rows = rewrite_dataset(rows, "categories")
+    return N.encode(rows, N.label_sums(rows, list(_MEANS), "is_goal", "fold"), _MEANS, "fold").select("event_id", *_MEANS.values())
