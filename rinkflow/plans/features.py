@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.functions import clock, details, geometry
 from rinkflow.operators.intervals import cover_counts
 from rinkflow.operators.sequences import event_sequence, group_values, neighbours, range_counts, running
+from rinkflow.operators.sizing import guard_rows
 from rinkflow.operators.skew import Groups, measure_groups
 from rinkflow.schemas import ON_GOAL_TYPES, SHOT_TYPES, TRAFFIC_TYPES
+from rinkflow.sources.datasets import replace_table, write_dataset
 
 GAME, PERIOD, EVENT, OWNER = "game_id", "period", "event_id", "event_owner_team_id"
 
@@ -252,3 +255,17 @@ MODEL_FEATURES = (
     "delta_angle",
 )
 CATEGORY_FEATURES = ("shot_type", "prev_event_type", "sequence_2_events", "strength_state")
+
+
+def write_features(features: DataFrame, path: str, by: tuple[str, ...] = ("season",)) -> bool:
+    """Write the shots with their context; without any shot nothing is written and an older version stays."""
+    if not guard_rows(features, 1):
+        warnings.warn("no shots: features not written", stacklevel=2)
+        return False
+    return write_dataset(features, path, by)
+
+
+def load_features(spark: SparkSession, features: DataFrame, name: str = "xg_features") -> DataFrame:
+    """Create the table of features in the catalog, or replace its rows and columns, and read it."""
+    replace_table(features, name)
+    return spark.table(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.functions.clock import clock_regex
@@ -13,6 +13,7 @@ from rinkflow.functions.geometry import X_LIMIT, Y_LIMIT
 from rinkflow.operators.sequences import neighbours
 from rinkflow.operators.sizing import one_row, settle
 from rinkflow.schemas import SHOT_TYPES
+from rinkflow.sources.datasets import require_tables
 
 
 # Names and summary texts of the checks.
@@ -195,27 +196,85 @@ def check_missing(pbp: DataFrame, max_pct: float = 10.0) -> Check:
     )
 
 
-def run_checks(pbp: DataFrame | None, min_n: int = 100, min_gap: float = 2.0, max_pct: float = 10.0, **limits: float) -> DataFrame:
-    """All checks in order and the overall result as last row; without a table, the prerequisite fails."""
+def shot_sums(pbp: DataFrame, x_limit: float = X_LIMIT, y_limit: float = Y_LIMIT) -> DataFrame:
+    """All that three checks need of the shots, by season and venue, and the number of events, from one scan and one aggregate."""
+    shot = F.col("event_type").isin(*SHOT_TYPES)
+    missing = F.col("x_coord").isNull() | F.col("y_coord").isNull()
+    outside = ~F.col("x_coord").between(-x_limit, x_limit) | ~F.col("y_coord").between(-y_limit, y_limit)
+    means = [F.avg(F.when(shot & ~missing, F.col(f"{c}_coord"))).alias(f"mean_{c}") for c in "xy"]
+    return pbp.groupBy("season", "venue").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_if(shot).alias("n_shots"),
+        F.count_if(shot & missing).alias("n_missing"),
+        F.count_if(shot & ~missing).alias("n_located"),
+        F.count_if(shot & ~missing & outside).alias("n_outside"),
+        *means,
+    )
+
+
+def anomaly_sums(pbp: DataFrame, min_gap: float = 2.0, max_per_group: int = 5) -> DataFrame:
+    """Rows of the table, anomalies, and games with too many of them, as one row: one windowed pass, counted per game before it ends."""
+    games = sequence_anomalies(pbp, min_gap).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    return games.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > max_per_group).alias("bad"))
+
+
+def run_checks(
+    pbp: DataFrame | None, min_n: int = 100, min_gap: float = 2.0, max_pct: float = 10.0, sigma: float = 2.0, max_per_group: int = 5, **limits: float
+) -> DataFrame:
+    """All checks in order and the overall result as last row; without a table, the prerequisite fails.
+
+    The table is read once for its sums by season and venue; bounds, venue bias, missing data and whether there are events at all
+    follow from these few rows. The order of events takes one windowed pass. Each is computed once.
+    """
     if pbp is None:
         raise ValueError("raw_pbp table not found: load the landed tables first")
-    checks = [
-        check_bounds(pbp, **limits),
-        check_venue_bias(pbp, min_n),
-        check_sequences(pbp, min_gap),
-        check_missing(pbp, max_pct),
-    ]
-    rows = [c.result.withColumn("position", F.lit(i)) for i, c in enumerate(checks, 1)]
-    report = settle(reduce(DataFrame.unionByName, rows)).df
+    sums = settle(shot_sums(pbp, **limits)).df
+    events = sums.agg(F.sum("n_events")).first()[0]
+    order = settle(anomaly_sums(pbp, min_gap, max_per_group)).df
+    sums = sums.filter("n_shots > 0")
+    named = sums.filter(F.col("venue").isNotNull() & (F.col("venue") != ""))
+
+    bounds = sums.agg(F.coalesce(F.sum("n_outside"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n_located"), F.lit(0)).alias("n"))
+    pct = F.coalesce(F.try_divide(F.col("bad") * 100.0, F.col("n")), F.lit(0.0))
+    rows = [_result(bounds, BOUNDS, F.col("bad") == 0, F.format_string(BOUNDS_TEXT, "bad", pct, "n"))]
+
+    mean = {c: (F.sum(F.col("n_located") * F.coalesce(f"mean_{c}", F.lit(0.0))) / F.sum("n_located")).alias(f"mean_{c}") for c in "xy"}
+    venues = named.groupBy("venue").agg(F.sum("n_located").alias("n"), *[F.when(F.sum("n_located") > 0, m).alias(f"mean_{c}") for c, m in mean.items()])
+    counted = venues.filter(F.col("n") >= min_n)
+    league = one_row(counted, **{f"m{c}": F.avg(f"mean_{c}") for c in "xy"}, **{f"s{c}": F.stddev_samp(f"mean_{c}") for c in "xy"})
+    far = [F.try_divide(F.abs(F.col(f"mean_{c}") - F.col(f"l.m{c}")), F.col(f"l.s{c}")) > sigma for c in "xy"]
+    flagged = counted.withColumn("l", league).filter(far[0] | far[1])
+    bias = venues.agg(F.count(F.lit(1)).alias("n")).withColumn("bad", one_row(flagged, n=F.count(F.lit(1))).getField("n"))
+    rows.append(_result(bias, BIAS, F.col("bad") == 0, F.format_string(BIAS_TEXT.format(sigma=sigma), "bad", "n")))
+
+    text = F.format_string(SEQUENCE_TEXT.format(limit=max_per_group), "n", "bad") if events else F.lit(NO_EVENTS_TEXT)
+    rows.append(_result(order, SEQUENCE, F.col("bad") == 0, text))
+
+    def share(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg((100.0 * F.sum("n_missing") / F.sum("n_shots")).alias("pct"))
+
+    many = share(named, "season", "venue").filter(F.col("pct") > max_pct)
+    worst = share(sums, "season").agg(F.coalesce(F.max(F.round("pct", 2)), F.lit(0.0)).alias("worst"))
+    worst = worst.withColumn("bad", one_row(many, n=F.count(F.lit(1))).getField("n"))
+    text = F.format_string(MISSING_TEXT.format(limit=float(max_pct)), "worst", "bad")
+    rows.append(_result(worst, MISSING, (F.col("bad") == 0) & (F.col("worst") <= max_pct), text))
+
+    report = settle(reduce(DataFrame.unionByName, [r.withColumn("position", F.lit(i)) for i, r in enumerate(rows, 1)])).df
     overall = report.agg(F.bool_and("passed").alias("passed")).select(
         F.lit("Result").alias("check"),
         "passed",
         F.when(F.col("passed"), PASSED_TEXT).otherwise(FAILED_TEXT).alias("summary"),
-        F.lit(len(checks) + 1).alias("position"),
+        F.lit(len(rows) + 1).alias("position"),
     )
     return report.unionByName(overall)
 
 
+def check_table(spark: SparkSession, name: str = "raw_pbp", **options: float) -> DataFrame:
+    """``run_checks`` on a table of the catalog; the catalog is asked first."""
+    missing = require_tables(spark, [name])
+    return run_checks(None if missing else spark.table(name), **options)
+
+
 def preview(details: DataFrame, order: list[str], n: int = 10) -> DataFrame:
     """The first rows of a detail table and, on each, how many more there are."""
     more = F.greatest(one_row(details, n=F.count(F.lit(1))).getField("n") - n, F.lit(0))

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rinkflow.operators.sizing import guard_rows
-from rinkflow.plans import aging, effects, kalman, quality, scoring, serving
+from rinkflow.operators.sizing import guard_rows, settle
+from rinkflow.plans import aging, effects, kalman, models, quality, scoring, serving
 from rinkflow.plans import features as P
 from rinkflow.plans import metrics as M
 from rinkflow.registry.features import FRAMES, scored
@@ -147,6 +147,39 @@ def test_effects_recover_planted_ones(spark):
     assert fit.teams().count() == 30
 
 
+def test_deviations_are_those_of_the_whole_system(spark, monkeypatch):
+    """Against the inverse of the dense precision of all goalies, team-seasons, seasons and coefficients."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (g, int(rng.integers(0, 4)), int(rng.integers(0, 3)), k, int(rng.integers(5, 60)), float(rng.normal(0, 0.1)), float(rng.normal()), float(rng.normal()))
+        for g in range(25) for k in range(int(rng.integers(1, 12)))
+    ]
+    obs = spark.createDataFrame(rows, "goalie_id bigint, team_id bigint, season bigint, game_id bigint, shots_faced bigint, gsax_per_shot double, traffic_std double, speed_std double")
+    cells = effects.cell_table(obs)
+    tables = {
+        f: settle(cells.groupBy(*k).agg(F.sum("w").alias("__w")).withColumns({"effect": F.lit(0.0), "sd": F.lit(1.0)})) for f, k in effects.FACTORS.items()
+    }
+    p = {"sigma2": 0.4, "g": 0.02, "t": 0.01, "s": 0.005, "alpha": 0.0, "beta_traffic": 0.0, "beta_speed": 0.0}
+    got = effects.marginal_deviations(cells, tables, p)
+    names = [("g", g) for g in sorted({r[0] for r in rows})] + [("t", *x) for x in sorted({r[1:3] for r in rows})] + [("s", x) for x in sorted({r[2] for r in rows})]
+    at = {n: i for i, n in enumerate(names)}
+    a = np.diag([1 / p[n[0]] for n in names] + [1.0] * 3)
+    for g, t, s, _, n, _, traffic, speed in rows:
+        x = np.zeros(len(a))
+        x[[at["g", g], at["t", t, s], at["s", s], -3]] = 1
+        x[-2:] = traffic, speed
+        a += np.outer(x, x) * n / p["sigma2"]
+    want = np.sqrt(np.diag(np.linalg.inv(a)))
+    seen = 0
+    for f, keys in effects.FACTORS.items():
+        for r in got[f].collect():
+            assert r["sd"] == pytest.approx(want[at[f, *[r[k] for k in keys]]], rel=1e-9) and r["sd_alone"] == 1.0
+            seen += 1
+    assert seen == len(names)
+    monkeypatch.setattr(effects, "MOST_LEVELS", 5)
+    assert {r["sd"] for r in effects.marginal_deviations(cells, tables, p)["g"].collect()} == {1.0}
+
+
 def test_percentiles_are_shares(spark, shots):
     board = serving.leaderboard(shots, roles.names(spark, SMALL), min_shots=3)
     rows = board.collect()
@@ -169,10 +202,55 @@ def test_quality_on_empty_and_missing_tables(spark):
         quality.run_checks(None)
 
 
+def test_report_is_that_of_the_single_checks(spark):
+    pbp = roles.pbp(spark, SMALL)
+    single = [
+        quality.check_bounds(pbp, 95.0, 40.0), quality.check_venue_bias(pbp, 5, 1.0), quality.check_sequences(pbp, 30.0, 0), quality.check_missing(pbp, 2.0),
+    ]
+    want = [tuple(c.result.first()) for c in single]
+    got = quality.run_checks(pbp, 5, 30.0, 2.0, sigma=1.0, max_per_group=0, x_limit=95.0, y_limit=40.0).orderBy("position").collect()
+    assert [tuple(r)[:3] for r in got[:4]] == want and not got[4]["passed"]
+    assert any(not w[1] for w in want)
+
+
+def test_report_reads_the_table_twice(spark, tmp_path):
+    """One scan for the sums and one for the windowed pass, however many checks there are."""
+    path = str(tmp_path / "pbp")
+    roles.pbp(spark, SMALL).write.parquet(path)
+    read = spark.read.parquet(path)
+    plans = [quality.shot_sums(read), quality.anomaly_sums(read)]
+    assert [p._jdf.queryExecution().executedPlan().toString().count("FileScan") for p in plans] == [1, 1]
+    # What is left after that reads no file.
+    final = quality.run_checks(read)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in final and "Window" not in final
+
+
+def test_report_of_a_named_table(spark):
+    with pytest.raises(ValueError, match="not found"):
+        quality.check_table(spark, "no_such_table")
+    roles.pbp(spark, SMALL).createOrReplaceTempView("plays_here")
+    assert quality.check_table(spark, "plays_here").count() == 5
+
+
 def test_guard(spark):
     assert guard_rows(spark.range(5), 5) and not guard_rows(spark.range(4), 5)
 
 
+def test_features_without_shots_are_not_written(spark, tmp_path):
+    path = str(tmp_path / "features")
+    rows = spark.createDataFrame([(1, 20202021)], "event_id long, season long")
+    assert P.write_features(rows, path)
+    with pytest.warns(UserWarning, match="no shots"):
+        assert not P.write_features(rows.limit(0), path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_few_rows_are_trained_on_with_a_warning(spark):
+    with pytest.warns(UserWarning, match="fewer than 50"):
+        assert models.warn_if_few(spark.range(49))
+    assert not models.warn_if_few(spark.range(50))
+
+
 def test_status(spark):
     log = [("pbp", 3, "complete", "", 1), ("pbp", 5, "failed", "HTTP 500", 2), ("pbp", 6, "failed", "x", 3), ("pbp", 6, "complete", "", 4),
            ("pbp", 7, "complete", "", 5), ("pbp", 7, "failed", "late", 6), ("shifts", 3, "failed", "y", 7)]
