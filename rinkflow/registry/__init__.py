@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("ingest", "features", "quality", "scoring", "metrics", "aging", "serving", "models")
+_MODULES = ("ingest", "features", "quality", "scoring", "metrics", "aging", "serving", "models", "streams")
 
 
 def _load() -> None:
