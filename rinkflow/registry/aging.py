@@ -260,7 +260,26 @@ def loess_local_linear(spark, path):
     return I.loess(roles.curve(spark, path), "x", "y", 0.3, 0)
 
 
-@register("loess_robust")
+def _robust_part(i):
+    """One fit, and the weights that its residuals give the rows of the next one."""
+    dense = "dense" if i == 0 else f"dense{i}"
+    part(f"fit{i}", ("width", dense), f"""
+SELECT x, CASE WHEN a * c - b * b <= 1e-12 * a * a * greatest(h * h, 1e-300) THEN p / a ELSE (c * p - b * q) / (a * c - b * b) END AS fitted
+FROM (SELECT x, max(h) AS h, sum(w * n) AS a, sum(w * n * d) AS b, sum(w * n * d * d) AS c, sum(w * sy) AS p, sum(w * sy * d) AS q
+  FROM (SELECT t.x, t.h, s.n, s.sy, s.x - t.x AS d, (1 - (abs(s.x - t.x) / h) ** 3) ** 3 AS w
+    FROM width t JOIN {dense} s ON abs(s.x - t.x) <= h) t GROUP BY x) t""")
+    part(f"dense{i + 1}", ("curve", f"fit{i}"), f"""
+SELECT x, sum(d) AS n, sum(d * y) AS sy FROM (
+  SELECT x, y, CASE WHEN r < 6 * scale THEN (1 - (r / (6 * scale)) * (r / (6 * scale))) * (1 - (r / (6 * scale)) * (r / (6 * scale))) ELSE 0 END AS d
+  FROM (SELECT x, y, r, median(r) OVER () AS scale FROM (SELECT c.x, c.y, abs(c.y - f.fitted) AS r FROM curve c JOIN fit{i} f ON f.x = c.x) z) z) z
+GROUP BY x""")
+
+
+for _i in range(4):
+    _robust_part(_i)
+
+
+@register("loess_robust", using("fit3") + "SELECT x, fitted FROM fit3", "fitted", 4)
 def loess_robust(spark, path):
     return I.loess(roles.curve(spark, path), "x", "y", 0.3, 3)
 

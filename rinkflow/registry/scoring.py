@@ -10,6 +10,7 @@ from rinkflow.plans import scoring as S
 from rinkflow.registry.core import register
 from rinkflow.registry.features import scored
 from rinkflow.registry.sql import part, using
+from rinkflow.session import fresh_path
 from rinkflow.sources import datasets, roles
 
 part("factors", ("scored",), "SELECT season, sum(is_goal) / sum(xg_prob) AS calib_factor FROM scored GROUP BY season")
@@ -77,6 +78,16 @@ def eval_report(spark, path):
     return S.evaluate(scored(spark, path), "is_goal", "xg_prob")
 
 
+@register("metrics_report", using("scored") + f"""
+SELECT avg(-(is_goal * ln(xg_prob) + (1 - is_goal) * ln(1 - xg_prob))) AS log_loss,
+  avg((xg_prob - is_goal) * (xg_prob - is_goal)) AS brier_score, ({_AUC.format("scored")}) AS auc FROM scored""", "log_loss brier_score auc", 4)
+def metrics_report(spark, path):
+    """The report of a model, written as JSON and read again."""
+    target = fresh_path(spark, "report")
+    datasets.write_metrics(S.evaluate(scored(spark, path), "is_goal", "xg_prob"), target)
+    return spark.read.schema("log_loss double, brier_score double, auc double").json(target)
+
+
 _BIN = " + ".join(f"CAST(xg_prob > CAST('{e!r}' AS DOUBLE) AS INT)" for e in S.bin_edges())
 
 
@@ -178,8 +189,6 @@ def semi_min_rows(spark, path):
 
 @register("partitioned_roundtrip", using("scored") + "SELECT season, count(*) AS n, sum(xg_prob) AS expected FROM scored GROUP BY season", "expected", 4)
 def partitioned_roundtrip(spark, path):
-    from rinkflow.session import fresh_path
-
     target = fresh_path(spark, "roundtrip")
     datasets.write_dataset(scored(spark, path).select("event_id", "season", "xg_prob"), target)
     back = datasets.read_union_by_name(spark, target)

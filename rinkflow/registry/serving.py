@@ -13,6 +13,7 @@ from rinkflow.registry.core import register
 from rinkflow.registry.features import scored, stored
 from rinkflow.registry.metrics import base
 from rinkflow.registry.sql import part, using
+from rinkflow.session import fresh_path
 from rinkflow.sources import datasets, roles
 
 SEASON = 20222023
@@ -276,6 +277,18 @@ def unified_metrics(spark, path):
     return V.unified_metrics(base(shots), dsis(shots), proj(shots))
 
 
+@register("unified_written", using("base") + "SELECT season, 2 * count(*) AS n, CAST(2 * sum(shots_faced) AS BIGINT) AS shots, sum(gsax_cumulative) AS gsax FROM base GROUP BY 1", "gsax", 4)
+def unified_written(spark, path):
+    """The unified table written in both forms, both read again."""
+    target = fresh_path(spark, "unified")
+    V.write_unified(unified_metrics(spark, path), target)
+    kept = spark.read.parquet(f"{target}/parquet").select("season", "shots_faced", "gsax_cumulative", F.lit(1).alias("half"))
+    text = spark.read.option("header", True).csv(f"{target}/csv")
+    text = text.select(F.col("season").cast("bigint"), F.col("shots_faced").cast("bigint"), F.col("gsax_cumulative").cast("double"), F.lit(1).alias("half"))
+    sums = F.sum("shots_faced").cast("bigint").alias("shots"), (F.sum("gsax_cumulative") / 2).alias("gsax")
+    return kept.unionAll(text).groupBy("season").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 @register("latest_per_key", using("base") + "SELECT goalie_in_net_id, max(season) AS season, arg_max(rci, season) AS rci FROM base GROUP BY 1", "rci")
 def latest_per_key(spark, path):
     return topk.latest_per_key(base(scored(spark, path)), "goalie_in_net_id", "season", ["rci"])
