@@ -19,6 +19,7 @@ from rinkflow.llm.packing import pack
 from rinkflow.llm.prefixtree import similar_texts
 from rinkflow.llm.secrets import find_secrets, redact
 from rinkflow.llm.toxicity import toxic_scores
+from rinkflow.session import fresh_path, scratch
 
 #: Documents with at least this score go.
 TOXIC = 0.7
@@ -47,11 +48,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_guarded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the smallest id. Rows that repeat an id count as one."""
-    classes = similar_texts(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs if docs.groupBy("doc_id").count().where("count > 1").isEmpty() else docs.dropDuplicates(["doc_id"])
-    kept = one.where(F.col("doc_id").isNotNull()).join(classes, "doc_id", "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of similar ones: the one with the smallest id.
+
+    Rows are compared, not ids: rows that repeat an id with different texts are documents each. Of rows with one id and similar
+    texts the first one stays, a row without an id only where its group has none with one. Rows without words are never similar.
+    """
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    classes = similar_texts(numbered, key="__row").select("__row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    chosen = numbered.select("__row", "doc_id").join(classes, "__row").groupBy("component_id").agg(F.min(order).alias("m")).select("m.__row")
+    return numbered.join(chosen, "__row", "left_semi").select(*docs.columns)
 
 
 @_guarded
@@ -90,8 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and read again."""
+    """All stages over documents; each but the last is written and read again, and what it wrote on its way is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

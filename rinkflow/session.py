@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +58,29 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/rinkflow/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or below the scratch folder of the block that asks."""
+    return f"{shared_dir(spark)}/rinkflow/{_scratch.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose written versions are deleted at its end, whether or not it fails.
+
+    Operators return frames that read what they have written, so results must be written or collected inside the block, to a path
+    that was named before it.
+    """
+    outer = _scratch.get()
+    inner = f"{outer}scratch-{uuid.uuid4().hex}/"
+    token = _scratch.set(inner)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        drop_version(spark, f"{shared_dir(spark)}/rinkflow/{inner.rstrip('/')}")
 
 
 def drop_version(spark: SparkSession, path: str) -> None:

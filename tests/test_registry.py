@@ -37,3 +37,34 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_survives_a_missing_library(monkeypatch):
+    """Without a tokenizer library the text queries are left out and all others stay."""
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("rinkflow.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    if os.path.exists(os.path.join(os.path.dirname(entry.__file__), "rinkflow", "llm", "queries.py")):
+        with pytest.warns(UserWarning, match="can't be imported"):
+            names = set(entry.queries())
+    else:
+        names = set(entry.queries())
+    assert "leaderboard" in names and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names
+
+
+def test_scratch_is_deleted(spark):
+    from rinkflow.session import fresh_path, scratch
+
+    kept = fresh_path(spark, "kept")
+    with pytest.raises(KeyError), scratch(spark):
+        inner = fresh_path(spark, "inner")
+        spark.range(3).write.parquet(inner)
+        with scratch(spark):
+            deeper = fresh_path(spark, "deeper")
+            spark.range(3).write.parquet(deeper)
+        assert not os.path.exists(deeper) and os.path.exists(inner)
+        spark.read.parquet(inner).write.parquet(kept)
+        raise KeyError
+    assert not os.path.exists(inner) and spark.read.parquet(kept).count() == 3
