@@ -1,9 +1,12 @@
 """Language-model scores of texts by a subword lattice.
 
-Words seen in training have their relative frequency. The mass of unseen words (Witten-Bell: as many as there are distinct words)
-is spread over all strings by a subword model: the probability of a word is the sum over all its segmentations into pieces of
-an existing vocabulary, found by a forward recursion in log space. The vocabulary's scores are merge ranks; by Zipf's law they
-give the first weights of the pieces, which ``steps`` of expectation over the distinct training words then fit to the corpus.
+The probability of a word is the sum over all its segmentations into pieces of an existing vocabulary, found by a forward recursion
+in log space; that of a text is the product over its words and its end. The vocabulary's scores are merge ranks; by Zipf's law they
+give the first weights of the pieces, which ``steps`` of expectation over the distinct training words then fit to the corpus. Any
+word of any script has a probability: characters without a piece are spelt by their bytes.
+
+``mixed_score`` weighs the lattice with counts: words seen in training have their relative frequency, and only the mass of unseen
+words (Witten-Bell: as many as there are distinct words) is spread by the lattice.
 
 Work is shared by words, not tokens. Documents are dealt into lots of about ``lot_bytes`` by a hash of their content; a lot
 sends each distinct word once, words are counted and scored once each, and every lot gets its words back. The most frequent
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from rinkflow.llm.batches import stored, strings, text_or_empty
 
 START = "▁"
+#: Distinct words that a task takes the expectation of.
+WORDS_PER_TASK = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +63,9 @@ def vocabulary(path: str) -> tuple[dict[str, int], np.ndarray, list[int]]:
 class Lattice:
     """Marginal probabilities of words under piece log-probabilities."""
 
-    #: Words up to this length can't underflow without logarithms: a piece has a probability of 1e-5 or so.
+    #: Below this, sums without logarithms lose digits.
+    TINY = 1e-280
+    #: Words up to this length are first tried without logarithms.
     SHORT = 40
 
     def __init__(self, path: str, logs: np.ndarray, stop: float):
@@ -84,17 +91,28 @@ class Lattice:
     @staticmethod
     def forward(n: int, arcs: list[tuple[int, int, int, float]]) -> list[float]:
         """Log-probability of all ways to each position."""
-        alpha = [0.0] + [-math.inf] * n
-        for i, j, _, log in arcs:
-            new, old = alpha[i] + log, alpha[j]
-            if old == -math.inf:
-                alpha[j] = new
-            elif new > old:
-                alpha[j] = new + math.log1p(math.exp(old - new))
-            else:
-                alpha[j] = old + math.log1p(math.exp(new - old))
+        exp, log = math.exp, math.log
+        coming: list[list[float]] = [[] for _ in range(n + 1)]
+        coming[0].append(0.0)
+        alpha, at = [0.0] * (n + 1), -1
+        for i, j, _, weight in arcs:
+            # Arcs come by start, so all ways to a position are known before the first arc that leaves it.
+            while at < i:
+                at += 1
+                alpha[at] = Lattice._sum(coming[at], exp, log)
+            coming[j].append(alpha[i] + weight)
+        while at < n:
+            at += 1
+            alpha[at] = Lattice._sum(coming[at], exp, log)
         return alpha
 
+    @staticmethod
+    def _sum(logs: list[float], exp, log) -> float:
+        if len(logs) == 1:
+            return logs[0]
+        top = max(logs)
+        return top + log(sum([exp(x - top) for x in logs]))
+
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the sum over all segmentations, the end of the word included."""
         return self.forward(*self.arcs(word))[-1] + self.stop
@@ -103,7 +121,7 @@ class Lattice:
         """Add the expected uses of every piece in the word."""
         n, arcs = self.arcs(word)
         if n > self.SHORT:
-            self._expect_long(n, arcs, counts)
+            self._expect_logs(n, arcs, counts)
             return
         exp = math.exp
         chances = [exp(log) for _, _, _, log in arcs]
@@ -111,13 +129,16 @@ class Lattice:
         for (i, j, _, _), q in zip(arcs, chances, strict=True):
             alpha[j] += alpha[i] * q
         all_ = alpha[n]
+        if all_ < self.TINY:
+            self._expect_logs(n, arcs, counts)
+            return
         for (i, j, k, _), q in zip(reversed(arcs), reversed(chances), strict=True):
             share = q * beta[j]
             beta[i] += share
             if k >= 0:
                 counts[k] += alpha[i] * share / all_
 
-    def _expect_long(self, n: int, arcs: list, counts: list[float]) -> None:
+    def _expect_logs(self, n: int, arcs: list, counts: list[float]) -> None:
         alpha = self.forward(n, arcs)
         beta = [-math.inf] * n + [0.0]
         for i, j, k, log in reversed(arcs):
@@ -162,7 +183,7 @@ def score_texts(
     docs: DataFrame, train: Column, vocabulary_path: str, steps: int = 2, smoothing: float = 0.1, lot_bytes: int = 12 << 20,
     text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train`` says what is learnt from."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of every row; ``train`` says what is learnt from."""
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), text_or_empty(text).alias("text"))
     size, trained = named.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("train"), 1))).first()
@@ -186,12 +207,17 @@ def score_texts(
 
     weights = vocabulary(vocabulary_path)[1]
     logs, end = np.log(np.maximum(weights, 1e-300)) + math.log(0.7), math.log(0.3)
+    # Every step reads the distinct words again: as many tasks as words need, whatever their bytes.
+    parts = max(1, -(-distinct // WORDS_PER_TASK))
     known = counted.where("c > 0").select("word")
+    known = stored(known.repartition(parts, "word"), "known-words") if distinct else known
     for _ in range(steps if distinct else 0):
         logs, end = _fitted(known, vocabulary_path, logs, end, weights)
 
     new = max(1, distinct)
     total = n_words + new + 1
+    # A text ends after a word as often as training texts do, with one more of either kind.
+    go_on, stop_text = math.log((n_words - trained + 1) / (n_words + 2)), math.log10((trained + 1) / (n_words + 2))
 
     def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary_path, logs, end)
@@ -199,33 +225,34 @@ def score_texts(
             c = batch.column(1).to_numpy()
             sub = np.array([lattice.log_probability(w) for w in strings(batch.column(0))])
             with np.errstate(divide="ignore"):
-                score = np.logaddexp(np.log(c), math.log(new) + sub) - math.log(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score / math.log(10))], ["word", "c", "s"])
+                mixed = np.logaddexp(np.log(c), math.log(new) + sub) - math.log(total)
+            columns = [*batch.columns, pa.array((sub + go_on) / math.log(10)), pa.array(mixed / math.log(10))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "c", "s", "m"])
 
-    scored = counted.mapInArrow(word_scores, "word string, c long, s double")
+    scored = counted.repartition(max(1, -(-counted.count() // WORDS_PER_TASK)), "word").mapInArrow(word_scores, "word string, c long, s double, m double")
     returned = sent.select("word", "lot").join(scored, "word")
     missing = math.log10(smoothing / (n_words + smoothing * (distinct + 1)))
     end_base = math.log10((trained + smoothing) / (n_words + smoothing * (distinct + 1)))
-    end_score = math.log10((trained + 1) / total)
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    end_mixed = math.log10((trained + 1) / total)
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"]
 
     def finish(texts: pa.Table, words: pa.Table) -> pa.Table:
         coded, rows = cut_words(texts["text"].combine_chunks())
         at = pc.index_in(coded.dictionary.cast(pa.string()), value_set=words["word"].combine_chunks()).to_numpy(zero_copy_only=False)
         c = words["c"].to_numpy()[at.astype(np.int64)] if len(at) else np.zeros(0)
-        s = words["s"].to_numpy()[at.astype(np.int64)] if len(at) else np.zeros(0)
+        s, m = (words[x].to_numpy()[at.astype(np.int64)] if len(at) else np.zeros(0) for x in ("s", "m"))
         base = np.where(c > 0, np.log10((c + smoothing) / (n_words + smoothing * (distinct + 1))), missing)
         token, n = coded.indices.to_numpy(), len(texts)
-        sums = [np.bincount(rows, w, n) for w in (np.ones(len(rows)), (c > 0)[token], base[token], s[token])]
+        sums = [np.bincount(rows, w, n) for w in (np.ones(len(rows)), (c > 0)[token], base[token], s[token], m[token])]
         return pa.table(
             [
                 texts["id"], pc.invert(texts["train"]), pa.array((sums[0] + 1).astype(np.int64)),
                 pa.array((sums[1] + (1 if trained else 0)).astype(np.int64)), pa.array(np.full(n, n_words, np.int64)),
-                pa.array(sums[2] + end_base), pa.array(sums[3] + end_score),
+                pa.array(sums[2] + end_base), pa.array(sums[3] + stop_text), pa.array(sums[4] + end_mixed),
             ],
             names=names,
         )
 
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
     out = dealt.groupBy("lot").cogroup(returned.groupBy("lot")).applyInArrow(finish, schema)
     return out.withColumnRenamed("id", key)
