@@ -37,12 +37,16 @@ SEPARATORS = " .-_*"
 CLOSING = "!*(|+#"
 WORD = re.compile(r"[^\W\d_]+")
 ODD_CHARS = "".join(re.escape(c) for c in LOOKS)
-#: A run with a look-alike between or beside letters, a letter three times or more, or four letters and more spaced out.
+#: A run with a look-alike between or beside letters, a letter three times or more, or four letters and more spaced out. A run of
+#: letters and look-alikes is tried from its beginning alone, so that long lines of marks cost no more than their length.
 HIDDEN = re.compile(
-    rf"(?<!\w)(?=[\w{ODD_CHARS}]*[^\W\d_])(?:[\w{ODD_CHARS}]*[{ODD_CHARS}][\w{ODD_CHARS}]*|\w*([^\W\d_])\1\1\w*)"
+    rf"(?<![\w{ODD_CHARS}])(?=[\w{ODD_CHARS}]*[^\W\d_])(?:[\w{ODD_CHARS}]*[{ODD_CHARS}][\w{ODD_CHARS}]*|\w*([^\W\d_])\1\1\w*)"
     rf"|(?<!\w)[\w{ODD_CHARS}](?:([ .\-_*])[\w{ODD_CHARS}])(?:\2[\w{ODD_CHARS}])+(?!\w)"
 )
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: More than three of a character say no more than three.
+MORE = re.compile(r"(.)\1{3,}", re.DOTALL)
+MORE_SPACED = re.compile(rf"([^{re.escape(SEPARATORS)}][{re.escape(SEPARATORS)}])\1{{3,}}")
 #: Letters of the character model: none, a-z, and the Latin letters of one byte.
 LETTERS = [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)] if c != 0xF7]
 SYMBOLS = len(LETTERS) + 1
@@ -103,6 +107,7 @@ class Decoder:
 
     def restore(self, run: str) -> set[str]:
         """The words of a run."""
+        run = MORE_SPACED.sub(r"\1\1\1", MORE.sub(r"\1\1\1", run))
         if len(run) > KEPT:
             return self._words(run)
         if len(self.seen) > 50_000:
