@@ -127,16 +127,19 @@ def _tested(text: Column, spans: Column) -> Column:
 
 def symbol_skew(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """k * sum(q * q) - 1 per encoding, from the frequencies of its symbols in all documents."""
-    symbols = docs.select(F.explode(F.split(text_or_empty(text), "")).alias("c")).groupBy("c").count().where(F.col("c").rlike("^[A-Za-z0-9+/_-]$"))
-    plain = F.translate("c", "-_", "+/")
-    kinds = {"hex": F.lower("c").rlike("^[0-9a-f]$"), "base32": F.col("c").rlike("^[A-Z2-7]$"), "base64": F.lit(True)}
-    counts = symbols.groupBy(F.lower("c").alias("low"), plain.alias("c")).agg(
-        *[F.sum(F.when(cond, F.col("count"))).cast("double").alias(k) for k, cond in kinds.items()]
-    )
-    lowered = counts.groupBy("low").agg(F.sum("hex").alias("hex")).agg(F.sum(F.col("hex") * F.col("hex")).alias("s"), F.sum("hex").alias("t")).first()
-    rest = counts.agg(*[f(k) for k in ("base32", "base64") for f in (lambda k: F.sum(F.col(k) * F.col(k)), F.sum)]).first()
-    sums = {"hex": lowered, "base32": rest[:2], "base64": rest[2:]}
-    return {k: SIZES[k] * s / (t * t) - 1 if t else 0.0 for k, (s, t) in sums.items()}
+    # One row per symbol, of which there are 66 at most, from one pass over all characters.
+    found = docs.select(F.explode(F.split(text_or_empty(text), "")).alias("c")).groupBy("c").count().where(F.col("c").rlike("^[A-Za-z0-9+/_-]$")).collect()
+    skew = {}
+    for kind, order in ORDERS.items():
+        counts = dict.fromkeys(order, 0)
+        for r in found:
+            symbol = {"-": "+", "_": "/"}.get(r["c"], r["c"])
+            symbol = symbol.lower() if kind == "hex" else symbol
+            if symbol in counts:
+                counts[symbol] += r["count"]
+        total = sum(counts.values())
+        skew[kind] = SIZES[kind] * sum(n * n for n in counts.values()) / (total * total) - 1 if total else 0.0
+    return skew
 
 
 def _lower_tail(chi: Column, n: Column, k: Column, skew: Column) -> Column:
