@@ -28,7 +28,7 @@ def test_words_of_any_script_have_expectations(start):
             own.expect(word, sums)
         sums[-1] += 4e9  # a large corpus
         counts = np.array(sums) * 1e6
-        logs = np.log((counts[:-1] + weights) / (counts.sum() + 1))
+        logs = np.log(np.maximum((counts[:-1] + weights) / (counts.sum() + 1), 1e-300))
         end = math.log(counts[-1] / counts.sum())
     own = lattice.Lattice(PIECES, logs, end)
     before = 0.0
@@ -56,8 +56,10 @@ def test_scores_are_marginals_of_the_lattice(spark):
         want = sum(own.log_probability(w) + math.log((words + 1) / (words + ends + 2)) for w in ws) + math.log((ends + 1) / (words + ends + 2))
         assert got[k]["score"] == pytest.approx(want / math.log(10))
         assert math.isfinite(got[k]["mixed_score"]) and got[k]["mixed_score"] < 0
-    fitted = lattice.score_texts(df, F.col("doc_id") != 5, PIECES).agg(F.sum("score")).first()[0]
-    assert fitted > sum(r["score"] for r in got.values())  # expectation raises the likelihood of what it has seen
+    # Expectation raises the likelihood of the words it has seen.
+    seen = spark.createDataFrame([(1, "a stone of water")], "doc_id long, text string")
+    plain, fitted = (lattice.score_texts(seen, F.lit(True), PIECES, steps=n).first()["score"] for n in (0, 2))
+    assert fitted > plain
 
 
 @pytest.fixture(scope="module")
