@@ -5,8 +5,9 @@ in log space; that of a text is the product over its words and its end. The voca
 give the first weights of the pieces, which ``steps`` of expectation over the distinct training words then fit to the corpus. Any
 word of any script has a probability: characters without a piece are spelt by their bytes.
 
-``mixed_score`` weighs the lattice with counts: words seen in training have their relative frequency, and only the mass of unseen
-words (Witten-Bell: as many as there are distinct words) is spread by the lattice.
+``mixed_score`` is the same sum over a lattice with one more arc for every word seen in training: the whole word, with its relative
+frequency. Only the mass of unseen words (Witten-Bell: as many as there are distinct words) goes through the pieces. Pieces alone
+(``score``) are fitted to distinct words and don't know how often a word occurs, so held-out texts get far less from them.
 
 Work is shared by words, not tokens. Documents are dealt into lots of about ``lot_bytes`` by a hash of their content; a lot
 sends each distinct word once, words are counted and scored once each, and every lot gets its words back. The most frequent

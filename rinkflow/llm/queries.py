@@ -80,8 +80,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probability of every document, learnt from nine tenths of them."""
-    return score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
+    """Log-probability of every document, learnt from nine tenths of them.
+
+    ``score`` is that of the lattice with the training words as further arcs; ``lattice_score`` has the vocabulary's pieces alone.
+    """
+    scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumnsRenamed({"score": "lattice_score", "mixed_score": "score"})
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +183,8 @@ PREFIX_TREE_SQL = r"""
 WITH t AS (
   SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
 o AS (
-  SELECT c, length(r)::VARCHAR || ':' || r || x AS k, len(regexp_extract_all(x, '[^ 	-]+')) AS w,
+  SELECT c, length(r)::VARCHAR || ':' || r || x AS k, len(regexp_extract_all(x, '[^ 	-
+]+')) AS w,
     row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, substr(sha256(length(r)::VARCHAR || ':' || r || x), 1, 32)) AS i FROM t),
 h AS (
   SELECT c, c - c % 20 AS f, xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(y)::BIGINT FOR y IN string_split(c::VARCHAR, '')]),
