@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,18 @@ def safe_ratio(a: Column, b: Column, compat: str = "fixed") -> Column:
     return ratio
 
 
+def exact_sum(*terms: Column) -> Column:
+    """The sum of all terms of all rows, which the order of rows doesn't change, so that equal groups have equal sums.
+
+    Doubles are added as whole numbers of 2 ** -56, which is exact for those of 1/16 and more, and become a double once. Where a value
+    is none (128 and more, infinite, NaN), the group is added as doubles.
+    """
+    units = [F.rint(c * F.lit(2.0**56)).try_cast("bigint").cast("decimal(20,0)") for c in terms]
+    whole = reduce(and_, [F.count(c) == F.count(u) for c, u in zip(terms, units, strict=True)])
+    exact = reduce(add, [F.sum(u) for u in units]).cast("double") / F.lit(2.0**56)
+    return F.when(whole, exact).otherwise(reduce(add, [F.sum(c).cast("double") for c in terms]))
+
+
 def round_to(c: Column, n: int) -> Column:
     return F.round(c, n)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rinkflow.functions.details import defending_team
 from rinkflow.functions.geometry import movement_demand
-from rinkflow.functions.numeric import safe_ratio
+from rinkflow.functions.numeric import exact_sum, safe_ratio
 from rinkflow.operators.sequences import neighbours
 from rinkflow.operators.sizing import join_dim, one_row, settle
 from rinkflow.schemas import ON_GOAL_TYPES
@@ -22,7 +22,7 @@ def gsax_aggs(y: str = "is_goal", p: str = "xg_prob") -> list[Column]:
     return [
         F.count(F.lit(1)).alias("shots"),
         F.sum(y).cast("bigint").alias("goals"),
-        (F.sum(p) - F.sum(y)).alias("gsax"),
+        exact_sum(F.col(p), -F.col(y)).alias("gsax"),
     ]
 
 
