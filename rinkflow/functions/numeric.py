@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from functools import reduce
 from operator import add, and_
 
@@ -81,4 +83,15 @@ def fmt_pct(share: Column, compat: str = "fixed") -> Column:
 
 
 def fmt_signed(c: Column, n: int = 4) -> Column:
-    return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string(f"%.{n}f", c))
+    """Signed text of ``n`` places, rounded by the exact value of the double, as printf does.
+
+    ``format_string`` would round the shortest decimal that reads back as the double: 0.00135, which is a little more, and 0.00145,
+    which is a little less, both upwards.
+    """
+    digits = "0." + "0" * n if n else "0"
+    # format_number takes halves of the last place for exact where nothing stands before them.
+    half = Fraction(1, 2 * 10**n)
+    least = float(half) if Fraction(float(half)) > half else math.nextafter(float(half), 1)
+    near = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), F.when(F.abs(c) >= least, F.lit(f"{10.0**-n:.{n}f}")).otherwise(F.lit(digits)))
+    text = F.when(F.abs(c) < 10.0**-n, near).otherwise(F.call_function("format_number", c, F.lit(digits)))
+    return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), F.when(F.abs(c) < float("inf"), text).otherwise(F.format_string(f"%.{n}f", c)))
