@@ -9,8 +9,9 @@ the variances. ``sd_alone`` is the deviation as if all others were known.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from rinkflow.plans.metrics import goalie_game_obs, semi_min_rows, zscore
 
 # Team-seasons and seasons up to which the system of all effects but the goalies' is inverted.
 MOST_LEVELS = 1000
+# Goalies eliminated at a time: a matrix of so many rows and a column for every level.
+GOALIES = 500
 # Keys of the three effects.
 FACTORS = {"g": ("goalie_id",), "t": ("team_id", "season"), "s": ("season",)}
 
@@ -164,7 +167,7 @@ def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[st
     """The effect tables with ``sd`` from the inverse of the precision of all effects and coefficients together.
 
     Goalies meet each other only through team-seasons, seasons and the three coefficients. So their rows of the system are
-    eliminated where they lie, a goalie at a time, and partitions add up what is left: one row and column for each level of the
+    eliminated where they lie, some goalies at a time, and partitions add up what is left: one row and column for each level of the
     other two factors, which a league has few of (``MOST_LEVELS`` at most; beyond that the deviations stay those of known others).
     With the inverse of that, a goalie's variance follows from its own cells.
     """
@@ -176,30 +179,34 @@ def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[st
     if len(places) > MOST_LEVELS:
         return alone
     size, noise, prior = len(places) + 3, p["sigma2"], 1 / p["g"]
-    own = cells.groupBy("goalie_id").agg(
-        F.collect_list(F.struct("team_id", "season", "w", "wt", "ws", "wtt", "wts", "wss")).alias("cells")  # no more than team-seasons
-    )
-
-    def weights(row: list[dict]) -> tuple[np.ndarray, float]:
-        """What ties a goalie to every other row of the system, and its own precision."""
-        out = np.zeros(size)
-        for c in row:
-            out[[places["t", c["team_id"], c["season"]], places["s", c["season"]], size - 3]] += c["w"] / noise
-            out[size - 2 :] += c["wt"] / noise, c["ws"] / noise
-        return out, sum(c["w"] for c in row) / noise + prior
+    # Rows of cells, a goalie's together: a task holds one Arrow batch and the cells of its last goalie, no more than team-seasons.
+    kind, sums_of = dict(cells.dtypes)["goalie_id"], ("w", "wt", "ws", "wtt", "wts", "wss")
+    own = cells.select("goalie_id", "team_id", "season", *sums_of).repartition("goalie_id").sortWithinPartitions("goalie_id")
+
+    def systems(batches):
+        """For some goalies at a time: their keys, the places and sums of their cells, what ties them to every other row of the system
+        (a matrix), and their own precisions."""
+        for table, goalie in _by_goalie(batches):
+            x = {c: table[c].to_numpy() for c in sums_of}
+            teams, seasons = table["team_id"].to_pylist(), table["season"].to_pylist()
+            t = np.array([places["t", k, s] for k, s in zip(teams, seasons, strict=True)])
+            u = np.array([places["s", s] for s in seasons])
+            tie, precision = np.zeros((goalie[-1] + 1, size)), np.bincount(goalie, x["w"]) / noise + prior
+            for at, c in ((t, "w"), (u, "w"), (size - 3, "w"), (size - 2, "wt"), (size - 1, "ws")):
+                np.add.at(tie, (goalie, at), x[c] / noise)
+            first = np.flatnonzero(np.diff(goalie, prepend=-1))
+            yield table["goalie_id"].combine_chunks().take(pa.array(first)), t, u, x, tie, precision
 
     def eliminate(batches):
         total = np.zeros((size, size))
-        for batch in batches:
-            for row in batch.column(1).to_pylist():
-                for c in row:
-                    at = [places["t", c["team_id"], c["season"]], places["s", c["season"]], size - 3, size - 2, size - 1]
-                    one = np.array([c["w"], c["w"], c["w"], c["wt"], c["ws"]])
-                    block = np.vstack([one, one, one, [c["wt"]] * 3 + [c["wtt"], c["wts"]], [c["ws"]] * 3 + [c["wts"], c["wss"]]])
-                    total[np.ix_(at, at)] += block / noise
-                tie, precision = weights(row)
-                near = np.flatnonzero(tie)
-                total[np.ix_(near, near)] -= np.outer(tie[near], tie[near]) / precision
+        for _, t, u, x, tie, precision in systems(batches):
+            at = [t, u, *(np.full(len(t), size - 3 + k) for k in range(3))]
+            for i, j in ((i, j) for i in range(5) for j in range(5)):
+                low, high = min(i, j), max(i, j)
+                # The first three rows are indicators, the last two the covariates.
+                c = "w" if high < 3 else ("wt", "ws")[high - 3] if low < 3 else {(3, 3): "wtt", (3, 4): "wts", (4, 4): "wss"}[low, high]
+                np.add.at(total, (at[i], at[j]), x[c] / noise)
+            total -= (tie / precision[:, None]).T @ tie
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "v"])
 
@@ -210,14 +217,10 @@ def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[st
     inverse = np.linalg.inv(system)
 
     def spread(batches):
-        for batch in batches:
-            found = []
-            for row in batch.column(1).to_pylist():
-                tie, precision = weights(row)
-                found.append(math.sqrt(1 / precision + tie @ inverse @ tie / precision**2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["goalie_id", "__sd"])
-
-    kind = dict(cells.dtypes)["goalie_id"]
+        for keys, _, _, _, tie, precision in systems(batches):
+            found = np.sqrt(1 / precision + ((tie @ inverse) * tie).sum(axis=1) / precision**2)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(found)], ["goalie_id", "__sd"])
+
     out = {"g": join_dim(alone["g"], settle(own.mapInArrow(spread, f"goalie_id {kind}, __sd double")), ["goalie_id"])}
     for f in ("t", "s"):
         rows = [(*key, float(math.sqrt(inverse[i, i]))) for (g, *key), i in places.items() if g == f]
@@ -226,6 +229,27 @@ def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[st
     return {f: t.withColumn("sd", F.col("__sd")).drop("__sd") for f, t in out.items()}
 
 
+def _by_goalie(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole goalies of sorted cells, at most ``GOALIES`` and about a batch at a time, with the number of each cell's goalie from 0 on."""
+    kept: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        rows = [t for t in (kept, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+        if not rows:
+            return
+        table = pa.concat_tables(rows).combine_chunks()
+        if not table.num_rows:
+            kept = table
+            continue
+        code = table["goalie_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        number = np.cumsum(np.diff(code, prepend=code[0]) != 0)
+        # The last goalie may go on in the next batch.
+        end = len(number) if batch is None else int(np.searchsorted(number, number[-1]))
+        for lowest in range(0, int(number[end - 1]) + 1 if end else 0, GOALIES):
+            at, to = np.searchsorted(number[:end], [lowest, lowest + GOALIES])
+            yield table.slice(at, to - at).combine_chunks(), number[at:to] - lowest
+        kept = table.slice(end)
+
+
 def _parameters(cells: DataFrame, tables: dict[str, Settled], p: dict[str, float]) -> dict[str, float]:
     """Coefficients and variances from sums over the cells and over each effect table."""
     e = F.col("g") + F.col("t") + F.col("s")

@@ -39,3 +39,19 @@ def test_signed_texts_round_by_the_exact_value(spark, n):
     df = spark.createDataFrame([(v,) for v in values], "p double")
     got = {r["p"]: r["t"] for r in df.select("p", numeric.fmt_signed(F.col("p"), n).alias("t")).collect()}
     assert got == {v: f"{v:+.{n}f}" for v in values}
+
+
+def test_goalies_are_eliminated_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from rinkflow.plans import effects
+
+    monkeypatch.setattr(effects, "GOALIES", 4)
+    ids = [None, None, *[g for g in range(30) for _ in range(1 + g * 7 % 13)]]
+    batches = [pa.RecordBatch.from_pydict({"goalie_id": pa.array(ids[i : i + 5], pa.int64()), "w": list(range(i, min(i + 5, len(ids))))}) for i in range(0, len(ids), 5)]
+    pieces = list(effects._by_goalie(iter(batches)))
+    assert [v for t, _ in pieces for v in t["w"].to_pylist()] == list(range(len(ids)))
+    whole = [set(t["goalie_id"].to_pylist()) for t, _ in pieces]
+    assert sum(map(len, whole)) == 31 and max(map(len, whole)) <= 4 and max(t.num_rows for t, _ in pieces) < 20
+    assert all(n[0] == 0 and len(set(n)) == len(w) == n[-1] + 1 for (_, n), w in zip(pieces, whole, strict=True))
+    assert list(effects._by_goalie(iter([]))) == []
