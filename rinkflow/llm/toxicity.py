@@ -279,13 +279,19 @@ def toxic_scores(
     bad, good = rest.get(True, 0) * bad_weight, rest.get(False, 0) * good_weight
     rate = (bad + 0.5) / (bad + good + 1)
 
+    # A text that is carried is sent once: it is scored from the carried column, where null counts as empty.
+    again = text in carry and docs.schema[text].dataType.simpleString() == "string"
+    place = carry.index(text) if again else len(carry)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model, known=lexicon_.words)
-        for batch in by_bytes(batches, "text"):
-            values = [1 - (1 - rate) * (1 - lexicon_.evidence(words_of(t, decoder))) for t in strings(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], ("score", pa.float64())]))
+        for batch in by_bytes(batches, batch_name):
+            values = [1 - (1 - rate) * (1 - lexicon_.evidence(words_of(t or "", decoder))) for t in strings(batch.column(place))]
+            fields = list(batch.schema)[: len(carry)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(values, pa.float64())], schema=pa.schema([*fields, ("score", pa.float64())]))
 
     names = [f"__{i}" for i in range(len(carry))]
-    narrow = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], text_or_empty(text).alias("text"))
+    batch_name = names[place] if again else "text"
+    narrow = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], *([] if again else [text_or_empty(text).alias("text")]))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
     return narrow.mapInArrow(score, f"{schema}, score double").select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "score")

@@ -55,3 +55,18 @@ def test_goalies_are_eliminated_in_bounded_pieces(monkeypatch):
     assert sum(map(len, whole)) == 31 and max(map(len, whole)) <= 4 and max(t.num_rows for t, _ in pieces) < 20
     assert all(n[0] == 0 and len(set(n)) == len(w) == n[-1] + 1 for (_, n), w in zip(pieces, whole, strict=True))
     assert list(effects._by_goalie(iter([]))) == []
+
+
+def test_a_carried_text_is_sent_to_python_once(spark):
+    from rinkflow.llm.toxicity import toxic_scores
+
+    rows = [(i, "stone river " + ("grunkle" if i % 5 == 0 else "light") if i % 7 else None, "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(120)], "doc_id long, toxic int")
+    wide = toxic_scores(docs, labels, F.lit(True), carry=("doc_id", "text", "lang"))
+    scorer = wide._jdf.queryExecution().analyzed().children().head()
+    assert scorer.nodeName() == "MapInArrow" and scorer.children().head().output().size() == 3
+    plain = {r["doc_id"]: r["score"] for r in toxic_scores(docs, labels, F.lit(True)).collect()}
+    got = {r["doc_id"]: r for r in wide.collect()}
+    assert {i: r["score"] for i, r in got.items()} == plain
+    assert all(got[i]["text"] == t and got[i]["lang"] == lang for i, t, lang in rows)
