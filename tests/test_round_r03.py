@@ -70,3 +70,27 @@ def test_a_carried_text_is_sent_to_python_once(spark):
     got = {r["doc_id"]: r for r in wide.collect()}
     assert {i: r["score"] for i, r in got.items()} == plain
     assert all(got[i]["text"] == t and got[i]["lang"] == lang for i, t, lang in rows)
+
+
+def test_importance_scores_all_columns_in_one_pass(spark, monkeypatch):
+    from rinkflow.plans import models
+
+    rows = [(i, float(i % 17) - 8, float(i % 5), int(i % 17 + i % 3 > 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, shot_distance double, shot_angle double, is_goal int")
+    fill = {c: F.lit("x" if c in models.CATEGORY_FEATURES else 0.0) for c in models.MODEL_FEATURES if c not in df.columns}
+    passes = []
+
+    def score(model, df, new="xg_prob"):
+        passes.append(df)
+        return df.withColumn(new, 1 / (1 + F.exp(-F.col("shot_distance"))))
+
+    monkeypatch.setattr(models, "score", score)
+    found = models.permutation_importance(df.withColumns(fill), None, ["shot_angle", "shot_distance", "shot_type"], seed=3).collect()
+    assert len(passes) == 1
+    order = [r[0] for r in df.orderBy(F.xxhash64(F.lit(4), "event_id").cast("double"), "event_id").select("event_id").collect()]
+
+    def loss(values):
+        return sum(-math.log(1 / (1 + math.exp(-x if r[3] else x))) for x, r in zip(values, rows, strict=True)) / len(rows)
+
+    rise = loss([rows[i][1] for i in order]) - loss([r[1] for r in rows])
+    assert [(r[0], r[1]) for r in found] == [("shot_distance", pytest.approx(rise, abs=1e-9)), ("shot_angle", 0.0), ("shot_type", 0.0)]
