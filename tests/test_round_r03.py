@@ -94,3 +94,23 @@ def test_importance_scores_all_columns_in_one_pass(spark, monkeypatch):
 
     rise = loss([rows[i][1] for i in order]) - loss([r[1] for r in rows])
     assert [(r[0], r[1]) for r in found] == [("shot_distance", pytest.approx(rise, abs=1e-9)), ("shot_angle", 0.0), ("shot_type", 0.0)]
+
+
+@pytest.mark.parametrize("query", ["calibrate_isotonic", "isotonic_totals"])
+def test_out_of_fold_scores_are_computed_once(spark, monkeypatch, query):
+    from rinkflow.registry import models
+
+    scored = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            scored.add(len(frame))
+            yield frame
+
+    schema = "event_id long, season long, is_goal int, oof_prob double"
+    rows = spark.createDataFrame([(i, 1, int(i % 3 == 0), (i % 40) / 50 + 0.01) for i in range(400)], schema)
+    monkeypatch.setattr(models, "_stored_features", lambda spark, path: rows)
+    monkeypatch.setattr(models.L, "oof_predictions", lambda df: df.mapInPandas(count, schema))
+    out = getattr(models, query)(spark, "/no/such/folder").collect()
+    assert scored.value == 400
+    assert len(out) == 400 if query == "calibrate_isotonic" else (out[0]["n"], out[0]["agrees"], out[0]["inversions"]) == (400, True, 0)
