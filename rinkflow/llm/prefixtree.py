@@ -7,13 +7,14 @@ of each, so only sets that meet in such a shingle are compared. For the comparis
 overlaps of its prefix with each of them, which all sets below it share, and a subtree is left as soon as what remains of its
 longest set cannot reach the overlap that its smallest one needs.
 
-Equal sets are one from the start, and components need few of the links. Every shingle's group has a leader, its smallest set. Sets
-that share a good part of their beginnings with a leader are connected, not compared: these are families. A family is cut into
-blocks by bytes, and every pair of blocks is a task that gets its sets once, and the set that leads most of the family. The task
-compares all sets with this one first; only sets that are not joined with it by then are compared with the others. It returns a
-spanning forest of what it joins, never pairs. Last, sets of different families that meet in enough shingles and pass the bounds on
-sizes and positions (a longer prefix filter) are compared, a set with a block of its partners. So every pair of sets of different components that meets often
-enough is compared in one of the two ways, and no link between components is left out.
+Equal sets are one from the start, and components need few of the links. Every shingle's group has a leader, in large groups the
+set that meets most others. Sets that share a good part of their beginnings with a leader are connected, not compared: these are
+families. A family is cut into blocks by bytes, and every pair of blocks is a task that gets its sets once, and the set that
+leads most of the family. The task compares all sets with this one first; only sets that are not joined with it by then are
+compared with the others. It returns a spanning forest of what it joins, never pairs. Last, sets of different families that meet
+in enough shingles and pass the bounds on sizes and positions (a longer prefix filter) are compared, a set with a block of its
+partners. So every pair of sets of different components that meets often enough is compared in one of the two ways, and no link
+between components is left out.
 
 ``frequent`` (at most so many entries, from counts over all documents) only changes the order, never the result. Null texts and
 texts without words have the empty set and are components of their own; rows with a null id link with nothing and have no
@@ -40,6 +41,8 @@ OFTEN = 2
 EARLY = np.uint64(1 << 62)
 #: Most tasks of a set that lie in one row.
 PARCEL = 1000
+#: Groups of a shingle with so many rows are led by a set that meets many others.
+BUSY = 8
 
 
 class Order:
@@ -279,6 +282,19 @@ def _likely(pairs: DataFrame, share: tuple[int, int], at1: str, at2: str) -> Dat
     return met.where(F.col("met") >= _needed(share, F.col("n1"), F.col("n2"))[1])
 
 
+def led_by_central(meets: DataFrame, busy: int = BUSY) -> DataFrame:
+    """(h, s, at, lead, lead_at) of ``meets``: groups of at least ``busy`` rows are led by their set that meets most rows in such groups.
+
+    Among near copies this is one that most of their groups have, so that it leads them together. The smallest set, say, has lost more
+    of what they share than the others, so that each of its groups would have a leader of its own.
+    """
+    large = meets.where(F.col("k") >= busy)
+    weights = large.groupBy("s").agg(F.sum("k").alias("w"))
+    central = large.join(weights, "s").groupBy("h").agg(F.max(F.struct("w", "s", "at")).alias("c")).select("h", F.col("c.s").alias("lead"), F.col("c.at").alias("lead_at"))
+    columns = ["h", "s", "at", "lead", "lead_at"]
+    return meets.where(F.col("k") < busy).select(*columns).unionByName(large.drop("lead", "lead_at").join(central, "h").select(*columns))
+
+
 def sent_sets(docs: DataFrame, reps: DataFrame, tasks: DataFrame, order: Order, small: int) -> DataFrame:
     """(x, y, side, s, set): the set of every task (s, x, y, side), from the document that stands for it.
 
@@ -385,13 +401,13 @@ def similar_texts(
     sets = stored(text_sets(rows, order), "texts")
     reps = sets.where("n > 0 and id is not null").groupBy("s").agg(F.min("id").alias("id"))
     spread = prefixes(rows, order, share).repartition("h")
-    groups = spread.groupBy("h").agg(F.min(F.struct("at", "s")).alias("lead"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
-    meets = spread.join(groups.select("h", "lead"), "h").select("h", "s", "at", F.col("lead.s").alias("lead"), F.col("lead.at").alias("lead_at"))
+    groups = spread.groupBy("h").agg(F.max(F.struct("s", "at")).alias("lead"), F.min("s").alias("lo"), F.count(F.lit(1)).alias("k")).where("lo <> lead.s")
+    meets = spread.join(groups.drop("lo"), "h").select("h", "s", "at", F.col("lead.s").alias("lead"), F.col("lead.at").alias("lead_at"), "k")
     meets = stored(meets, "meets")
 
     # First, the families: sets and leaders that share a quarter of the shorter beginning.
     n1, n2 = _size_and_place("lead_at")[0], _size_and_place("at")[0]
-    star = meets.where("lead <> s").groupBy("lead", "s").agg(F.count(F.lit(1)).alias("met"), F.min(n1).alias("n1"), F.min(n2).alias("n2"))
+    star = led_by_central(meets).where("lead <> s").groupBy("lead", "s").agg(F.count(F.lit(1)).alias("met"), F.min(n1).alias("n1"), F.min(n2).alias("n2"))
     beginning = F.least(*[F.col(n) - F.ceil(F.col(n) * share[0] / share[1]) + 1 for n in ("n1", "n2")])
     star = stored(star.where(F.col("met") * 4 >= beginning).select(F.col("lead").alias("a"), F.col("s").alias("b"), "n1", "n2"), "star")
     family = stored(components(star), "families").select(F.col("node").alias("s"), F.col("component").alias("f"))

@@ -114,3 +114,38 @@ def test_out_of_fold_scores_are_computed_once(spark, monkeypatch, query):
     out = getattr(models, query)(spark, "/no/such/folder").collect()
     assert scored.value == 400
     assert len(out) == 400 if query == "calibrate_isotonic" else (out[0]["n"], out[0]["agrees"], out[0]["inversions"]) == (400, True, 0)
+
+
+def test_near_copies_of_which_the_smallest_lost_most_form_one_family(spark, monkeypatch):
+    """The smallest sets of a group lead little of it: led by them, most pairs of the group were compared one by one."""
+    import random
+
+    from rinkflow.llm import prefixtree
+
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(400)], []
+    for i in range(90):
+        lost = set(rng.sample(range(400), 4 + i % 23))
+        rows.append((i, " ".join(w for k, w in enumerate(words) if k not in lost)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    reach = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(90):
+        for a, b in links:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    sizes = {}
+    keep = prefixtree.stored
+    monkeypatch.setattr(prefixtree, "stored", lambda d, name: sizes.update({name: (out := keep(d, name)).count()}) or out)
+    got = {r["doc_id"]: r["component_id"] for r in prefixtree.similar_texts(df).collect()}
+    assert got == reach and len(set(reach.values())) > 3
+    assert sizes["families"] == 90 and sizes["more"] == 0
+
+
+def test_large_groups_are_led_by_a_set_that_meets_many(spark):
+    from rinkflow.llm import prefixtree
+
+    rows = [(h, s, (100 + s) << 32, 9, 9, 4) for h in range(6) for s in ([h, 7, 8, 9] if h < 5 else [1, 2, 3, 9])] + [(9, s, s << 32, 5, 5, 2) for s in (4, 5)]
+    meets = spark.createDataFrame(rows, "h long, s long, at long, lead long, lead_at long, k long")
+    got = {(r["h"], r["s"]): (r["lead"], r["lead_at"]) for r in prefixtree.led_by_central(meets, 4).collect()}
+    assert got == {(h, s): (9, 109 << 32) if k == 4 else (5, 5) for h, s, _, _, _, k in rows}
