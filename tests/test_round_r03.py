@@ -149,3 +149,58 @@ def test_large_groups_are_led_by_a_set_that_meets_many(spark):
     meets = spark.createDataFrame(rows, "h long, s long, at long, lead long, lead_at long, k long")
     got = {(r["h"], r["s"]): (r["lead"], r["lead_at"]) for r in prefixtree.led_by_central(meets, 4).collect()}
     assert got == {(h, s): (9, 109 << 32) if k == 4 else (5, 5) for h, s, _, _, _, k in rows}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2500])
+def test_rows_of_a_key_lie_in_few_elements_of_its_state(rows):
+    import pandas as pd
+
+    from rinkflow.streaming import online
+
+    class State:
+        def __init__(self):
+            self.elements, self.puts = [], 0
+
+        def get(self):
+            return iter(self.elements)
+
+        def appendList(self, more):  # noqa: N802
+            self.elements += more
+
+        def put(self, new):
+            self.elements, self.puts = list(new), self.puts + 1
+
+        def clear(self):
+            self.elements = []
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return self.states.setdefault(name, State())
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Watermark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    context, handle = online._Context([1], [(-10, -1)], 1000), Handle()
+    context.init(handle)
+    frame = pd.DataFrame({"ms": range(rows), "place": range(rows), "tie": "t", "axis": [None if i % 7 == 3 else i for i in range(rows)], "flags": 1, "text": [f'"{i}"' for i in range(rows)]})
+    assert list(context.handleInputRows((1,), iter([frame.add_prefix("row_")]), None)) == []
+    waiting, kept = handle.states["waiting"], handle.states["kept"]
+    assert len(waiting.elements) == -(-rows // 1000)
+    if rows:
+        some = list(context.handleExpiredTimer((1,), Watermark(rows // 2), None))[0]
+        rest = list(context.handleExpiredTimer((1,), Watermark(rows + 5000), None))
+        found = pd.concat([some, *rest])
+        assert found["__text"].tolist() == frame["text"].tolist() and found["__lag1"].tolist() == [None, *frame["text"]][:-1]
+        known = frame["axis"].tolist()
+        assert found["__n0"].tolist() == [0 if v != v or v is None else sum(w == w and w is not None for w in known[max(0, i - 10) : i]) for i, v in enumerate(known)]
+        assert not waiting.elements and not kept.elements and kept.puts == 1
