@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkflow.llm.batches import stored, table
+from rinkflow.llm.batches import chosen_rows, stored, table
 from rinkflow.llm.mixing import mix_sources
 from rinkflow.llm.packing import pack
 from rinkflow.llm.prefixtree import similar_texts
@@ -56,8 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     classes = similar_texts(numbered, key="__row").select("__row", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    chosen = numbered.select("__row", "doc_id").join(classes, "__row").groupBy("component_id").agg(F.min(order).alias("m")).select("m.__row")
-    return numbered.join(chosen, "__row", "left_semi").select(*docs.columns)
+    chosen = numbered.select("__row", "doc_id").join(classes, "__row").groupBy("component_id").agg(F.min(order).alias("m")).select("m.__row", F.lit(1).alias("times"))
+    return chosen_rows(numbered, chosen, "__row").select(*docs.columns)
 
 
 @_guarded
@@ -74,8 +74,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A number for each row, so that rows that repeat an id are decided one by one.
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     taken = mix_sources(numbered, key="__row").where("times > 0").select("__row", "times")
-    rows = numbered.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return rows.select(*docs.columns)
+    return chosen_rows(numbered, taken, "__row").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

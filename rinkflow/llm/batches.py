@@ -28,6 +28,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def chosen_rows(numbered: DataFrame, chosen: DataFrame, number: str, small: int = 1_000_000) -> DataFrame:
+    """The rows of ``numbered`` as often as ``chosen`` (number, times) says; numbers that it does not hold are left out.
+
+    The numbers travel as bits, 64 to a row, and texts stay where they are. Beyond ``small`` rows of bits both sides are shuffled.
+    """
+    copies = chosen.select(F.col(number).alias("__number"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy"))
+    place = F.col("__number").bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    words = copies.groupBy(F.shiftright("__number", 6).alias("__word"), "__copy").agg(F.bit_or(bit).alias("__bits"))
+    words = stored(words, "chosen")
+    rows = numbered.withColumns({"__number": F.col(number), "__word": F.shiftright(number, 6)})
+    found = rows.join(F.broadcast(words) if words.count() <= small else words, "__word").where(F.getbit("__bits", place) == 1)
+    return found.select(*numbered.columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -64,14 +64,13 @@ class Counts:
         self.values, self.n, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int64), most
 
     def add(self, values: np.ndarray) -> None:
-        both = np.concatenate([self.values, values])
-        weights = np.concatenate([self.n, np.ones(len(values), np.int64)])
-        order = np.argsort(both, kind="stable")
-        both, weights = both[order], weights[order]
-        if not len(both):
-            return
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        self.values, self.n = both[first], np.add.reduceat(weights, first)
+        fresh, times = np.unique(values, return_counts=True)
+        at = np.searchsorted(self.values, fresh)
+        known = np.zeros(len(fresh), bool)
+        inside = at < len(self.values)
+        known[inside] = self.values[at[inside]] == fresh[inside]
+        self.n[at[known]] += times[known]
+        self.values, self.n = np.insert(self.values, at[~known], fresh[~known]), np.insert(self.n, at[~known], times[~known])
         floor = 2
         while len(self.values) > self.most:
             kept = self.n >= floor

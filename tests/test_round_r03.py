@@ -204,3 +204,51 @@ def test_rows_of_a_key_lie_in_few_elements_of_its_state(rows):
         known = frame["axis"].tolist()
         assert found["__n0"].tolist() == [0 if v != v or v is None else sum(w == w and w is not None for w in known[max(0, i - 10) : i]) for i, v in enumerate(known)]
         assert not waiting.elements and not kept.elements and kept.puts == 1
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_rows_are_chosen_by_bits(spark, small):
+    from rinkflow.llm.batches import chosen_rows
+
+    numbered = spark.range(0, 600, 1, 3).select(F.monotonically_increasing_id().alias("k"), F.concat(F.lit("t"), "id").alias("text")).persist()
+    numbers = [r["k"] for r in numbered.orderBy("k").collect()]
+    times = {k: i % 3 for i, k in enumerate(numbers) if i % 5 and i not in range(128, 200)}
+    chosen = spark.createDataFrame([(k, n) for k, n in times.items() if n], "k long, times int").repartition(5)
+    got = sorted(r["k"] for r in chosen_rows(numbered, chosen, "k", small).collect())
+    assert got == sorted(k for k, n in times.items() for _ in range(n))
+    assert chosen_rows(numbered, chosen.limit(0), "k", small).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["ngram_jaccard_join", "mixing"])
+def test_stages_do_not_shuffle_texts(spark, tmp_path, stage):
+    import corpus_pipeline as P
+
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 7 + k).cast("string")) for k in range(9)])
+    docs = spark.range(0, 200, 1, 4).select((F.col("id") % 190).alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dict(P.STAGES)[stage](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert out.count() >= 200
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_counts_of_a_partition():
+    import numpy as np
+
+    from rinkflow.llm.prefixtree import Counts
+
+    rng = np.random.default_rng(5)
+    counts, every = Counts(most=300), Counts()
+    values = [rng.integers(0, 200, n).astype(np.uint64) for n in (0, 1, 500, 90)]
+    for v in values:
+        counts.add(v)
+        every.add(v)
+    found, n = np.unique(np.concatenate(values), return_counts=True)
+    assert (counts.values == found).all() and (counts.n == n).all() and (every.n == n).all()
+    counts.add(np.arange(1000, 1400, dtype=np.uint64))
+    assert len(counts.values) <= 300 and (counts.values == found[n >= 2]).all()
