@@ -9,25 +9,31 @@ the variances. ``sd_alone`` is the deviation as if all others were known.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkflow.functions.numeric import Z_95, interval
-from rinkflow.operators.sizing import Settled, join_dim, one_row, settle
+from rinkflow.operators.sizing import Settled, join_dim, null_safe_join, one_row, settle
 from rinkflow.plans.metrics import goalie_game_obs, semi_min_rows, zscore
+from rinkflow.session import cut_lineage, drop_version, fresh_path, scratch
 
-# Team-seasons and seasons up to which the system of all effects but the goalies' is inverted.
-MOST_LEVELS = 1000
+# Team-seasons and seasons beyond which a caller wants no marginal deviations. None, which every query has: there is no such number.
+MOST_LEVELS: int | None = None
+# Team-seasons and seasons up to which their system is one matrix; a larger one lies in blocks of so many rows and columns.
+BLOCK = 1000
 # Goalies eliminated at a time: a matrix of so many rows and a column for every level.
 GOALIES = 500
 # Keys of the three effects.
 FACTORS = {"g": ("goalie_id",), "t": ("team_id", "season"), "s": ("season",)}
+# Sums of a cell that the precision of the effects needs.
+SUMS = ("w", "wt", "ws", "wtt", "wts", "wss")
 
 
 def shrinkage_one_way(df: DataFrame, key: Sequence[str], value: Column, weight: Column, ridge: float) -> DataFrame:
@@ -167,27 +173,39 @@ def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[st
     """The effect tables with ``sd`` from the inverse of the precision of all effects and coefficients together.
 
     Goalies meet each other only through team-seasons, seasons and the three coefficients. So their rows of the system are
-    eliminated where they lie, some goalies at a time, and partitions add up what is left: one row and column for each level of the
-    other two factors, which a league has few of (``MOST_LEVELS`` at most; beyond that the deviations stay those of known others).
-    With the inverse of that, a goalie's variance follows from its own cells.
+    eliminated where they lie, some goalies at a time, and what is left has one row and column for each level of the other two
+    factors. With the inverse of that, a goalie's variance follows from its own cells. Up to ``BLOCK`` levels, which a league has,
+    it is one matrix; more lie in blocks that are multiplied and inverted by tasks (the work grows with the cube of the levels).
+    The driver holds the keys of the levels, never their matrix beyond one block.
     """
     alone = {f: t.df.drop("__w").withColumn("sd_alone", F.col("sd")) for f, t in tables.items()}
     places: dict[tuple, int] = {}
     for f in ("t", "s"):
-        keys = tables[f].df.select(*FACTORS[f]).limit(MOST_LEVELS + 1).collect()
+        keys = tables[f].df.select(*FACTORS[f]).collect()
         places |= {(f, *r): len(places) + i for i, r in enumerate(keys)}
-    if len(places) > MOST_LEVELS:
+    if MOST_LEVELS is not None and len(places) > MOST_LEVELS:
         return alone
+    own = cells.select("goalie_id", "team_id", "season", *SUMS)
+    goalies, variances = (_deviations_of_few if len(places) <= BLOCK else _deviations_of_many)(own, places, p)
+    out = {"g": join_dim(alone["g"], settle(goalies), ["goalie_id"])}
+    for f in ("t", "s"):
+        rows = [(*key, float(math.sqrt(variances[i]))) for (g, *key), i in places.items() if g == f]
+        kinds = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in FACTORS[f])
+        out[f] = join_dim(alone[f], settle(cells.sparkSession.createDataFrame(rows, f"{kinds}, __sd double")), FACTORS[f])
+    return {f: t.withColumn("sd", F.col("__sd")).drop("__sd") for f, t in out.items()}
+
+
+def _deviations_of_few(cells: DataFrame, places: dict[tuple, int], p: dict[str, float]) -> tuple[DataFrame, np.ndarray]:
+    """``goalie_id, __sd``, and the variances of the levels, by one matrix."""
     size, noise, prior = len(places) + 3, p["sigma2"], 1 / p["g"]
     # Rows of cells, a goalie's together: a task holds one Arrow batch and the cells of its last goalie, no more than team-seasons.
-    kind, sums_of = dict(cells.dtypes)["goalie_id"], ("w", "wt", "ws", "wtt", "wts", "wss")
-    own = cells.select("goalie_id", "team_id", "season", *sums_of).repartition("goalie_id").sortWithinPartitions("goalie_id")
+    own = cells.repartition("goalie_id").sortWithinPartitions("goalie_id")
 
     def systems(batches):
         """For some goalies at a time: their keys, the places and sums of their cells, what ties them to every other row of the system
         (a matrix), and their own precisions."""
         for table, goalie in _by_goalie(batches):
-            x = {c: table[c].to_numpy() for c in sums_of}
+            x = {c: table[c].to_numpy() for c in SUMS}
             teams, seasons = table["team_id"].to_pylist(), table["season"].to_pylist()
             t = np.array([places["t", k, s] for k, s in zip(teams, seasons, strict=True)])
             u = np.array([places["s", s] for s in seasons])
@@ -221,12 +239,164 @@ def marginal_deviations(cells: DataFrame, tables: dict[str, Settled], p: dict[st
             found = np.sqrt(1 / precision + ((tie @ inverse) * tie).sum(axis=1) / precision**2)
             yield pa.RecordBatch.from_arrays([keys, pa.array(found)], ["goalie_id", "__sd"])
 
-    out = {"g": join_dim(alone["g"], settle(own.mapInArrow(spread, f"goalie_id {kind}, __sd double")), ["goalie_id"])}
+    return own.mapInArrow(spread, f"goalie_id {dict(cells.dtypes)['goalie_id']}, __sd double"), np.diag(inverse)
+
+
+def _deviations_of_many(cells: DataFrame, places: dict[tuple, int], p: dict[str, float]) -> tuple[DataFrame, np.ndarray]:
+    """``goalie_id, __sd``, and the variances of the levels, by blocks of ``BLOCK`` rows and columns.
+
+    A goalie's row ties it to the levels it met; divided by the root of its precision it is z, and goalies take the sum of their
+    outer products z z' from the system. The tasks of two blocks of levels hold ``GOALIES`` rows and one block.
+    """
+    spark, noise, width = cells.sparkSession, p["sigma2"], BLOCK
+    size = len(places) + 3
+    count = math.ceil(size / width)
+    numbered = cells
     for f in ("t", "s"):
-        rows = [(*key, float(math.sqrt(inverse[i, i]))) for (g, *key), i in places.items() if g == f]
         kinds = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in FACTORS[f])
-        out[f] = join_dim(alone[f], settle(cells.sparkSession.createDataFrame(rows, f"{kinds}, __sd double")), FACTORS[f])
-    return {f: t.withColumn("sd", F.col("__sd")).drop("__sd") for f, t in out.items()}
+        side = spark.createDataFrame([(*key, i) for (g, *key), i in places.items() if g == f], f"{kinds}, __{f} long")
+        numbered = join_dim(numbered, side, FACTORS[f], nulls=True)
+    at = [F.col("__t"), F.col("__s"), *(F.lit(size - 3 + k).cast("long") for k in range(3))]
+
+    # The system of the levels alone: what every cell adds to two of its five places, and the priors.
+    pairs = []
+    for i, j in ((i, j) for i in range(5) for j in range(5)):
+        low, high = min(i, j), max(i, j)
+        c = "w" if high < 3 else ("wt", "ws")[high - 3] if low < 3 else {(3, 3): "wtt", (3, 4): "wts", (4, 4): "wss"}[low, high]
+        pairs.append(F.struct(at[i].alias("i"), at[j].alias("j"), (F.col(c) / noise).alias("v")))
+    summed = numbered.select(F.explode(F.array(*pairs)).alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.v").alias("v")).where("i <= j")
+    priors = spark.createDataFrame([(i, i, 1 / p[f]) for (f, *_), i in places.items()] + [(i, i, 1.0) for i in range(size - 3, size)], "i long, j long, v double")
+
+    ties = F.explode(F.array(*[F.struct(a.alias("at"), F.col(c).alias("v")) for a, c in zip(at, ("w", "w", "w", "wt", "ws"), strict=True)]))
+    precision = numbered.groupBy("goalie_id").agg((F.sum("w") / noise + 1 / p["g"]).alias("precision"))
+    # A goalie's number, and its z by block of levels: no more than ``BLOCK`` values in a row.
+    goalies = cut_lineage(precision.withColumn("n", F.monotonically_increasing_id()))
+    z = numbered.select("goalie_id", ties.alias("e")).groupBy("goalie_id", F.col("e.at").alias("at")).agg(F.sum("e.v").alias("v"))
+    z = null_safe_join(z, goalies, ["goalie_id"], "inner").select("n", "at", (F.col("v") / noise / F.sqrt("precision")).alias("v"))
+    z = z.groupBy("n", F.floor(F.col("at") / width).cast("int").alias("block")).agg(F.collect_list(F.struct("at", "v")).alias("ties"))
+    z = cut_lineage(z.select("n", "block", F.col("ties.at").alias("at"), F.col("ties.v").alias("v")))
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(1, math.ceil(2 * tasks / (count * (count + 1))))
+    tasks = max(tasks, count)
+
+    def dealt(row):
+        """A goalie's part of one block goes to every two blocks with that one."""
+        x = (row["n"], row["block"], np.array(row["at"]) % width, np.array(row["v"]))
+        for other in range(count):
+            yield (min(x[1], other), max(x[1], other), x[0] % salts, 1, x[0]), x
+
+    def sorted_groups(records):
+        return records.repartitionAndSortWithinPartitions(tasks, lambda key: (key[0] * count + key[1]) * salts + key[2])
+
+    def shape(i, j):
+        return min(width, size - i * width), min(width, size - j * width)
+
+    def products(records):
+        for (i, j, _), heads, pieces in _groups(records, shape):
+            total = np.zeros(shape(i, j))
+            for row, column, v in heads:
+                total[row % width, column % width] += v
+            for _, x, y in pieces:
+                total -= x.T @ y
+            yield (i, j), total
+
+    entries = summed.unionByName(priors).rdd.map(lambda r: ((r["i"] // width, r["j"] // width, 0, 0, 0), (r["i"], r["j"], r["v"])))
+    # The block of two equal numbers is whole; of the entries only the upper half came.
+    entries = entries.flatMap(lambda e: [e, (e[0], (e[1][1], e[1][0], e[1][2]))] if e[0][0] == e[0][1] and e[1][0] != e[1][1] else [e])
+    blocks = sorted_groups(entries.union(z.rdd.flatMap(dealt))).mapPartitions(products).reduceByKey(np.add, tasks)
+    with scratch(spark):
+        inverse = _inverted(spark, blocks, count, tasks)
+
+        def spread(records):
+            for (i, j, _), heads, pieces in _groups(records, shape):
+                (block,) = heads
+                for numbers, x, y in pieces:
+                    # Both triangles of the inverse count.
+                    found = ((x @ block) * y).sum(axis=1) * (1 if i == j else 2)
+                    yield from zip(numbers, map(float, found), strict=True)
+
+        copies = inverse.flatMap(lambda b: [((*b[0], salt, 0, 0), b[1]) for salt in range(salts)])
+        shares = sorted_groups(copies.union(z.rdd.flatMap(dealt))).mapPartitions(spread)
+        shares = spark.createDataFrame(shares, "n long, share double").groupBy("n").agg(F.sum("share").alias("share"))
+        found = cut_lineage(goalies.join(shares, "n").select("goalie_id", F.sqrt((1 + F.col("share")) / F.col("precision")).alias("__sd")))
+        diagonal = dict(inverse.filter(lambda b: b[0][0] == b[0][1]).map(lambda b: (b[0][0], np.diag(b[1]).copy())).collect())
+    return found, np.concatenate([diagonal[i] for i in range(count)])
+
+
+def _groups(records: Iterator, shape: Callable[[int, int], tuple[int, int]]) -> Iterator[tuple[tuple, list, Iterator]]:
+    """Sorted records by two blocks and share of the goalies: what comes first (entries, or a block), then dense rows of at most
+    ``GOALIES`` goalies at a time, in the first and in the second block. The rows must be read before the next group."""
+    for key, group in groupby(records, lambda r: r[0][:3]):
+        parts = groupby(group, lambda r: r[0][3])
+        first = next(parts)
+        heads = [value for _, value in first[1]] if first[0] == 0 else []
+        rest = (value for _, value in (chain.from_iterable(g for _, g in parts) if first[0] == 0 else first[1]))
+        yield key, heads, _dense_rows(rest, key[0], key[1], shape(key[0], key[1]))
+
+
+def _dense_rows(ties: Iterator, i: int, j: int, sizes: tuple[int, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    numbers: list = []
+    x, y = np.zeros((GOALIES, sizes[0])), np.zeros((GOALIES, sizes[1]))
+    for number, parts in groupby(ties, lambda t: t[0]):
+        if len(numbers) == GOALIES:
+            yield numbers, x, y
+            numbers = []
+            x[:], y[:] = 0, 0
+        for _, block, at, v in parts:
+            if block == i:
+                x[len(numbers), at] = v
+            if block == j:
+                y[len(numbers), at] = v
+        numbers.append(number)
+    if numbers:
+        yield numbers, x[: len(numbers)], y[: len(numbers)]
+
+
+def _inverted(spark: SparkSession, blocks: RDD, count: int, tasks: int) -> RDD:
+    """The inverse of a positive definite matrix from blocks ((i, j), values), i <= j, by sweeping one block of the diagonal after the
+    other. A task holds three blocks, the driver one; a sweep is written, and the one before it deleted."""
+
+    def kept(blocks, before):
+        path = fresh_path(spark, "blocks")
+        blocks.saveAsPickleFile(path, 1)
+        if before:
+            drop_version(spark, before)
+        return spark.sparkContext.pickleFile(path, tasks), path
+
+    def sent(k):
+        def run(item):
+            """A block of the pivot's row, as it lies there, for all blocks that need it."""
+            (i, j), v = item
+            yield (i, j), (-1, v)
+            if k in (i, j):
+                m, panel = (j, v) if i == k else (i, v.T)
+                for other in range(count):
+                    yield (min(m, other), max(m, other)), (m, panel)
+
+        return run
+
+    def swept(k, pivot):
+        def run(item):
+            (i, j), values = item
+            of = dict(values)
+            if i == j == k:
+                new = -pivot
+            elif i == k:
+                new = pivot @ of[j]
+            elif j == k:
+                new = (pivot @ of[i]).T
+            else:
+                new = of[-1] - of[i].T @ pivot @ of[j]
+            return (i, j), new
+
+        return run
+
+    blocks, path = kept(blocks, None)
+    for k in range(count):
+        pivot = np.linalg.inv(blocks.filter(lambda b, k=k: b[0] == (k, k)).first()[1])
+        blocks, path = kept(blocks.flatMap(sent(k)).groupByKey(tasks).map(swept(k, pivot)), path)
+    return blocks.mapValues(np.negative)
 
 
 def _by_goalie(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
