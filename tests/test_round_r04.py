@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rinkflow.llm import secrets
 from rinkflow.operators.sizing import settle
 from rinkflow.plans import effects
+from rinkflow.plans import models as L
+from rinkflow.plans.scoring import log_loss
 
 
 def _whole_system(rows, p):
@@ -83,3 +85,36 @@ def test_short_words_are_searched_for_assignments_only(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] < 3] for r in secrets.find_secrets(df).collect()}
     assert got == {0: [], 1: [(0, 0, 12)], 2: [(0, 0, 15)], 3: [(0, 0, 17)], 4: [(1, 0, 20)], 5: [], 6: [(2, 0, 24)], 7: [], 8: [(2, 24, 48)]}
+
+
+@pytest.fixture(scope="module")
+def shots(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        d, kind = float(rng.uniform(5, 80)), [None, "snap", "slap"][int(rng.integers(0, 3))]
+        rows.append((i, d, kind, int(rng.integers(0, 5)), int(rng.random() < 1 / (1 + np.exp(0.06 * d - 1.5 - 2 * (kind == "slap"))))))
+    df = spark.createDataFrame(rows, "event_id bigint, shot_distance double, shot_type string, traffic_density bigint, is_goal int")
+    fill = {c: F.lit("x") if c in L.CATEGORY_FEATURES else F.lit(0.0) for c in L.MODEL_FEATURES if c not in df.columns}
+    return df.withColumns(fill).persist()
+
+
+def test_trials_share_the_encoded_rows_of_a_fold(shots, monkeypatch):
+    """Rows are encoded once per fold, and the trials are those of fits that each encode their rows."""
+    fits = []
+    plain = L.TargetEncoder.fit
+    monkeypatch.setattr(L.TargetEncoder, "fit", lambda self, df: fits.append(1) or plain(self, df))
+    found = L.tune(shots, trials=3, folds=2, rounds=6, patience=2).collect()
+    assert len(found) == 3 and len(fits) == 2
+    weighted = L.with_class_weights(shots, "is_goal", "weight")
+    numbers = L.row_numbers(weighted.withColumn("__h", F.xxhash64(F.lit(42), F.col("event_id")).cast("double")), "__h", "event_id", "__rn", ["is_goal"])
+    for r in found[:1]:
+        losses = []
+        for fold in range(2):
+            marked = numbers.withColumn("held_out", F.col("__rn") % 2 == fold)
+            model = L.fit_boosted(
+                marked, weight="weight", validation="held_out", rounds=6, patience=2, depth=r["depth"], rate=r["rate"], min_rows=r["min_rows"]
+            )
+            held = L.score(model, L.prepare(marked.where("held_out")), "p")
+            losses.append(held.agg(log_loss("is_goal", "p")).first()[0])
+        assert r["log_loss"] == pytest.approx(np.mean(losses), rel=1e-9)
