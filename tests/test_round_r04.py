@@ -118,3 +118,26 @@ def test_trials_share_the_encoded_rows_of_a_fold(shots, monkeypatch):
             held = L.score(model, L.prepare(marked.where("held_out")), "p")
             losses.append(held.agg(log_loss("is_goal", "p")).first()[0])
         assert r["log_loss"] == pytest.approx(np.mean(losses), rel=1e-9)
+
+
+def test_categories_are_encoded_before_columns_are_dealt_anew(shots, monkeypatch):
+    """The encoders see a row once, not once per column; the losses are those of whole rows with one column dealt anew."""
+    model = L.fit_boosted(shots, rounds=4, depth=3, rate=0.3)
+    cols = ["shot_type", "shot_distance", "traffic_density"]
+    scored = []
+    plain = L.score
+    with monkeypatch.context() as m:
+        m.setattr(L, "score", lambda model, df, new: scored.append([type(s).__name__ for s in model.stages]) or plain(model, df, new))
+        got = {r["feature"]: r["loss_increase"] for r in L.permutation_importance(shots, model, cols).collect()}
+    assert scored == [["VectorAssembler", "GBTClassificationModel"]]
+    rows = L.prepare(shots)
+    here = L.row_numbers(rows.withColumn("__k", F.col("event_id").cast("double")), "__k", "event_id", "__pos")
+    mixed = L.row_numbers(rows.withColumn("__h", F.xxhash64(F.lit(8), F.col("event_id")).cast("double")), "__h", "event_id", "__pos")
+
+    def loss(df):
+        return plain(model, df, "p").agg(log_loss("is_goal", "p")).first()[0]
+
+    for c in cols:
+        other = here.drop(c).join(mixed.select("__pos", c), "__pos")
+        assert got[c] == pytest.approx(loss(other) - loss(rows), abs=1e-12)
+    assert got["shot_type"] > 0
